@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlake.llm import bpe, chat, fingerprints, packing, secrets, sharding
+from boxlake.llm import bpe, chat, fingerprints, licenses, packing, secrets, sharding, similarity
 
 
 def byte_bpe() -> str:
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
@@ -40,9 +44,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_sharding, op4_bpe, op5_best_fit_packing, op6_secret_scan, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_sharding, op4_bpe, op5_best_fit_packing, op6_secret_scan, op9_ngram_jaccard_join, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
