@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlake.llm import bpe, chat, fingerprints, licenses, packing, secrets, sharding, similarity
+from boxlake.llm import bpe, chat, fingerprints, langid, licenses, neighbours, packing, secrets, sharding, similarity
 
 
 def byte_bpe() -> str:
@@ -44,6 +44,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,5 +60,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_sharding, op4_bpe, op5_best_fit_packing, op6_secret_scan, op9_ngram_jaccard_join, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_sharding, op4_bpe, op5_best_fit_packing, op6_secret_scan, op7_nearest_neighbours, op8_language_id, op9_ngram_jaccard_join, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {}
