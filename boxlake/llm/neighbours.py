@@ -94,7 +94,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == sizes[0]["d"]) if sizes else rows
 
 
-def search(vectors: DataFrame, query_every: int = 50, k: int = 5, copies: int = 4, closeness: float = 1.15, lists: int = 48, ratio: float = 1.45) -> DataFrame:
+def search(vectors: DataFrame, query_every: int = 50, k: int = 5, copies: int = 6, closeness: float = 1.25, lists: int = 64, ratio: float = 1.6) -> DataFrame:
     """query_id, rank, vec_id, score: of every vector whose id ``query_every`` divides, the ``k`` nearest others found.
 
     Scores are cosines in double precision; ties go to the smaller id. Of equal vectors only the k + 1 smallest ids can be among
