@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxlake.llm.common import in_small_batches
+
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO = 300_000
@@ -200,7 +202,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             ids = [vocab.encode(t) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "ids": [x.astype(np.int32) for x in ids], "decoded": [vocab.decode(x).decode("utf-8", "replace") for x in ids]})
 
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = in_small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return source.mapInPandas(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
@@ -220,5 +222,5 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
             n, listed, decoded = zip(*rows) if rows else ((), (), ())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": listed, "decoded_sha256": decoded})
 
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    source = in_small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

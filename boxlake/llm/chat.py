@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxlake.llm.common import in_small_batches
+
 # The template's control strings.
 MARKS = {"user": ("[INST] ", " [/INST]"), "system": ("[SYS] ", " [/SYS]"), "assistant": ("<s> ", " </s>")}
 OTHER = ("[ROLE:", "] ", " [/ROLE]")
@@ -114,7 +116,7 @@ def prefix_target_examples(conversations: DataFrame) -> DataFrame:
         if held:
             yield pd.DataFrame(held, columns=columns).astype({"conv_id": "Int64"})
 
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = in_small_batches(conversations, 2000).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     return ordered.mapInPandas(run, f"conv_id long, {EXAMPLES}")
 

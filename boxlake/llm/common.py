@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def in_small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
+    """df, with the session's Arrow batches held to ``rows`` rows: texts may be long, and a Python worker holds a batch several times over."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs only a reread."""
     spark = df.sparkSession

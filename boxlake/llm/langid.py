@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boxlake.llm.common import in_small_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 MEMO = 200_000
@@ -220,7 +222,7 @@ def identify(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return in_small_batches(docs).select("doc_id", held_out().alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
@@ -231,4 +233,4 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     def accepted(texts: pd.Series) -> pd.Series:
         return pd.Series([lang != UNKNOWN and score >= least for lang, score in label_texts(texts.tolist(), model.value)], dtype=bool)
 
-    return docs.where(accepted("text"))
+    return in_small_batches(docs).where(accepted("text"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxlake.llm.common import in_small_batches
+
 # Phrases that name a licence wherever they stand, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -214,5 +216,5 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
             yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    source = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInPandas(run, f"doc_id long, {FIELDS}, spans array<struct<label:string,start:long,end:long,coverage:double>>")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.llm.bpe import PATTERN, joined_chunks, vocabulary
-from boxlake.llm.common import gapless_index, written
+from boxlake.llm.common import gapless_index, in_small_batches, written
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -216,7 +216,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int) -> Dat
                 rows += [(doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    source = in_small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 

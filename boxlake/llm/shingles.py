@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MEMO = 300_000
+MEMO = 100_000
 WIDTH = 5
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxlake.llm.common import written
+from boxlake.llm.common import in_small_batches, written
 from boxlake.llm.shingles import shingle_hashes
 
 FRAGMENTS = 8
@@ -69,7 +69,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 out.append((doc, n, s1 - (1 << 63), s2 - (1 << 63), h[: prefix_length(n) if n else 0].view(np.int64), parity_bits(h)))
             yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "head", "bits"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    source = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     return source.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, head array<long>, bits binary")
 
 
@@ -92,8 +92,16 @@ def fragments_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def semi(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """rows whose node is among ``nodes`` (a written table of distinct ids); those are broadcast only if they are few."""
-    few = nodes.count() <= BROADCAST_NODES
-    return rows.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+    return rows.join(sized(nodes), "node", "left_semi")
+
+
+def without(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows whose node is not among ``nodes``."""
+    return rows.join(sized(nodes), "node", "left_anti")
+
+
+def sized(nodes: DataFrame) -> DataFrame:
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
 
 
 def verified(pairs: DataFrame, docs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -202,8 +210,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = one.where("n > 0").select("doc_id", "n", "s1", "s2")
     classes = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
     members = written(sets.join(classes, ["n", "s1", "s2"]).select("doc_id", "n", "node").distinct())
-    nodes = members.where("doc_id = node").select("node")
-    heads = one.where("n > 0").select(F.col("doc_id").alias("node"), "n", "head", "bits").join(nodes, "node", "left_semi")
+    others = written(members.where("doc_id != node").select(F.col("doc_id").alias("node")))
+    heads = without(one.where("n > 0").select(F.col("doc_id").alias("node"), "n", "head"), others)
     lists = written(shared_lists(heads.select("node", "n", F.explode("head").alias("s"))))
     bits = one.where("n > 0").select(F.col("doc_id").alias("node"), "bits")
 
