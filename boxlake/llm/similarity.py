@@ -26,6 +26,7 @@ from boxlake.llm.shingles import shingle_hashes
 
 FRAGMENTS = 8
 LONG_LIST = 40
+BLOCK = 256
 BROADCAST_NODES = 1_000_000  # ids of 8 bytes each; more are joined by a shuffle
 
 
@@ -169,6 +170,49 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
     return ordered(x.join(y, "s").where((F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & fits(F.col("nx"), F.col("ny"))))
 
 
+def block_pairs(lists: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs of cross_pairs that the bitmaps leave, for long lists: each list is dealt into blocks of about BLOCK nodes, and
+    every two blocks of a list meet in one place, where bitmaps are compared array-wise and only the pairs left are emitted."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = lists.join(bits, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("s", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "n", "label", "bits")
+
+    def compare(group: pd.DataFrame) -> Iterator[tuple[int, int, int, int]]:
+        lo, hi = group["lo"].iat[0], group["hi"].iat[0]
+        size = group["bits"].map(len)
+        for cells in sorted(set(size)):  # fitting sizes have maps of one length, or of this and the double
+            same, double = group[size == cells], group[size == 2 * cells]
+            maps = np.stack([np.frombuffer(b, np.uint8) for b in same["bits"]])
+            folded = np.zeros((0, cells), np.uint8)
+            if len(double):
+                folded = np.stack([np.frombuffer(b, np.uint8) for b in double["bits"]])
+                folded = folded[:, :cells] ^ folded[:, cells:]
+            facing, others = pd.concat([same, double]), np.concatenate([maps, folded])
+            n, label, node, own = (facing[c].to_numpy() for c in ("n", "label", "node", "own"))
+            for i in range(len(same)):
+                total = n[i] + n
+                fit = (label != label[i]) & (5 * n >= 4 * n[i]) & (5 * n[i] >= 4 * n) & (np.arange(len(n)) > i) & ((lo == hi) | (own != own[i]))
+                at = np.flatnonzero(fit)
+                if len(at):
+                    differ = np.bitwise_count(others[at] ^ maps[i]).sum(axis=1, dtype=np.int64)
+                    for j in at[differ <= total[at] - 2 * -(-4 * total[at] // 9)]:
+                        yield int(node[i]), int(n[i]), int(node[j]), int(n[j])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            key = rows[["s", "lo", "hi"]].to_numpy()
+            ends = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            parts = np.split(np.arange(len(rows)), ends)
+            held = rows.iloc[parts[-1]]
+            yield pd.DataFrame([p for part in parts[:-1] if len(part) > 1 for p in compare(rows.iloc[part])], columns=["x", "nx", "y", "ny"])
+        if held is not None and len(held) > 1:
+            yield pd.DataFrame(list(compare(held)), columns=["x", "nx", "y", "ny"])
+
+    return ordered(dealt.repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi").mapInPandas(run, "x long, nx long, y long, ny long"))
+
+
 def open_lists(lists: DataFrame) -> DataFrame:
     """The lists that touch more than one component, with their length ``c``."""
     by = Window.partitionBy("s")
@@ -228,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         led = written(verified(leader_pairs(rare_open), docs, bits))
         links = links.unionByName(led)
         rest = open_lists(labelled(rare, components(links)))
-        links = links.unionByName(written(verified(cross_pairs(rest), docs, bits)))
+        links = links.unionByName(written(verified(block_pairs(rest, bits), docs, bits)))
     labels = components(links)
     known = members.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("component_id"))
     rows = described.select("doc_id", F.col("n").alias("n_shingles"))

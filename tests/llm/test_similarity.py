@@ -64,6 +64,7 @@ def test_against_brute_force(spark):
 
 def test_long_lists(spark, monkeypatch):
     monkeypatch.setattr(similarity, "LONG_LIST", 3)
+    monkeypatch.setattr(similarity, "BLOCK", 8)
     check(spark, corpus(2))
 
 
