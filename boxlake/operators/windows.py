@@ -36,4 +36,5 @@ def ewma_by(df: DataFrame, value: str, keys: list[str], order: list[str], halfli
 
 def rest_days(date: str, keys: list[str], order: list[str]) -> Column:
     """Days off since the row before, at least 0; null on the first."""
-    return F.greatest(F.datediff(F.col(date), F.lag(date).over(Window.partitionBy(*keys).orderBy(*order))) - 1, F.lit(0))
+    gap = F.datediff(F.col(date), F.lag(date).over(Window.partitionBy(*keys).orderBy(*order)))
+    return F.when(gap.isNotNull(), F.greatest(gap - 1, F.lit(0)))
