@@ -22,15 +22,20 @@ WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 MEMO = 200_000
 GROUP_CHARS = 2_000_000
+PIECE, OVERLAP = 40, 2
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters; a run of more than PIECE letters (a script without spaces, say) in pieces that share OVERLAP letters, so that no letter or trigram is lost."""
+    runs = WORD.findall(text.lower())
+    if max(map(len, runs), default=0) <= PIECE:
+        return runs
+    return [run[i : i + PIECE] for run in runs for i in range(0, max(1, len(run) - OVERLAP), PIECE - OVERLAP)]
 
 
 def features_of(word: str) -> list[str]:
     """Prefixes and suffixes of one to three letters, bigrams and trigrams with word ends, and the word itself."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     out = ["=" + word, "<" + word[:1], "<" + word[:2], "<" + word[:3], ">" + word[-1:], ">" + word[-2:], ">" + word[-3:]]
     out += [w[i : i + 2] for i in range(len(w) - 1)]
     out += [w[i : i + 3] for i in range(len(w) - 2)]

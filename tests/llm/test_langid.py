@@ -71,3 +71,16 @@ def test_frames(spark):
     assert kept.columns == docs.columns and {1000, 1001}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() >= 119
     assert identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in identify(docs.withColumn("lang", docs["lang"].substr(1, 0)).where("lang is null")).collect()} <= {"und"}
+
+
+def test_every_letter_of_a_long_run_has_a_say(chain):
+    rng = random.Random(4)
+    glued = {lang: text(lang, rng, 600).replace(" ", "") for lang in PARTS}
+    for size in (1, 39, 40, 41, 42, 77, 78, 79, 1000):
+        run = glued["xx"][:size]
+        pieces = words_of(run)
+        assert max(map(len, pieces)) <= 40 and pieces[0] + "".join(p[2:] for p in pieces[1:]) == run
+        assert {run[i : i + 3] for i in range(size - 2)} == {p[i : i + 3] for p in pieces for i in range(len(p) - 2)}
+    for head in PARTS:
+        for body in set(PARTS) - {head}:
+            assert label_texts([glued[head][:80] + glued[body]], chain)[0][0] == body
