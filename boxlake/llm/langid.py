@@ -178,12 +178,16 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame, per_language: int = 100) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``per_language`` documents of each language, by the hash of doc_id, without the held-out ones (a bound on training only)."""
+    """(text, lang) of at most ``per_language`` documents of each language, by the hash of doc_id, without the held-out ones (a bound on training only).
+
+    Rows that repeat a doc_id and language count once, by their least text; they are put together on Spark, so the driver gets no more than the sample.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("i"))
-    chosen = [r["doc_id"] for r in ids.where(F.col("i") <= per_language).select("doc_id").collect()]
-    rows = usable.where(F.col("doc_id").isin(chosen)).select("doc_id", "lang", F.substring("text", 1, 4000).alias("text")).collect() if chosen else []
-    return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"]))[: 4 * len(chosen)]]
+    ids = usable.select("doc_id", "lang").distinct().withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    chosen = ids.where(F.col("i") <= per_language).select("doc_id", "lang")
+    rows = usable.select("doc_id", "lang", F.substring("text", 1, 4000).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    found = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"]))]
 
 
 def label_texts(texts: list[str | None], chain: Chain | None) -> list[tuple[str, float]]:

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from boxlake.llm.langid import Chain, identify, keep_identified, label_texts, train, words_of
+from boxlake.llm.langid import Chain, identify, keep_identified, label_texts, train, training_sample, words_of
 
 PARTS = {"xx": ["tha", "ing", "re", "on"], "yy": ["sch", "ung", "ei", "lich"], "zz": ["ció", "os", "que", "rra"]}
 
@@ -84,3 +84,12 @@ def test_every_letter_of_a_long_run_has_a_say(chain):
     for head in PARTS:
         for body in set(PARTS) - {head}:
             assert label_texts([glued[head][:80] + glued[body]], chain)[0][0] == body
+
+
+def test_sample_is_of_distinct_documents(spark):
+    rows = [(i, f"{lang} text {i}", lang) for i in range(0, 2000) for lang in [("xx", "yy")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    plain = training_sample(docs)
+    assert [lang for _, lang in plain] == ["xx"] * 100 + ["yy"] * 100 and len(set(plain)) == 200
+    hot = [r for r in rows if (r[1], r[2]) in plain[::50]]
+    assert training_sample(spark.createDataFrame(rows + hot * 300, docs.schema)) == plain
