@@ -9,28 +9,61 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+BATCH_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+ROW_GROUP_BYTES = 16 << 20  # a Parquet writer holds a row group in memory
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own (tests); a cluster is an error, as its executors could not see one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-def in_small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
-    """df, with the session's Arrow batches held to ``rows`` rows: texts may be long, and a Python worker holds a batch several times over."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def in_small_batches(df: DataFrame, rows: int = 200) -> DataFrame:
+    """df, with the session's Arrow batches held to ``rows`` rows and BATCH_BYTES bytes: texts may be long, and a Python worker holds a batch several times over.
+
+    The settings hold for the session, as Spark reads them when a plan starts; the rows are only ever lowered, so frames built before keep their bounds.
+    """
+    conf = df.sparkSession.conf
+    now = int(conf.get(BATCH_ROWS_SETTING))
+    conf.set(BATCH_ROWS_SETTING, str(min(now, rows) if now > 0 else rows))
+    conf.set(BATCH_BYTES_SETTING, str(BATCH_BYTES))
     return df
 
 
+class Tables:
+    """Intermediate Parquet tables of one run in the shared folder: lineage ends there, and a lost executor costs only a reread.
+
+    ``keep`` deletes all but the tables it is given, once the results that need them are written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = table
+        return table
+
+    def keep(self, *tables: DataFrame) -> None:
+        for path in [p for p, t in self.paths.items() if not any(t is k for k in tables)]:
+            del self.paths[path]
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs only a reread."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder that stays until the folder is cleared."""
+    return Tables(df.sparkSession).write(df)
 
 
 def gapless_index(df: DataFrame, keys: list[str], order: list[str], blocks: int, name: str) -> DataFrame:

@@ -63,8 +63,9 @@ def test_against_brute_force(spark):
 
 
 def test_long_lists(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "LONG_LIST", 3)
+    monkeypatch.setattr(similarity, "FREQUENT", 3)
     monkeypatch.setattr(similarity, "BLOCK", 8)
+    monkeypatch.setattr(similarity, "BROADCAST_KEYS", 5)
     check(spark, corpus(2))
 
 
@@ -78,6 +79,15 @@ def test_edges(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "5", "None"]
 
 
+def test_one_id_with_several_texts(spark):
+    long, short = " ".join("abcdefghijklmnop"), " ".join("qrstuvwxyz")
+    rows = [(7, long, 1), (7, short, 2), (7, short, 1), (9, short, 3), (8, long, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs).collect())
+    assert got == [(7, 6, 7), (7, 6, 7), (7, 12, 7), (8, 12, 8), (9, 6, 7)]
+    assert sorted(map(tuple, keep_one(docs).collect())) == [(7, long, 1), (8, long, 4)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.lists(st.integers(0, 30), min_size=1, max_size=60))
 def test_bounds(a, b):
