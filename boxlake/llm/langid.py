@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,8 +21,8 @@ from boxlake.llm.common import in_small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-MEMO = 200_000
-GROUP_CHARS = 2_000_000
+MEMO = 100_000
+GROUP_CHARS = 200_000
 PIECE, OVERLAP = 40, 2
 
 
@@ -48,27 +49,37 @@ class Chain:
     def __init__(self, languages: list[str], rows: dict[str, int], weights: np.ndarray, transitions: np.ndarray):
         self.languages, self.rows, self.weights, self.transitions = languages, rows, weights, transitions
         self.memo: dict[str, int] = {}
-        self.emissions = np.zeros((0, len(languages)))
+        self.emissions: np.ndarray | None = None
 
-    def emit(self, words: list[str]) -> np.ndarray:
+    def score(self, words: list[str]) -> np.ndarray:
         """exp of the scores of each word, its largest 1."""
+        get = self.rows.get
+        ids = [[i for f in features_of(w) if (i := get(f)) is not None] for w in words]
+        scores = np.zeros((len(words), len(self.languages)))
+        sizes = np.array(list(map(len, ids)))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+            scores[full] = np.add.reduceat(self.weights[np.concatenate([ids[i] for i in full]).astype(np.int64)], starts, axis=0)
+        return np.exp(scores - scores.max(axis=1, keepdims=True))
+
+    def emit(self, words: list[str]) -> np.ndarray:
+        """score of each word; MEMO distinct words are remembered, and forgotten together when more come."""
         fresh = [w for w in dict.fromkeys(words) if w not in self.memo]
         if len(self.memo) + len(fresh) > MEMO:
             self.memo.clear()
-            self.emissions = self.emissions[:0]
             fresh = list(dict.fromkeys(words))
-        if fresh:
-            get = self.rows.get
-            ids = [[i for f in features_of(w) if (i := get(f)) is not None] for w in fresh]
-            scores = np.zeros((len(fresh), len(self.languages)))
-            sizes = np.array(list(map(len, ids)))
-            full = np.flatnonzero(sizes)
-            if len(full):
-                starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                scores[full] = np.add.reduceat(self.weights[np.concatenate([ids[i] for i in full]).astype(np.int64)], starts, axis=0)
-            self.memo.update(zip(fresh, range(len(self.emissions), len(self.emissions) + len(fresh))))
-            self.emissions = np.concatenate([self.emissions, np.exp(scores - scores.max(axis=1, keepdims=True))])
-        return self.emissions[np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))]
+        if self.emissions is None:
+            self.emissions = np.empty((MEMO, len(self.languages)))
+        at, table = self.memo, self.emissions
+        if len(fresh) > MEMO:
+            at, table = {}, np.empty((len(fresh), len(self.languages)))
+        for i in range(0, len(fresh), 10_000):
+            some = fresh[i : i + 10_000]
+            first = len(at)
+            table[first : first + len(some)] = self.score(some)
+            at.update(zip(some, range(first, first + len(some))))
+        return table[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Of each word sequence, the probability of each language at each word."""
@@ -120,7 +131,7 @@ def train(texts: list[tuple[str, str]], max_words: int = 160, max_features: int
     if not languages:
         return None
     rng = np.random.default_rng(seed)
-    known = [(words_of(text[: 20 * max_words])[:max_words], languages.index(lang)) for text, lang in texts]
+    known = [(words_of(text)[:max_words], languages.index(lang)) for text, lang in texts]
     known = [x for x in known if x[0]]
     sequences = [[(w, lang) for w in words[i : i + 40]] for words, lang in known for i in range(0, len(words), 40)]
     for words, lang in known:
@@ -177,15 +188,17 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int = 100) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``per_language`` documents of each language, by the hash of doc_id, without the held-out ones (a bound on training only).
+def training_sample(docs: DataFrame, per_language: int = 100, excerpt: int = 4000) -> list[tuple[str, str]]:
+    """(text, lang) of at most ``per_language`` documents of each language, by the hash of doc_id, without the held-out ones (bounds on training only).
 
-    Rows that repeat a doc_id and language count once, by their least text; they are put together on Spark, so the driver gets no more than the sample.
+    Of a longer text, ``excerpt`` characters from a place that its hash chooses. Rows that repeat a doc_id and language count
+    once, by their least excerpt; they are put together on Spark, so the driver gets no more than the sample.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     ids = usable.select("doc_id", "lang").distinct().withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
     chosen = ids.where(F.col("i") <= per_language).select("doc_id", "lang")
-    rows = usable.select("doc_id", "lang", F.substring("text", 1, 4000).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    start = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1) + 1
+    rows = usable.select("doc_id", "lang", F.substring(F.col("text"), start.cast("int"), F.lit(excerpt)).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     found = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["lang"]) for r in sorted(found, key=lambda r: (r["lang"], r["doc_id"]))]
 
@@ -235,11 +248,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows whose text is in a learned language with at least that score; the columns of docs stay as they are."""
+    """The rows whose text is in a learned language with at least that score; all columns stay as they are.
+
+    Null texts and texts without letters go; repeated rows and null ids are judged by their texts like all others; an empty table
+    gives none. Columns pass as Arrow batches, so their types must have an Arrow form.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(training_sample(docs)))
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
-        return pd.Series([lang != UNKNOWN and score >= least for lang, score in label_texts(texts.tolist(), model.value)], dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = label_texts(batch.column("text").to_pylist(), model.value)
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return in_small_batches(docs).where(accepted("text"))
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
