@@ -4,7 +4,11 @@ Own columns have plain names (pts, fga, min, ...), the team's have the prefix tm
 the name's _pct form are on the 0-100 scale where the function says so and fractions elsewhere. Nulls propagate.
 """
 
-from pyspark.sql import Column
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.functions.nullsafe import positive, sdiv, zero_if
@@ -15,10 +19,27 @@ OLIVER_FT = 0.4
 FOUR_FACTORS = (("efg_pct", 0.40), ("tov_pct", 0.25), ("oreb_pct", 0.20), ("ft_rate", 0.15))
 
 
+Known = dict[str, Column] | None
+
+
 def c(name: str) -> Column:
     return F.col(name)
 
 
+def of(formula: Callable[[Known], Column], known: Known) -> Column:
+    """The formula's column where it is computed already, else its expression."""
+    return known[formula.__name__] if known and formula.__name__ in known else formula(known)
+
+
+def staged(df: DataFrame, steps: list[list[Callable[[Known], Column]]]) -> DataFrame:
+    """df with a column for every formula, each step built on the columns of those before it, so that no expression is repeated."""
+    known: dict[str, Column] = {}
+    for step in steps:
+        df = df.withColumns({f.__name__: f(known) for f in step})
+        known |= {f.__name__: c(f.__name__) for f in step}
+    return df
+
+
 def possessions(p: str = "") -> Column:
     return c(p + "fga") + FT * c(p + "fta") - c(p + "oreb") + c(p + "tov")
 
@@ -110,7 +131,7 @@ def _missed_both(made: Column, tried: Column) -> Column:
     return 1 - (1 - sdiv(made, tried)) * (1 - sdiv(made, tried))
 
 
-def q_assist() -> Column:
+def q_assist(known: Known = None) -> Column:
     share = sdiv(positive(c("min")), positive(c("tm_min")) / 5)
     with_him = share * (1.14 * sdiv(c("tm_ast") - c("ast"), c("tm_fgm")))
     per = lambda x: sdiv(x, c("tm_min")) * c("min") * 5
@@ -118,129 +139,134 @@ def q_assist() -> Column:
     return with_him + without
 
 
-def fg_part() -> Column:
-    return zero_if(c("fga") == 0, c("fgm") * (1 - 0.5 * sdiv(c("pts") - c("ftm"), 2 * c("fga")) * q_assist()))
+def fg_part(known: Known = None) -> Column:
+    return zero_if(c("fga") == 0, c("fgm") * (1 - 0.5 * sdiv(c("pts") - c("ftm"), 2 * c("fga")) * of(q_assist, known)))
 
 
-def assist_part() -> Column:
+def assist_part(known: Known = None) -> Column:
     return 0.5 * sdiv((c("tm_pts") - c("tm_ftm")) - (c("pts") - c("ftm")), 2 * (c("tm_fga") - c("fga"))) * c("ast")
 
 
-def ft_part() -> Column:
+def ft_part(known: Known = None) -> Column:
     return zero_if(c("fta") == 0, _missed_both(c("ftm"), c("fta")) * OLIVER_FT * c("fta"))
 
 
-def team_scoring_possessions() -> Column:
+def team_scoring_possessions(known: Known = None) -> Column:
     return c("tm_fgm") + zero_if(c("tm_fta") == 0, _missed_both(c("tm_ftm"), c("tm_fta")) * c("tm_fta") * OLIVER_FT)
 
 
-def team_oreb_pct() -> Column:
+def team_oreb_pct(known: Known = None) -> Column:
     return sdiv(c("tm_oreb"), c("tm_oreb") + c("opp_dreb"))
 
 
-def team_play_pct() -> Column:
-    return sdiv(team_scoring_possessions(), c("tm_fga") + OLIVER_FT * c("tm_fta") + c("tm_tov"))
+def team_play_pct(known: Known = None) -> Column:
+    return sdiv(of(team_scoring_possessions, known), c("tm_fga") + OLIVER_FT * c("tm_fta") + c("tm_tov"))
 
 
-def team_oreb_weight() -> Column:
-    o, play = team_oreb_pct(), team_play_pct()
+def team_oreb_weight(known: Known = None) -> Column:
+    o, play = of(team_oreb_pct, known), of(team_play_pct, known)
     return sdiv((1 - o) * play, (1 - o) * play + o * (1 - play))
 
 
-def oreb_part() -> Column:
-    return c("oreb") * team_oreb_weight() * team_play_pct()
+def oreb_part(known: Known = None) -> Column:
+    return c("oreb") * of(team_oreb_weight, known) * of(team_play_pct, known)
 
 
-def _team_discount() -> Column:
-    return 1 - sdiv(c("tm_oreb"), team_scoring_possessions()) * team_oreb_weight() * team_play_pct()
+def _team_discount(known: Known = None) -> Column:
+    return 1 - sdiv(c("tm_oreb"), of(team_scoring_possessions, known)) * of(team_oreb_weight, known) * of(team_play_pct, known)
 
 
-def scoring_possessions() -> Column:
-    return (fg_part() + assist_part() + ft_part()) * _team_discount() + oreb_part()
+def scoring_possessions(known: Known = None) -> Column:
+    return (of(fg_part, known) + of(assist_part, known) + of(ft_part, known)) * of(_team_discount, known) + of(oreb_part, known)
 
 
-def missed_fg_possessions() -> Column:
-    return (c("fga") - c("fgm")) * (1 - 1.07 * team_oreb_pct())
+def missed_fg_possessions(known: Known = None) -> Column:
+    return (c("fga") - c("fgm")) * (1 - 1.07 * of(team_oreb_pct, known))
 
 
-def missed_ft_possessions() -> Column:
+def missed_ft_possessions(known: Known = None) -> Column:
     miss = 1 - sdiv(c("ftm"), c("fta"))
     return zero_if(c("fta") == 0, miss * miss * OLIVER_FT * c("fta"))
 
 
-def total_possessions() -> Column:
-    return scoring_possessions() + missed_fg_possessions() + missed_ft_possessions() + c("tov")
+def total_possessions(known: Known = None) -> Column:
+    return of(scoring_possessions, known) + of(missed_fg_possessions, known) + of(missed_ft_possessions, known) + c("tov")
 
 
-def floor_pct() -> Column:
-    return sdiv(scoring_possessions(), total_possessions())
+def floor_pct(known: Known = None) -> Column:
+    return sdiv(of(scoring_possessions, known), of(total_possessions, known))
 
 
-def points_produced() -> Column:
+def points_produced(known: Known = None) -> Column:
     three = lambda p: F.coalesce(c(p + "fg3m"), F.lit(0))
-    field = zero_if(c("fga") == 0, 2 * (c("fgm") + 0.5 * three("")) * (1 - 0.5 * sdiv(c("pts") - c("ftm"), 2 * c("fga")) * q_assist()))
+    field = zero_if(c("fga") == 0, 2 * (c("fgm") + 0.5 * three("")) * (1 - 0.5 * sdiv(c("pts") - c("ftm"), 2 * c("fga")) * of(q_assist, known)))
     others = c("tm_fgm") - c("fgm")
-    passed = 2 * sdiv(others + 0.5 * (three("tm_") - three("")), others) * assist_part()
-    boards = c("oreb") * team_oreb_weight() * team_play_pct() * sdiv(c("tm_pts"), team_scoring_possessions())
-    return (field + passed + c("ftm")) * _team_discount() + boards
+    passed = 2 * sdiv(others + 0.5 * (three("tm_") - three("")), others) * of(assist_part, known)
+    boards = c("oreb") * of(team_oreb_weight, known) * of(team_play_pct, known) * sdiv(c("tm_pts"), of(team_scoring_possessions, known))
+    return (field + passed + c("ftm")) * of(_team_discount, known) + boards
+
 
+def offensive_rating(known: Known = None) -> Column:
+    return 100 * sdiv(of(points_produced, known), of(total_possessions, known))
 
-def offensive_rating() -> Column:
-    return 100 * sdiv(points_produced(), total_possessions())
 
+OFFENCE = [[team_scoring_possessions, team_oreb_pct, q_assist, assist_part, ft_part], [team_play_pct, fg_part, missed_fg_possessions, missed_ft_possessions], [team_oreb_weight], [_team_discount, oreb_part], [scoring_possessions, points_produced], [total_possessions]]
 
 # Defensive rating: stops and the points a scoring possession costs.
 
 
-def defensive_fg_pct() -> Column:
+def defensive_fg_pct(known: Known = None) -> Column:
     return sdiv(c("opp_fgm"), c("opp_fga"))
 
 
-def defensive_oreb_pct() -> Column:
+def defensive_oreb_pct(known: Known = None) -> Column:
     return sdiv(c("opp_oreb"), c("opp_oreb") + c("tm_dreb"))
 
 
-def missed_fg_weight() -> Column:
-    shot, board = defensive_fg_pct(), defensive_oreb_pct()
+def missed_fg_weight(known: Known = None) -> Column:
+    shot, board = of(defensive_fg_pct, known), of(defensive_oreb_pct, known)
     return sdiv(shot * (1 - board), shot * (1 - board) + (1 - shot) * board)
 
 
-def stops1() -> Column:
-    return c("stl") + c("blk") * missed_fg_weight() * (1 - 1.07 * defensive_oreb_pct()) + c("dreb") * (1 - missed_fg_weight())
+def stops1(known: Known = None) -> Column:
+    return c("stl") + c("blk") * of(missed_fg_weight, known) * (1 - 1.07 * of(defensive_oreb_pct, known)) + c("dreb") * (1 - of(missed_fg_weight, known))
 
 
-def stops2() -> Column:
+def stops2(known: Known = None) -> Column:
     per = lambda x: sdiv(x, positive(c("tm_min")))
-    shots = per(c("opp_fga") - c("opp_fgm") - c("tm_blk")) * missed_fg_weight() * (1 - 1.07 * defensive_oreb_pct())
+    shots = per(c("opp_fga") - c("opp_fgm") - c("tm_blk")) * of(missed_fg_weight, known) * (1 - 1.07 * of(defensive_oreb_pct, known))
     lost = per(c("opp_tov") - c("tm_stl"))
     miss = 1 - sdiv(c("opp_ftm"), c("opp_fta"))
     fouls = zero_if(c("opp_fta") == 0, sdiv(c("pf"), c("tm_pf")) * OLIVER_FT * c("opp_fta") * miss * miss)
     return (shots + lost) * positive(c("min")) + fouls
 
 
-def stops() -> Column:
-    return stops1() + stops2()
+def stops(known: Known = None) -> Column:
+    return of(stops1, known) + of(stops2, known)
 
 
-def stop_pct() -> Column:
-    return sdiv(stops() * c("opp_min"), possessions("tm_") * positive(c("min")))
+def stop_pct(known: Known = None) -> Column:
+    return sdiv(of(stops, known) * c("opp_min"), possessions("tm_") * positive(c("min")))
 
 
-def points_per_scoring_possession_allowed() -> Column:
+def points_per_scoring_possession_allowed(known: Known = None) -> Column:
     return sdiv(c("opp_pts"), c("opp_fgm") + zero_if(c("opp_fta") == 0, _missed_both(c("opp_ftm"), c("opp_fta")) * c("opp_fta") * OLIVER_FT))
 
 
-def team_defensive_rating() -> Column:
+def team_defensive_rating(known: Known = None) -> Column:
     return 100 * sdiv(c("opp_pts"), possessions("tm_"))
 
 
-def defensive_rating() -> Column:
-    team = team_defensive_rating()
-    return team + 0.2 * (100 * points_per_scoring_possession_allowed() * (1 - stop_pct()) - team)
+def defensive_rating(known: Known = None) -> Column:
+    team = of(team_defensive_rating, known)
+    return team + 0.2 * (100 * of(points_per_scoring_possession_allowed, known) * (1 - of(stop_pct, known)) - team)
+
+
+DEFENCE = [[defensive_fg_pct, defensive_oreb_pct, points_per_scoring_possession_allowed, team_defensive_rating], [missed_fg_weight], [stops1, stops2], [stops], [stop_pct]]
 
 
-def net_rating() -> Column:
-    return offensive_rating() - defensive_rating()
+def net_rating(known: Known = None) -> Column:
+    return of(offensive_rating, known) - of(defensive_rating, known)
 
 
 def _pie_terms(p: str) -> Column:

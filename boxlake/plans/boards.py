@@ -62,18 +62,20 @@ def resolved_metrics(spark, sf_dir):
     return lines.select("game_id", "player_id", get("reb"), *(r(get(k), k) for k in ("fg_pct", "ast_tov", "opp_efg_pct", "opp_ftr")), r(get("poss"), "poss", 5), get("bpm"))
 
 
-@query(f"""with {GAME_SQL} select season, season_type, player_id, count(*) n, round(avg(fgm / nullif(fga, 0)), 5) v from full_lines group by 1, 2, 3""")
+@query(f"""with {GAME_SQL} select season, season_type, player_id, count(*) n, round(avg(fgm / nullif(fga, 0)), 9) v from full_lines group by 1, 2, 3""")
 def metric_means(spark, sf_dir):
     lines = full_lines(spark, sf_dir)
-    return lines.withColumn("v", catalog.resolve("fg_pct", lines.columns)).groupBy("season", "season_type", "player_id").agg(F.count("*").alias("n"), r(F.avg("v"), "v", 5))
+    return lines.withColumn("v", catalog.resolve("fg_pct", lines.columns)).groupBy("season", "season_type", "player_id").agg(F.count("*").alias("n"), r(F.avg("v"), "v", 9))
 
 
 @query(f"""with {BOX_SQL}, s as (select *, avg(pts) over (partition by season, season_type, player_id) base, max(game_date) over (partition by season) last_ from box)
   select season, game_id, player_id, pts, round(pts - base, 5) delta from s where game_date = last_ and "min" >= 12""")
 def daily_movers(spark, sf_dir):
-    own, season = Window.partitionBy("season", "season_type", "player_id"), Window.partitionBy("season")
-    s = box_view(spark, sf_dir).withColumn("base", F.avg("pts").over(own)).withColumn("last", F.max("game_date").over(season))
-    return s.where((F.col("game_date") == F.col("last")) & (F.col("min") >= 12)).select("season", "game_id", "player_id", "pts", r(F.col("pts") - F.col("base"), "delta", 5))
+    box = box_view(spark, sf_dir)
+    last = box.groupBy("season").agg(F.max("game_date").alias("game_date"))  # one row a season
+    base = box.groupBy("season", "season_type", "player_id").agg(F.avg("pts").alias("base"))
+    day = box.join(F.broadcast(last), ["season", "game_date"], "left_semi").where("min >= 12")
+    return day.join(base, ["season", "season_type", "player_id"]).select("season", "game_id", "player_id", "pts", r(F.col("pts") - F.col("base"), "delta", 5))
 
 
 @query(f"""with {SEASON_SQL}, c as (select player_id, season, cast(sum(pts) as double) / sum(gp) ppg from ps group by 1, 2)

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from boxlake.functions import boxscore as b
 from boxlake.functions.nullsafe import sdiv
 from boxlake.operators import joins, models, windows
+from boxlake.sources import tables
 from boxlake.sources.tables import BOX_SQL, SIDES_SQL, STATS, box_view, sides, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,8 +56,7 @@ GAME_SQL = SIDES_SQL + ", full_lines as (select x.player_id, " + ", ".join(f'x."
 
 
 def full_lines(spark, sf_dir):
-    box = box_view(spark, sf_dir)
-    return box.select("game_id", "team_id", "player_id", *STATS).join(sides(box), ["game_id", "team_id"])
+    return tables.full_lines(box_view(spark, sf_dir))
 
 
 @query(f"""with {GAME_SQL} select game_id, player_id,
@@ -97,7 +97,9 @@ def game_scores(spark, sf_dir):
    (fga - fgm) * (1 - 1.07 * o) fgx, case when fta = 0 then 0 else (1 - ftm / fta) * (1 - ftm / fta) * 0.4 * fta end ftx from p)
  select game_id, player_id, round(sc, 5) sc_poss, round(sc + fgx + ftx + tov, 5) tot_poss, round(sc / nullif(sc + fgx + ftx + tov, 0), 5) floor_pct, round(pprod, 5) pprod, round(100 * pprod / nullif(sc + fgx + ftx + tov, 0), 5) ortg from t""")
 def offensive_ratings(spark, sf_dir):
-    return full_lines(spark, sf_dir).select("game_id", "player_id", r(b.scoring_possessions(), "sc_poss", 5), r(b.total_possessions(), "tot_poss", 5), r(b.floor_pct(), "floor_pct", 5), r(b.points_produced(), "pprod", 5), r(b.offensive_rating(), "ortg", 5))
+    lines = b.staged(full_lines(spark, sf_dir), b.OFFENCE)
+    done = {f.__name__: F.col(f.__name__) for step in b.OFFENCE for f in step}
+    return lines.select("game_id", "player_id", r(done["scoring_possessions"], "sc_poss", 5), r(done["total_possessions"], "tot_poss", 5), r(b.floor_pct(done), "floor_pct", 5), r(done["points_produced"], "pprod", 5), r(b.offensive_rating(done), "ortg", 5))
 
 
 @query(f"""with {GAME_SQL},
@@ -108,7 +110,9 @@ def offensive_ratings(spark, sf_dir):
  t as (select *, (s1 + s2) * opp_min / (poss * "min") sp, opp_pts / (opp_fgm + (1 - (1 - opp_ftm / opp_fta) * (1 - opp_ftm / opp_fta)) * opp_fta * 0.4) dps, 100 * opp_pts / poss td from s)
  select game_id, player_id, round(s1 + s2, 5) stops, round(sp, 5) stop_pct, round(td + 0.2 * (100 * dps * (1 - sp) - td), 5) drtg from t""")
 def defensive_ratings(spark, sf_dir):
-    return full_lines(spark, sf_dir).select("game_id", "player_id", r(b.stops(), "stops", 5), r(b.stop_pct(), "stop_pct", 5), r(b.defensive_rating(), "drtg", 5))
+    lines = b.staged(full_lines(spark, sf_dir), b.DEFENCE)
+    done = {f.__name__: F.col(f.__name__) for step in b.DEFENCE for f in step}
+    return lines.select("game_id", "player_id", r(done["stops"], "stops", 5), r(done["stop_pct"], "stop_pct", 5), r(b.defensive_rating(done), "drtg", 5))
 
 
 def _pie(p: str) -> str:
@@ -185,9 +189,12 @@ def ewma_form(spark, sf_dir):
 @query(f"""with {BOX_SQL} select game_id, player_id, round(pts - avg(pts) over (partition by season, season_type, player_id), 5) vs_own, round(pts - avg(pts) over (partition by season, season_type), 5) vs_league,
   round(pts / nullif(sum(pts) over (partition by game_id), 0), 6) share from box""")
 def deltas_and_shares(spark, sf_dir):
-    own, league, game = Window.partitionBy("season", "season_type", "player_id"), Window.partitionBy("season", "season_type"), Window.partitionBy("game_id")
-    p = F.col("pts")
-    return box_view(spark, sf_dir).select("game_id", "player_id", r(p - F.avg(p).over(own), "vs_own", 5), r(p - F.avg(p).over(league), "vs_league", 5), r(sdiv(p, F.sum(p).over(game)), "share"))
+    """The league's mean is an aggregate of one row per season and type, joined back: a window would put a season into one task."""
+    box = box_view(spark, sf_dir)
+    own, game, p = Window.partitionBy("season", "season_type", "player_id"), Window.partitionBy("game_id"), F.col("pts")
+    league = box.groupBy("season", "season_type").agg(F.avg("pts").alias("league"))
+    lines = box.withColumn("share", r(sdiv(p, F.sum(p).over(game)), "share")).join(F.broadcast(league), ["season", "season_type"])
+    return lines.select("game_id", "player_id", r(p - F.avg(p).over(own), "vs_own", 5), r(p - F.col("league"), "vs_league", 5), "share")
 
 
 @query(f"""with {SEASON_SQL} select player_id, cast(sum(gp) as bigint) gp, cast(sum(pts) as bigint) pts, round(sum(pts) / nullif(sum(gp), 0), 5) ppg, round(sum(ast * 1.0 / gp * "min") / nullif(sum("min"), 0), 5) apg_by_minutes,

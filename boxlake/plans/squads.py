@@ -29,11 +29,11 @@ def injury_layer(spark, sf_dir):
     return t.select("team_id", "season", r(F.col("absorbed"), "absorbed", 5), r(F.col("boost"), "boost"), r(F.col("squad_points"), "squad_points", 5), r(F.col("factor"), "factor"))
 
 
-@query(INJURY_SQL + " select team_id, season, player_id, round(p * c * boost, 5) points, round(m * c * least(1 + 0.7 * lm / greatest(am, 1), 1.15), 5) as minutes from b join pl using (team_id, season)")
+@query(INJURY_SQL + " select team_id, season, player_id, round(p * c * boost, 9) points, round(m * c * least(1 + 0.7 * lm / greatest(am, 1), 1.15), 9) as minutes from b join pl using (team_id, season)")
 def injury_projected_players(spark, sf_dir):
     p = squad_players(spark, sf_dir)
     out = squads.injury_players(p, squads.injury_totals(p, ["team_id", "season"]), ["team_id", "season"])
-    return out.select("team_id", "season", "player_id", r(F.col("projected_points"), "points", 5), r(F.col("projected_minutes"), "minutes", 5))
+    return out.select("team_id", "season", "player_id", r(F.col("projected_points"), "points", 9), r(F.col("projected_minutes"), "minutes", 9))
 
 
 @query(f"""with {BOX_SQL}, pl as (select team_id, player_id, avg("min") m from box group by 1, 2), o as (select *, row_number() over w - 1 i, sum(m) over (partition by team_id order by m desc, player_id rows between current row and unbounded following) mass from pl window w as (partition by team_id order by m desc, player_id)),
@@ -129,14 +129,14 @@ def valued(spark, sf_dir):
 @query(VALUED_SQL + """, top as (select *, row_number() over (order by total_z desc, player_id) k from v), rep as (select coalesce(avg(total_z), 0) rv from top where k > 5 and k <= 10),
  legs as (select p_partkey trade_id, case when p_partkey % 2 = 0 then 'give' else 'get' end side, p_size player_id from part union all select p_partkey, 'give', p_size + 1 from part where p_partkey % 3 = 0),
  t as (select trade_id, sum(case when side = 'get' then total_z else -total_z end) ch, count(*) filter (side = 'give') - count(*) filter (side = 'get') spots from legs join v using (player_id) group by 1)
- select trade_id, round(ch, 4) change_z, round(spots * rv, 4) roster_adjustment, round(ch + spots * rv, 4) net_z from t, rep""")
+ select trade_id, round(ch, 9) change_z, round(spots * rv, 9) roster_adjustment, round(ch + spots * rv, 9) net_z from t, rep""")
 def fantasy_trades(spark, sf_dir):
     p, v = table(spark, sf_dir, "part"), valued(spark, sf_dir)
     side = F.when(F.col("p_partkey") % 2 == 0, "give").otherwise("get")
     first = p.select(F.col("p_partkey").alias("trade_id"), side.alias("side"), F.col("p_size").cast("long").alias("player_id"))
     more = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("trade_id"), F.lit("give").alias("side"), (F.col("p_size") + 1).cast("long").alias("player_id"))
     t = valuation.evaluate_trades(first.unionByName(more), v, valuation.replacement_value(v, "player_id", 5, 5), "player_id")
-    return t.select("trade_id", *(r(F.col(x), x, 4) for x in ("change_z", "roster_adjustment", "net_z")))
+    return t.select("trade_id", *(r(F.col(x), x, 9) for x in ("change_z", "roster_adjustment", "net_z")))
 
 
 @query(VALUED_SQL + f""", s as ({" union all ".join(f"select '{c}' c, sum(z_{c}) z, count(*) have from v where player_id % 10 = 3" for c in CATS)}), k as (select c from s order by z, c limit 3), h as (select max(have) have from s),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 STATS = ("fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "dreb", "ast", "stl", "blk", "tov", "pf", "pts", "min")
 # The bench line that is added to every team, so that a team is more than its listed players.
@@ -13,33 +14,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def box_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (game, player): an order is a game, a supplier a player, a nation a team; statistics derive from the order's lines."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity")
-    grain = lines.groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("player_id")).agg(
-        F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"), F.sum("l_linenumber").alias("ln"), F.sum("l_partkey").alias("pk")
-    )
-    games = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("game_id"), F.to_date("o_orderdate").alias("game_date"), F.year("o_orderdate").cast("long").alias("season"), F.col("o_orderstatus").alias("season_type"))
-    players = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("player_id"), F.col("s_nationkey").cast("long").alias("team_id"))
-    made = grain.join(games, "game_id").join(players, "player_id").selectExpr(
-        "game_id", "player_id", "team_id", "season", "season_type", "game_date", "q * 9 div 20 as fgm", "q as fga", "q * 9 div 60 as fg3m", "q * 2 div 5 as fg3a",
+    """One row per (game, player): an order is a game between two of the nations, a supplier a player, who plays for the home side if the key is even; statistics derive from the order's lines.
+
+    Lines are dealt by game once; the grain, the games' own columns and all windows within a game need no other shuffle of them.
+    """
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("player_id"), "l_partkey", "l_linenumber", "l_quantity")
+    grain = lines.repartition("game_id").groupBy("game_id", "player_id").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"), F.sum("l_linenumber").alias("ln"), F.sum("l_partkey").alias("pk"))
+    games = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("game_id"), F.to_date("o_orderdate").alias("game_date"), F.year("o_orderdate").cast("long").alias("season"), F.col("o_orderstatus").alias("season_type"),
+        F.expr("o_custkey % 25").alias("home_id"), F.expr("(o_custkey + 1 + o_orderkey % 24) % 25").alias("away_id"),
+    )
+    made = grain.join(games, "game_id").selectExpr(
+        "game_id", "player_id", "case when player_id % 2 = 0 then home_id else away_id end as team_id", "home_id", "away_id", "season", "season_type", "game_date", "q * 9 div 20 as fgm", "q as fga", "q * 9 div 60 as fg3m", "q * 2 div 5 as fg3a",
         "ln + pk % 2 as ftm", "2 * ln as fta", "pk % 4 as oreb", "pk % 7 as dreb", "pk % 9 as ast", "pk % 3 as stl", "pk % 2 as blk", "(pk + game_id) % 5 as tov", "n + pk % 3 as pf", "10 + pk % 30 as min",
     )
     return made.withColumn("pts", F.expr("2 * fgm + fg3m + ftm"))
 
 
-def team_view(box: DataFrame) -> DataFrame:
-    """One row per (game, team): its players' sums plus the bench line."""
-    return box.groupBy("game_id", "team_id", "season", "season_type", "game_date").agg(*((F.sum(s) + BENCH[s]).alias(s) for s in STATS))
+def sides(box: DataFrame) -> DataFrame:
+    """One row per (game, side): tm_ columns are the side's players' sums plus the bench line, opp_ columns the other side's. One aggregate by game gives both."""
+    home = F.col("team_id") == F.col("home_id")
+    games = box.groupBy("game_id", "season", "season_type", "game_date", "home_id", "away_id").agg(
+        *((F.sum(F.when(at, F.col(s)).otherwise(0)) + BENCH[s]).alias(p + s) for p, at in (("h_", home), ("a_", ~home)) for s in STATS)
+    )
+    side = lambda own, other, p, q: F.struct(F.col(own).alias("team_id"), F.col(other).alias("opp_team_id"), *(F.col(p + s).alias("tm_" + s) for s in STATS), *(F.col(q + s).alias("opp_" + s) for s in STATS))
+    both = F.explode(F.array(side("home_id", "away_id", "h_", "a_"), side("away_id", "home_id", "a_", "h_")))
+    return games.select("game_id", "season", "season_type", "game_date", both.alias("side")).select("game_id", "side.team_id", "season", "season_type", "game_date", "side.opp_team_id", *(f"side.{p}{s}" for p in ("tm_", "opp_") for s in STATS))
 
 
-def sides(box: DataFrame) -> DataFrame:
-    """Both sides of the games that have exactly two teams: tm_ columns and the opponent's opp_ columns."""
-    teams = team_view(box)
-    two = teams.groupBy("game_id").agg(F.count("*").alias("k")).where("k = 2").select("game_id")
-    both = teams.join(two, "game_id", "left_semi")
-    own = both.select("game_id", "team_id", "season", "season_type", "game_date", *(F.col(s).alias("tm_" + s) for s in STATS))
-    other = both.select("game_id", F.col("team_id").alias("opp_team_id"), *(F.col(s).alias("opp_" + s) for s in STATS))
-    return own.join(other, "game_id").where("team_id != opp_team_id")
+def full_lines(box: DataFrame) -> DataFrame:
+    """Every box line with its side's tm_ columns and the other side's opp_ columns, by windows within the game."""
+    game, side = Window.partitionBy("game_id"), Window.partitionBy("game_id", "team_id")
+    both = box.withColumns({"tm_" + s: F.sum(s).over(side) for s in STATS}).withColumns({"opp_" + s: F.sum(s).over(game) - F.col("tm_" + s) for s in STATS})
+    return both.withColumns({p + s: F.col(p + s) + BENCH[s] for p in ("tm_", "opp_") for s in STATS})
 
 
 #: The same views as common table expressions, for oracle queries.
@@ -47,16 +54,17 @@ BOX_SQL = """grain as (
   select l_orderkey game_id, l_suppkey player_id, count(*) n, cast(sum(l_quantity) as bigint) q, cast(sum(l_linenumber) as bigint) ln, cast(sum(l_partkey) as bigint) pk
   from lineitem group by 1, 2),
 raw as (
-  select game_id, player_id, cast(s_nationkey as bigint) team_id, cast(year(o_orderdate) as bigint) season, o_orderstatus season_type, cast(o_orderdate as date) game_date,
+  select game_id, player_id, case when player_id % 2 = 0 then o_custkey % 25 else (o_custkey + 1 + o_orderkey % 24) % 25 end team_id, o_custkey % 25 home_id, (o_custkey + 1 + o_orderkey % 24) % 25 away_id,
+    cast(year(o_orderdate) as bigint) season, o_orderstatus season_type, cast(o_orderdate as date) game_date,
     q * 9 // 20 fgm, q fga, q * 9 // 60 fg3m, q * 2 // 5 fg3a, ln + pk % 2 ftm, 2 * ln fta, pk % 4 oreb, pk % 7 dreb, pk % 9 ast, pk % 3 stl, pk % 2 blk,
     (pk + game_id) % 5 tov, n + pk % 3 pf, 10 + pk % 30 "min"
-  from grain join orders on o_orderkey = game_id join supplier on s_suppkey = player_id),
+  from grain join orders on o_orderkey = game_id),
 box as (select *, 2 * fgm + fg3m + ftm pts from raw)"""
 SIDES_SQL = (
     BOX_SQL
-    + ",\nteams as (select game_id, team_id, season, season_type, game_date, "
-    + ", ".join(f'cast(sum("{s}") as bigint) + {BENCH[s]} "{s}"' for s in STATS)
-    + " from box group by 1, 2, 3, 4, 5),\ntwo as (select game_id from teams group by 1 having count(*) = 2),\nsides as (select a.game_id, a.team_id, a.season, a.season_type, a.game_date, b.team_id opp_team_id, "
-    + ", ".join(f'a."{s}" tm_{s}, b."{s}" opp_{s}' for s in STATS)
-    + " from teams a join teams b on a.game_id = b.game_id and a.team_id <> b.team_id where a.game_id in (select game_id from two))"
+    + ",\npre as (select game_id, season, season_type, game_date, home_id, away_id, "
+    + ", ".join(f'cast(sum(case when team_id {op} home_id then "{s}" else 0 end) as bigint) + {BENCH[s]} {p}{s}' for p, op in (("h_", "="), ("a_", "<>")) for s in STATS)
+    + " from box group by 1, 2, 3, 4, 5, 6),\nsides as ("
+    + " union all ".join(f"select game_id, {own} team_id, season, season_type, game_date, {other} opp_team_id, " + ", ".join(f"{p}{s} tm_{s}, {q}{s} opp_{s}" for s in STATS) + " from pre" for own, other, p, q in (("home_id", "away_id", "h_", "a_"), ("away_id", "home_id", "a_", "h_")))
+    + ")"
 )
