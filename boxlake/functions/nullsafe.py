@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 
 def sdiv(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a.cast("double") / b.cast("double"))
+    """a / b as a double, null where b is 0 or either is null. One expression: guards that repeat b make methods too long for the JVM to compile."""
+    return F.try_divide(a, b)
 
 
 def positive(x: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from boxlake import catalog
 from boxlake.functions import parsing
 from boxlake.operators import windows
-from boxlake.plans.queries import GAME_SQL, SEASON_SQL, full_lines, player_seasons, query, r
+from boxlake.plans.queries import GAME_SQL, SEASON_SQL, full_lines, player_seasons, query, r, rounded
 from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, sides, table
 
 
@@ -37,7 +37,7 @@ def name_search(spark, sf_dir):
 
 
 @query(f"""with {SEASON_SQL}, v as (select season, season_type, player_id, cast(pts as double) / gp ppg, 100.0 * fgm / nullif(fga, 0) pct from ps)
-  select season, season_type, player_id, printf('%.1f', round(cast(ppg as decimal(38,12)), 1)) ppg, coalesce(printf('%.1f', round(cast(pct as decimal(38,12)), 1)) || '%', '—') fg from v""")
+  select season, season_type, player_id, printf('%.1f', round(cast(ppg as decimal(38,12)), 1)) ppg, coalesce(printf('%.1f', round(cast(pct as decimal(38,12)), 1)) || '%', '—') fg from v""", rounds=True)
 def formatted_lines(spark, sf_dir):
     s = player_seasons(spark, sf_dir)
     per, pct = F.expr("cast(pts as double) / gp"), F.expr("fgm / nullif(cast(fga as double), 0)")
@@ -59,13 +59,13 @@ def metric_availability(spark, sf_dir):
 def resolved_metrics(spark, sf_dir):
     lines = full_lines(spark, sf_dir)
     get = lambda k: catalog.resolve(k, lines.columns)
-    return lines.select("game_id", "player_id", get("reb"), *(r(get(k), k) for k in ("fg_pct", "ast_tov", "opp_efg_pct", "opp_ftr")), r(get("poss"), "poss", 5), get("bpm"))
+    return lines.select("game_id", "player_id", get("reb"), *(r(get(k), k) for k in ("fg_pct", "ast_tov", "opp_efg_pct", "opp_ftr")), r(get("poss"), "poss"), get("bpm"))
 
 
 @query(f"""with {GAME_SQL} select season, season_type, player_id, count(*) n, round(avg(fgm / nullif(fga, 0)), 9) v from full_lines group by 1, 2, 3""")
 def metric_means(spark, sf_dir):
     lines = full_lines(spark, sf_dir)
-    return lines.withColumn("v", catalog.resolve("fg_pct", lines.columns)).groupBy("season", "season_type", "player_id").agg(F.count("*").alias("n"), r(F.avg("v"), "v", 9))
+    return lines.withColumn("v", catalog.resolve("fg_pct", lines.columns)).groupBy("season", "season_type", "player_id").agg(F.count("*").alias("n"), r(F.avg("v"), "v"))
 
 
 @query(f"""with {BOX_SQL}, s as (select *, avg(pts) over (partition by season, season_type, player_id) base, max(game_date) over (partition by season) last_ from box)
@@ -75,28 +75,28 @@ def daily_movers(spark, sf_dir):
     last = box.groupBy("season").agg(F.max("game_date").alias("game_date"))  # one row a season
     base = box.groupBy("season", "season_type", "player_id").agg(F.avg("pts").alias("base"))
     day = box.join(F.broadcast(last), ["season", "game_date"], "left_semi").where("min >= 12")
-    return day.join(base, ["season", "season_type", "player_id"]).select("season", "game_id", "player_id", "pts", r(F.col("pts") - F.col("base"), "delta", 5))
+    return day.join(base, ["season", "season_type", "player_id"]).select("season", "game_id", "player_id", "pts", r(F.col("pts") - F.col("base"), "delta"))
 
 
 @query(f"""with {SEASON_SQL}, c as (select player_id, season, cast(sum(pts) as double) / sum(gp) ppg from ps group by 1, 2)
-  select player_id, season, round(ppg, 5) ppg, round(ppg - lag(ppg) over w, 5) change, season = first_value(season) over (partition by player_id order by round(ppg, 6) desc, season) peak from c window w as (partition by player_id order by season)""")
+  select player_id, season, round(ppg, 5) ppg, round(ppg - lag(ppg) over w, 5) change, season = first_value(season) over (partition by player_id order by round(ppg, 6) desc, season) peak from c window w as (partition by player_id order by season)""", rounds=True)
 def career_arc(spark, sf_dir):
     c = player_seasons(spark, sf_dir).groupBy("player_id", "season").agg((F.sum("pts").cast("double") / F.sum("gp")).alias("ppg"))
     by, best = Window.partitionBy("player_id").orderBy("season"), Window.partitionBy("player_id").orderBy(F.desc(F.round("ppg", 6)), "season")
-    return c.select("player_id", "season", r(F.col("ppg"), "ppg", 5), r(F.col("ppg") - F.lag("ppg").over(by), "change", 5), (F.col("season") == F.first("season").over(best)).alias("peak"))
+    return c.select("player_id", "season", rounded(F.col("ppg"), "ppg", 5), rounded(F.col("ppg") - F.lag("ppg").over(by), "change", 5), (F.col("season") == F.first("season").over(best)).alias("peak"))
 
 
 @query(f"""with {SIDES_SQL}, t as (select season, season_type, team_id, sum(tm_pts) * 100.0 / sum(tm_fga + 0.44 * tm_fta - tm_oreb + tm_tov) o, sum(opp_pts) * 100.0 / sum(tm_fga + 0.44 * tm_fta - tm_oreb + tm_tov) d, avg(case when tm_pts > opp_pts then 1.0 else 0.0 end) win from sides group by 1, 2, 3),
  q as (select season, season_type, team_id, round(o, 4) ortg, round(d, 4) drtg, round(o - d, 4) net, round(win, 5) win_pct from t)
- select *, dense_rank() over (partition by season, season_type order by ortg desc) o_rank, dense_rank() over (partition by season, season_type order by drtg) d_rank, dense_rank() over (partition by season, season_type order by net desc) n_rank from q""")
+ select *, dense_rank() over (partition by season, season_type order by ortg desc) o_rank, dense_rank() over (partition by season, season_type order by drtg) d_rank, dense_rank() over (partition by season, season_type order by net desc) n_rank from q""", rounds=True)
 def team_efficiency(spark, sf_dir):
     scope = ["season", "season_type"]
     poss = F.sum(F.expr("tm_fga + 0.44d * tm_fta - tm_oreb + tm_tov"))
     t = sides(box_view(spark, sf_dir)).groupBy(*scope, "team_id").agg(
-        F.sum("tm_pts").alias("p"), F.sum("opp_pts").alias("a"), poss.alias("q"), r(F.avg((F.col("tm_pts") > F.col("opp_pts")).cast("double")), "win_pct", 5)
+        F.sum("tm_pts").alias("p"), F.sum("opp_pts").alias("a"), poss.alias("q"), rounded(F.avg((F.col("tm_pts") > F.col("opp_pts")).cast("double")), "win_pct", 5)
     )
     o, d = 100 * F.col("p") / F.col("q"), 100 * F.col("a") / F.col("q")
-    t = t.select(*scope, "team_id", r(o, "ortg", 4), r(d, "drtg", 4), r(o - d, "net", 4), "win_pct")
+    t = t.select(*scope, "team_id", rounded(o, "ortg", 4), rounded(d, "drtg", 4), rounded(o - d, "net", 4), "win_pct")
     rank = lambda c, high, name: windows.dense_rank_by(c, scope, high).cast("long").alias(name)
     return t.select("*", rank("ortg", True, "o_rank"), rank("drtg", False, "d_rank"), rank("net", True, "n_rank"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,17 +19,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, rounds: bool = False):
+    """Registers a query with its SQL. Where rounded values are ranked or shown (``rounds``), both sides round; elsewhere neither does, as rounding doubles is slow and makes ties."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = sql if rounds else unrounded(sql)
         return f
 
     return add
 
 
-def r(column, name: str, digits: int = 6):
+def unrounded(sql: str) -> str:
+    """sql with every round(x, digits) replaced by x as a double."""
+    while (found := re.search(r"\bround\(", sql)) is not None:
+        depth, at, comma = 1, found.end(), None
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[at], 0)
+            comma = at if sql[at] == "," and depth == 1 else comma
+            at += 1
+        sql = f"{sql[:found.start()]}cast(({sql[found.end() : comma]}) as double){sql[at:]}"
+    return sql
+
+
+def r(column, name: str):
+    return column.cast("double").alias(name)
+
+
+def rounded(column, name: str, digits: int = 6):
     return F.round(column, digits).alias(name)
 
 
@@ -39,10 +58,10 @@ def player_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box_view(spark, sf_dir).groupBy("season", "season_type", "player_id").agg(F.count("*").alias("gp"), *(F.sum(s).alias(s) for s in STATS))
 
 
-@query(f"with {BOX_SQL} select season, season_type, team_id, player_id, count(*) gp, cast(sum(pts) as bigint) total_pts, round(avg(pts), 1) ppg, round(avg(ast), 1) apg, round(100.0 * sum(fgm) / nullif(sum(fga), 0), 1) fg_pct from box group by 1, 2, 3, 4")
+@query(f"with {BOX_SQL} select season, season_type, team_id, player_id, count(*) gp, cast(sum(pts) as bigint) total_pts, round(avg(pts), 1) ppg, round(avg(ast), 1) apg, round(100.0 * sum(fgm) / nullif(sum(fga), 0), 1) fg_pct from box group by 1, 2, 3, 4", rounds=True)
 def season_averages(spark, sf_dir):
     g = box_view(spark, sf_dir).groupBy("season", "season_type", "team_id", "player_id")
-    return g.agg(F.count("*").alias("gp"), F.sum("pts").alias("total_pts"), r(F.avg("pts"), "ppg", 1), r(F.avg("ast"), "apg", 1), r(100.0 * sdiv(F.sum("fgm"), F.sum("fga")), "fg_pct", 1))
+    return g.agg(F.count("*").alias("gp"), F.sum("pts").alias("total_pts"), rounded(F.avg("pts"), "ppg", 1), rounded(F.avg("ast"), "apg", 1), rounded(100.0 * sdiv(F.sum("fgm"), F.sum("fga")), "fg_pct", 1))
 
 
 @query(f"""with {SEASON_SQL} select season, season_type, player_id, round((fgm + 0.5 * fg3m) / nullif(fga, 0), 6) efg, round(pts / nullif(2 * (fga + 0.44 * fta), 0), 6) ts,
@@ -99,7 +118,7 @@ def game_scores(spark, sf_dir):
 def offensive_ratings(spark, sf_dir):
     lines = b.staged(full_lines(spark, sf_dir), b.OFFENCE)
     done = {f.__name__: F.col(f.__name__) for step in b.OFFENCE for f in step}
-    return lines.select("game_id", "player_id", r(done["scoring_possessions"], "sc_poss", 5), r(done["total_possessions"], "tot_poss", 5), r(b.floor_pct(done), "floor_pct", 5), r(done["points_produced"], "pprod", 5), r(b.offensive_rating(done), "ortg", 5))
+    return lines.select("game_id", "player_id", r(done["scoring_possessions"], "sc_poss"), r(done["total_possessions"], "tot_poss"), r(b.floor_pct(done), "floor_pct"), r(done["points_produced"], "pprod"), r(b.offensive_rating(done), "ortg"))
 
 
 @query(f"""with {GAME_SQL},
@@ -112,7 +131,7 @@ def offensive_ratings(spark, sf_dir):
 def defensive_ratings(spark, sf_dir):
     lines = b.staged(full_lines(spark, sf_dir), b.DEFENCE)
     done = {f.__name__: F.col(f.__name__) for step in b.DEFENCE for f in step}
-    return lines.select("game_id", "player_id", r(done["stops"], "stops", 5), r(done["stop_pct"], "stop_pct", 5), r(b.defensive_rating(done), "drtg", 5))
+    return lines.select("game_id", "player_id", r(done["stops"], "stops"), r(done["stop_pct"], "stop_pct"), r(b.defensive_rating(done), "drtg"))
 
 
 def _pie(p: str) -> str:
@@ -131,7 +150,7 @@ def impact_estimate(spark, sf_dir):
 def team_seasons(spark, sf_dir):
     totals = sides(box_view(spark, sf_dir)).groupBy("season", "season_type", "team_id").agg(
         F.count("*").alias("gp"), F.count_if(F.col("tm_pts") > F.col("opp_pts")).alias("wins"), F.count_if(F.col("tm_pts") < F.col("opp_pts")).alias("losses"),
-        r(F.avg("tm_pts"), "ppg", 4), r(F.avg("opp_pts"), "opp_ppg", 4), *(F.sum(p + s).alias(p + s) for p in ("tm_", "opp_") for s in STATS),
+        r(F.avg("tm_pts"), "ppg"), r(F.avg("opp_pts"), "opp_ppg"), *(F.sum(p + s).alias(p + s) for p in ("tm_", "opp_") for s in STATS),
     )
     four = b.four_factors()
     return totals.select("season", "season_type", "team_id", "gp", "wins", "losses", "ppg", "opp_ppg", r(four["efg_pct"], "efg"), r(four["tov_pct"], "tov"), r(four["oreb_pct"], "oreb"), r(four["ft_rate"], "ftr"))
@@ -144,7 +163,7 @@ def league_distribution(spark, sf_dir):
     per = player_seasons(spark, sf_dir).select("season", "season_type", "player_id", *(sdiv(F.col(s), F.col("gp")).alias(n) for s, n in (("pts", "ppg"), ("ast", "apg"), ("min", "mpg"))))
     long = per.unpivot(["season", "season_type", "player_id"], ["ppg", "apg", "mpg"], "metric", "v")
     return long.groupBy("season", "season_type", "metric").agg(
-        F.count("v").alias("n"), r(F.avg("v"), "mean", 5), r(F.stddev_pop("v"), "sd", 5), r(F.percentile("v", 0.1), "p10", 5), r(F.percentile("v", 0.5), "p50", 5), r(F.percentile("v", 0.9), "p90", 5), r(F.min("v"), "low", 5), r(F.max("v"), "high", 5)
+        F.count("v").alias("n"), r(F.avg("v"), "mean"), r(F.stddev_pop("v"), "sd"), r(F.percentile("v", 0.1), "p10"), r(F.percentile("v", 0.5), "p50"), r(F.percentile("v", 0.9), "p90"), r(F.min("v"), "low"), r(F.max("v"), "high")
     ).where("n >= 2")
 
 
@@ -155,16 +174,16 @@ LEADERS_SQL = f"""with {SEASON_SQL}, e as (select season, season_type, player_id
   round(v - avg(v) over (partition by season, season_type), 4) vs_league from q"""
 
 
-@query(LEADERS_SQL)
+@query(LEADERS_SQL, rounds=True)
 def leaderboard(spark, sf_dir):
     scope = ["season", "season_type"]
     per = player_seasons(spark, sf_dir).select(*scope, "player_id", "gp", F.round(sdiv(F.col("pts"), F.col("gp")), 4).alias("v"))
     top = F.max("gp").over(Window.partitionBy(*scope))
     able = per.withColumn("top", top).where(F.col("gp") >= F.greatest(F.lit(1), F.floor(0.2 * F.col("top"))))
-    return able.select(*scope, "player_id", "v", windows.dense_rank_by("v", scope).cast("long").alias("rank"), r(windows.midrank_percentile("v", scope), "percentile"), r(F.col("v") - F.avg("v").over(Window.partitionBy(*scope)), "vs_league", 4))
+    return able.select(*scope, "player_id", "v", windows.dense_rank_by("v", scope).cast("long").alias("rank"), rounded(windows.midrank_percentile("v", scope), "percentile"), rounded(F.col("v") - F.avg("v").over(Window.partitionBy(*scope)), "vs_league", 4))
 
 
-@query(f"select * from ({LEADERS_SQL}) where \"rank\" <= 10")
+@query(f"select * from ({LEADERS_SQL}) where \"rank\" <= 10", rounds=True)
 def leaderboard_top(spark, sf_dir):
     return leaderboard(spark, sf_dir).where("rank <= 10")
 
@@ -177,13 +196,13 @@ def rolling_form(spark, sf_dir):
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     gap = F.datediff("d", F.lag("d").over(by)).cast("long")
     rest = F.when(gap.isNotNull(), windows.rest_days("d", ["user_id"], ["ts", "event_id"]).cast("long"))
-    return e.select("user_id", "event_id", r(windows.rolling_mean("value", ["user_id"], ["ts", "event_id"], 10), "rolling10", 5), gap.alias("day_gap"), rest.alias("rest"))
+    return e.select("user_id", "event_id", r(windows.rolling_mean("value", ["user_id"], ["ts", "event_id"], 10), "rolling10"), gap.alias("day_gap"), rest.alias("rest"))
 
 
 @query("""with a as (select user_id, value, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 age from events)
   select user_id, round(sum(pow(0.5, age / 5.0) * value) / sum(case when value is not null then pow(0.5, age / 5.0) end), 5) ewma from a group by 1""")
 def ewma_form(spark, sf_dir):
-    return windows.ewma_by(table(spark, sf_dir, "events"), "value", ["user_id"], ["ts", "event_id"], 5.0).select("user_id", r(F.col("ewma"), "ewma", 5))
+    return windows.ewma_by(table(spark, sf_dir, "events"), "value", ["user_id"], ["ts", "event_id"], 5.0).select("user_id", r(F.col("ewma"), "ewma"))
 
 
 @query(f"""with {BOX_SQL} select game_id, player_id, round(pts - avg(pts) over (partition by season, season_type, player_id), 5) vs_own, round(pts - avg(pts) over (partition by season, season_type), 5) vs_league,
@@ -194,7 +213,7 @@ def deltas_and_shares(spark, sf_dir):
     own, game, p = Window.partitionBy("season", "season_type", "player_id"), Window.partitionBy("game_id"), F.col("pts")
     league = box.groupBy("season", "season_type").agg(F.avg("pts").alias("league"))
     lines = box.withColumn("share", r(sdiv(p, F.sum(p).over(game)), "share")).join(F.broadcast(league), ["season", "season_type"])
-    return lines.select("game_id", "player_id", r(p - F.avg(p).over(own), "vs_own", 5), r(p - F.col("league"), "vs_league", 5), "share")
+    return lines.select("game_id", "player_id", r(p - F.avg(p).over(own), "vs_own"), r(p - F.col("league"), "vs_league"), "share")
 
 
 @query(f"""with {SEASON_SQL} select player_id, cast(sum(gp) as bigint) gp, cast(sum(pts) as bigint) pts, round(sum(pts) / nullif(sum(gp), 0), 5) ppg, round(sum(ast * 1.0 / gp * "min") / nullif(sum("min"), 0), 5) apg_by_minutes,
@@ -203,7 +222,7 @@ def career_totals(spark, sf_dir):
     s = player_seasons(spark, sf_dir)
     key = F.col("gp") * 100000 + F.col("season") * 10 + F.ascii("season_type") % 10
     return s.groupBy("player_id").agg(
-        F.sum("gp").alias("gp"), F.sum("pts").alias("pts"), r(sdiv(F.sum("pts"), F.sum("gp")), "ppg", 5), r(sdiv(F.sum(sdiv(F.col("ast"), F.col("gp")) * F.col("min")), F.sum("min")), "apg_by_minutes", 5),
+        F.sum("gp").alias("gp"), F.sum("pts").alias("pts"), r(sdiv(F.sum("pts"), F.sum("gp")), "ppg"), r(sdiv(F.sum(sdiv(F.col("ast"), F.col("gp")) * F.col("min")), F.sum("min")), "apg_by_minutes"),
         F.max("pts").alias("best_pts"), F.min("tov").alias("least_tov"), F.countDistinct("season").alias("seasons"), F.max_by(F.col("season") * 10 + F.length("season_type"), key).alias("peak"),
     )
 
@@ -221,7 +240,7 @@ def top_performers(spark, sf_dir):
 @query(f"""with {SIDES_SQL}, o as (select game_id, team_id, opp_team_id, season, season_type, tm_pts, sum(tm_pts) over w s, count(*) over w n from sides window w as (partition by season, season_type, opp_team_id))
   select game_id, team_id, case when n - 1 >= 2 then round((s - tm_pts) / (n - 1), 5) end others_mean from o""")
 def adjusted_opponent_points(spark, sf_dir):
-    return joins.leave_one_out_mean(sides(box_view(spark, sf_dir)), "tm_pts", ["season", "season_type", "opp_team_id"], 2).select("game_id", "team_id", r(F.col("others_mean"), "others_mean", 5))
+    return joins.leave_one_out_mean(sides(box_view(spark, sf_dir)), "tm_pts", ["season", "season_type", "opp_team_id"], 2).select("game_id", "team_id", r(F.col("others_mean"), "others_mean"))
 
 
 @query("""with e as (select user_id, ts, event_id, value from events where event_type = 'purchase'), x as (select user_id, ts, max(event_id) error_id from events where event_type = 'error' group by 1, 2)
@@ -252,14 +271,14 @@ def name_crosswalk(spark, sf_dir):
   round(sqrt(avg(pow(tm_pts - opp_pts, 2))), 5) rms_margin, round(var_samp(tm_pts), 4) var_pts from sides group by 1""")
 def venue_splits(spark, sf_dir):
     home, away = F.col("team_id") < F.col("opp_team_id"), F.col("team_id") > F.col("opp_team_id")
-    return sides(box_view(spark, sf_dir)).groupBy("team_id").agg(F.count_if(home).alias("home"), r(F.avg(F.when(home, F.col("tm_pts"))), "home_ppg", 5), r(F.avg(F.when(away, F.col("tm_pts"))), "away_ppg", 5), r(F.sqrt(F.avg(F.pow(F.col("tm_pts") - F.col("opp_pts"), 2))), "rms_margin", 5), r(F.var_samp("tm_pts"), "var_pts", 4))
+    return sides(box_view(spark, sf_dir)).groupBy("team_id").agg(F.count_if(home).alias("home"), r(F.avg(F.when(home, F.col("tm_pts"))), "home_ppg"), r(F.avg(F.when(away, F.col("tm_pts"))), "away_ppg"), r(F.sqrt(F.avg(F.pow(F.col("tm_pts") - F.col("opp_pts"), 2))), "rms_margin"), r(F.var_samp("tm_pts"), "var_pts"))
 
 
 @query("""select p_type, count(*) n, round(sum(l_quantity) / sum(sum(l_quantity)) over (), 6) share, round(sum(l_extendedprice) / nullif(sum(l_quantity), 0), 4) per_shot from lineitem join part on l_partkey = p_partkey group by 1""")
 def shot_diet(spark, sf_dir):
     z = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("x"))
     whole = z.agg(F.sum("q").alias("whole"))  # one row
-    return z.crossJoin(F.broadcast(whole)).select("p_type", "n", r(sdiv(F.col("q"), F.col("whole")), "share"), r(sdiv(F.col("x"), F.col("q")), "per_shot", 4))
+    return z.crossJoin(F.broadcast(whole)).select("p_type", "n", r(sdiv(F.col("q"), F.col("whole")), "share"), r(sdiv(F.col("x"), F.col("q")), "per_shot"))
 
 
 @query(f"""with {SEASON_SQL}, c as (select player_id, sum(pts) cp, sum("min") cm from ps group by 1)
@@ -268,7 +287,7 @@ def regressed_rates(spark, sf_dir):
     s = player_seasons(spark, sf_dir)
     c = s.groupBy("player_id").agg(F.sum("pts").alias("cp"), F.sum("min").alias("cm"))
     per = sdiv(F.col("pts"), F.col("gp"))
-    return s.join(c, "player_id").select("season", "season_type", "player_id", r(models.regressed_rate(F.col("pts"), F.col("min"), F.col("cp"), F.col("cm")), "rate"), r(models.nb_variance(per, F.lit(0.1)), "nb_var", 5))
+    return s.join(c, "player_id").select("season", "season_type", "player_id", r(models.regressed_rate(F.col("pts"), F.col("min"), F.col("cp"), F.col("cm")), "rate"), r(models.nb_variance(per, F.lit(0.1)), "nb_var"))
 
 
 @query(f"""with {BOX_SQL}, m as (select player_id, pts y, avg(pts) over (partition by player_id) mu from box),
@@ -278,7 +297,7 @@ def dispersion_multipliers(spark, sf_dir):
     m = box_view(spark, sf_dir).select("player_id", F.col("pts").alias("y"), F.avg("pts").over(Window.partitionBy("player_id")).alias("mu"))
     fitted = m.agg(models.fit_dispersion("y", "mu").alias("alpha"))  # one row
     z = F.pow(F.col("y") - F.col("mu"), 2) / models.nb_variance(F.col("mu"), F.col("alpha"))
-    return m.where("mu > 0").crossJoin(F.broadcast(fitted)).groupBy("player_id").agg(F.count("*").alias("n"), r(models.shrunk_multiplier(F.avg(z), F.count("*")), "multiplier", 5))
+    return m.where("mu > 0").crossJoin(F.broadcast(fitted)).groupBy("player_id").agg(F.count("*").alias("n"), r(models.shrunk_multiplier(F.avg(z), F.count("*")), "multiplier"))
 
 
 CATS = ("pts", "ast", "stl", "blk", "fg3m")
@@ -286,11 +305,11 @@ CATS = ("pts", "ast", "stl", "blk", "fg3m")
 
 @query(f"""with {SEASON_SQL}, l as (select player_id, {", ".join(f"cast(sum({s}) as double) / sum(gp) {s}" for s in CATS)} from ps group by 1), p as (select * from l order by round(pts, 6) desc, player_id limit 150),
  m as (select {", ".join(f"avg({s}) m_{s}, stddev_pop({s}) s_{s}" for s in CATS)} from p)
- select player_id, round({" + ".join(f"case when s_{s} > 0 then ({s} - m_{s}) / s_{s} else 0 end" for s in CATS)}, 4) total_z from l, m""")
+ select player_id, round({" + ".join(f"case when s_{s} > 0 then ({s} - m_{s}) / s_{s} else 0 end" for s in CATS)}, 4) total_z from l, m""", rounds=True)
 def fantasy_values(spark, sf_dir):
     s = player_seasons(spark, sf_dir)
     lines = s.groupBy("player_id").agg(*(sdiv(F.sum(x), F.sum("gp")).alias(x) for x in CATS)).withColumn("seed", F.round("pts", 6))
-    return models.value_pool(lines, 150, list(CATS), "seed", "player_id").select("player_id", r(F.col("total_z"), "total_z", 4))
+    return models.value_pool(lines, 150, list(CATS), "seed", "player_id").select("player_id", rounded(F.col("total_z"), "total_z", 4))
 
 
 @query(f"""with {SIDES_SQL} select game_id, team_id, tm_pts = 2 * (tm_fgm - tm_fg3m) + 3 * tm_fg3m + tm_ftm - 0 as points_ok, tm_fgm <= tm_fga and tm_fg3m <= tm_fg3a and tm_ftm <= tm_fta makes_ok, tm_pts <> opp_pts decided from sides""")
@@ -310,7 +329,7 @@ def streamed_daily(spark, sf_dir):
     from boxlake.streaming.ingest import stream_daily
 
     schema = table(spark, sf_dir, "events").schema
-    return stream_daily(spark, sf_dir, "events.parquet", schema, shared_dir(spark)).select("day", "event_type", "n", r(F.col("total"), "total", 4))
+    return stream_daily(spark, sf_dir, "events.parquet", schema, shared_dir(spark)).select("day", "event_type", "n", r(F.col("total"), "total"))
 
 
 @query()

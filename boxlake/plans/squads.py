@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from boxlake.functions.nullsafe import sdiv
 from boxlake.operators import models, projection, squads, valuation
-from boxlake.plans.queries import CATS, SEASON_SQL, player_seasons, query, r
+from boxlake.plans.queries import CATS, SEASON_SQL, player_seasons, query, r, rounded
 from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, sides, table
 
 STATUS = "case player_id % 7 when 0 then 'out' when 1 then 'doubtful' when 2 then 'questionable' when 3 then 'probable' when 4 then 'available' end"
@@ -26,14 +26,14 @@ def squad_players(spark, sf_dir):
 @query(INJURY_SQL + " select team_id, season, round(ab, 5) absorbed, round(boost, 6) boost, round(avail + eff, 5) squad_points, round(case when full_ = 0 then 1 else (avail + eff) / full_ end, 6) factor from b")
 def injury_layer(spark, sf_dir):
     t = squads.injury_totals(squad_players(spark, sf_dir), ["team_id", "season"])
-    return t.select("team_id", "season", r(F.col("absorbed"), "absorbed", 5), r(F.col("boost"), "boost"), r(F.col("squad_points"), "squad_points", 5), r(F.col("factor"), "factor"))
+    return t.select("team_id", "season", r(F.col("absorbed"), "absorbed"), r(F.col("boost"), "boost"), r(F.col("squad_points"), "squad_points"), r(F.col("factor"), "factor"))
 
 
 @query(INJURY_SQL + " select team_id, season, player_id, round(p * c * boost, 9) points, round(m * c * least(1 + 0.7 * lm / greatest(am, 1), 1.15), 9) as minutes from b join pl using (team_id, season)")
 def injury_projected_players(spark, sf_dir):
     p = squad_players(spark, sf_dir)
     out = squads.injury_players(p, squads.injury_totals(p, ["team_id", "season"]), ["team_id", "season"])
-    return out.select("team_id", "season", "player_id", r(F.col("projected_points"), "points", 9), r(F.col("projected_minutes"), "minutes", 9))
+    return out.select("team_id", "season", "player_id", r(F.col("projected_points"), "points"), r(F.col("projected_minutes"), "minutes"))
 
 
 @query(f"""with {BOX_SQL}, pl as (select team_id, player_id, avg("min") m from box group by 1, 2), o as (select *, row_number() over w - 1 i, sum(m) over (partition by team_id order by m desc, player_id rows between current row and unbounded following) mass from pl window w as (partition by team_id order by m desc, player_id)),
@@ -42,7 +42,7 @@ def injury_projected_players(spark, sf_dir):
  select team_id, player_id, round(case when j is null or i < j then 40.0 else coalesce(m * fj, m) end, 5) as minutes from g""")
 def squad_minutes(spark, sf_dir):
     p = box_view(spark, sf_dir).groupBy("team_id", "player_id").agg(F.avg("min").alias("m"))
-    return squads.normalised_minutes(p, ["team_id"], "player_id", "m").select("team_id", "player_id", r(F.col("normalised"), "minutes", 5))
+    return squads.normalised_minutes(p, ["team_id"], "player_id", "m").select("team_id", "player_id", r(F.col("normalised"), "minutes"))
 
 
 DEFENCE_SQL = f"""with {SIDES_SQL}, w as (select 0 pos, 'G' bucket, 1.0 w union all select 1, 'G', 0.5 union all select 1, 'F', 0.5 union all select 2, 'F', 1.0 union all select 3, 'F', 0.5 union all select 3, 'C', 0.5 union all select 4, 'C', 1.0),
@@ -68,7 +68,7 @@ def position_games(spark, sf_dir):
 @query(DEFENCE_SQL)
 def defence_by_position(spark, sf_dir):
     d = squads.defence_by_position(position_games(spark, sf_dir), ["season"], "team_id", least=4)
-    return d.select("season", "team_id", "bucket", "n", r(F.col("allowed"), "allowed", 5), r(F.col("raw_index"), "raw_index", 5), r(F.col("se"), "se", 5), r(F.col("index"), "index", 5))
+    return d.select("season", "team_id", "bucket", "n", r(F.col("allowed"), "allowed"), r(F.col("raw_index"), "raw_index"), r(F.col("se"), "se"), r(F.col("index"), "index"))
 
 
 @query("""with e as (select user_id, event_id, ts, event_type, cast(ts as date) + interval 20 hour deadline, lag(event_type) over (partition by user_id order by ts, event_id) b from events)
@@ -105,14 +105,14 @@ def projected(spark, sf_dir):
 @query(PROJECT_SQL)
 def player_projection(spark, sf_dir):
     p = projected(spark, sf_dir)
-    return p.select("player_id", *(r(F.col(x), x, 5) for x in ("minutes_mean", "minutes_low", "minutes_high")), r(F.col("rate"), "rate"), r(F.col("mean_pts"), "mean_pts", 5))
+    return p.select("player_id", *(r(F.col(x), x) for x in ("minutes_mean", "minutes_low", "minutes_high")), r(F.col("rate"), "rate"), r(F.col("mean_pts"), "mean_pts"))
 
 
 @query()
 def projection_intervals(spark, sf_dir):
     """The growth of a count interval is sequential and has no SQL form; a test holds it against brute force."""
     alpha = projection.effective_alpha(F.col("mean_pts"), F.lit(0.1), F.lit(1.1))
-    return projection.with_intervals(projected(spark, sf_dir).withColumn("alpha", alpha), "mean_pts", "alpha").select("player_id", r(F.col("mean_pts"), "mean_pts", 5), "low", "high")
+    return projection.with_intervals(projected(spark, sf_dir).withColumn("alpha", alpha), "mean_pts", "alpha").select("player_id", r(F.col("mean_pts"), "mean_pts"), "low", "high")
 
 
 VALUED_SQL = f"""with {SEASON_SQL}, l as (select player_id, {", ".join(f"cast(sum({s}) as double) / sum(gp) {s}" for s in CATS)} from ps group by 1), p as (select * from l order by round(pts, 6) desc, player_id limit 50),
@@ -129,22 +129,22 @@ def valued(spark, sf_dir):
 @query(VALUED_SQL + """, top as (select *, row_number() over (order by total_z desc, player_id) k from v), rep as (select coalesce(avg(total_z), 0) rv from top where k > 5 and k <= 10),
  legs as (select p_partkey trade_id, case when p_partkey % 2 = 0 then 'give' else 'get' end side, p_size player_id from part union all select p_partkey, 'give', p_size + 1 from part where p_partkey % 3 = 0),
  t as (select trade_id, sum(case when side = 'get' then total_z else -total_z end) ch, count(*) filter (side = 'give') - count(*) filter (side = 'get') spots from legs join v using (player_id) group by 1)
- select trade_id, round(ch, 9) change_z, round(spots * rv, 9) roster_adjustment, round(ch + spots * rv, 9) net_z from t, rep""")
+ select trade_id, round(ch, 9) change_z, round(spots * rv, 9) roster_adjustment, round(ch + spots * rv, 9) net_z from t, rep""", rounds=True)
 def fantasy_trades(spark, sf_dir):
     p, v = table(spark, sf_dir, "part"), valued(spark, sf_dir)
     side = F.when(F.col("p_partkey") % 2 == 0, "give").otherwise("get")
     first = p.select(F.col("p_partkey").alias("trade_id"), side.alias("side"), F.col("p_size").cast("long").alias("player_id"))
     more = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("trade_id"), F.lit("give").alias("side"), (F.col("p_size") + 1).cast("long").alias("player_id"))
     t = valuation.evaluate_trades(first.unionByName(more), v, valuation.replacement_value(v, "player_id", 5, 5), "player_id")
-    return t.select("trade_id", *(r(F.col(x), x, 9) for x in ("change_z", "roster_adjustment", "net_z")))
+    return t.select("trade_id", *(rounded(F.col(x), x, 9) for x in ("change_z", "roster_adjustment", "net_z")))
 
 
 @query(VALUED_SQL + f""", s as ({" union all ".join(f"select '{c}' c, sum(z_{c}) z, count(*) have from v where player_id % 10 = 3" for c in CATS)}), k as (select c from s order by z, c limit 3), h as (select max(have) have from s),
  d as (select player_id, total_z, round(total_z + case when have >= 3 then 0.25 * ({" + ".join(f"case when exists (select 1 from k where k.c = '{c}') then z_{c} else 0 end" for c in CATS)}) / 3 else 0 end, 6) g from v, h where player_id % 10 not in (3, 4))
- select player_id, round(total_z, 4) total_z, round(g, 4) suggestion from d order by g desc, player_id limit 20""")
+ select player_id, round(total_z, 4) total_z, round(g, 4) suggestion from d order by g desc, player_id limit 20""", rounds=True)
 def fantasy_draft_board(spark, sf_dir):
     v = valued(spark, sf_dir)
     b = valuation.draft_board(v, list(CATS), v.where("player_id % 10 in (3, 4)"), v.where("player_id % 10 = 3"), "player_id", 20)
-    return b.select("player_id", r(F.col("total_z"), "total_z", 4), r(F.col("suggestion"), "suggestion", 4))
+    return b.select("player_id", rounded(F.col("total_z"), "total_z", 4), rounded(F.col("suggestion"), "suggestion", 4))
 
 

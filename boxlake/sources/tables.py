@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 STATS = ("fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "dreb", "ast", "stl", "blk", "tov", "pf", "pts", "min")
 # The bench line that is added to every team, so that a team is more than its listed players.
@@ -33,20 +32,19 @@ def box_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sides(box: DataFrame) -> DataFrame:
     """One row per (game, side): tm_ columns are the side's players' sums plus the bench line, opp_ columns the other side's. One aggregate by game gives both."""
-    home = F.col("team_id") == F.col("home_id")
-    games = box.groupBy("game_id", "season", "season_type", "game_date", "home_id", "away_id").agg(
-        *((F.sum(F.when(at, F.col(s)).otherwise(0)) + BENCH[s]).alias(p + s) for p, at in (("h_", home), ("a_", ~home)) for s in STATS)
-    )
-    side = lambda own, other, p, q: F.struct(F.col(own).alias("team_id"), F.col(other).alias("opp_team_id"), *(F.col(p + s).alias("tm_" + s) for s in STATS), *(F.col(q + s).alias("opp_" + s) for s in STATS))
-    both = F.explode(F.array(side("home_id", "away_id", "h_", "a_"), side("away_id", "home_id", "a_", "h_")))
-    return games.select("game_id", "season", "season_type", "game_date", both.alias("side")).select("game_id", "side.team_id", "season", "season_type", "game_date", "side.opp_team_id", *(f"side.{p}{s}" for p in ("tm_", "opp_") for s in STATS))
+    sums = [f"sum(if(team_id {op} home_id, {s}, 0)) + {BENCH[s]} as {p}{s}" for p, op in (("h_", "="), ("a_", "!=")) for s in STATS]
+    games = box.groupBy("game_id", "season", "season_type", "game_date", "home_id", "away_id").agg(*map(F.expr, sums))
+    names = ", ".join(["team_id", "opp_team_id", *(p + s for p in ("tm_", "opp_") for s in STATS)])
+    side = lambda own, other, p, q: ", ".join([own, other, *(p + s for s in STATS), *(q + s for s in STATS)])
+    both = f"stack(2, {side('home_id', 'away_id', 'h_', 'a_')}, {side('away_id', 'home_id', 'a_', 'h_')}) as ({names})"
+    return games.selectExpr("game_id", "season", "season_type", "game_date", both)
 
 
 def full_lines(box: DataFrame) -> DataFrame:
     """Every box line with its side's tm_ columns and the other side's opp_ columns, by windows within the game."""
-    game, side = Window.partitionBy("game_id"), Window.partitionBy("game_id", "team_id")
-    both = box.withColumns({"tm_" + s: F.sum(s).over(side) for s in STATS}).withColumns({"opp_" + s: F.sum(s).over(game) - F.col("tm_" + s) for s in STATS})
-    return both.withColumns({p + s: F.col(p + s) + BENCH[s] for p in ("tm_", "opp_") for s in STATS})
+    game = lambda s: f"sum({s}) over (partition by game_id)"
+    side = lambda s: f"sum({s}) over (partition by game_id, team_id)"
+    return box.selectExpr("*", *(f"{side(s)} + {BENCH[s]} as tm_{s}" for s in STATS), *(f"{game(s)} - {side(s)} + {BENCH[s]} as opp_{s}" for s in STATS))
 
 
 #: The same views as common table expressions, for oracle queries.
