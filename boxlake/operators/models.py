@@ -43,32 +43,6 @@ def value_pool(lines: DataFrame, size: int, cats: list[str], points: str, key: s
     return z.withColumn("total_z", sum((F.col(f"z_{c}") for c in cats), F.lit(0.0)))
 
 
-def rating_fold(games: DataFrame, league: list[str], home_edge: float = 2.5, offset: float = 5.0) -> DataFrame:
-    """game_id, team, opponent, projected margin: both sides of a day are projected from the state before the day, then updated together.
-
-    The fold is sequential within a league and season, which is one group of at most a few thousand games; leagues run in parallel.
-    """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state: dict[int, float] = {}
-        count: dict[int, int] = {}
-        out = []
-        for _, day in rows.sort_values(["game_date", "game_id", "team_id"]).groupby("game_date", sort=True):
-            changes = []
-            for r in day.itertuples():
-                expected = state.get(r.team_id, 0.0) - state.get(r.opp_team_id, 0.0)
-                out.append((*(getattr(r, k) for k in league), r.game_id, r.team_id, r.opp_team_id, expected))
-                changes.append((r.team_id, (r.margin - expected) / 2))
-            for team, change in changes:
-                n = count[team] = count.get(team, 0) + 1
-                state[team] = state.get(team, 0.0) + change / (n + offset)
-        return pd.DataFrame(out, columns=[*league, "game_id", "team_id", "opp_team_id", "projected_margin"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in games.schema}
-    fields = ", ".join(f"{k} {kinds[k]}" for k in league) + ", game_id long, team_id long, opp_team_id long, projected_margin double"
-    return games.groupBy(*league).applyInPandas(fold, fields)
-
-
 def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
     return df.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(o) for o in order]))).where("__i = 1").drop("__i")

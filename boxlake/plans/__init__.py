@@ -1,3 +1,3 @@
 """Named queries. Importing the package registers all of them."""
 
-from boxlake.plans import boards, queries, squads  # noqa: F401
+from boxlake.plans import boards, queries, squads, widgets  # noqa: F401

@@ -330,9 +330,3 @@ def streamed_daily(spark, sf_dir):
 
     schema = table(spark, sf_dir, "events").schema
     return stream_daily(spark, sf_dir, "events.parquet", schema, shared_dir(spark)).select("day", "event_type", "n", r(F.col("total"), "total"))
-
-
-@query()
-def rating_fold(spark, sf_dir):
-    games = sides(box_view(spark, sf_dir)).select("season", "season_type", "game_date", "game_id", "team_id", "opp_team_id", (F.col("tm_pts") - F.col("opp_pts")).cast("double").alias("margin"))
-    return models.rating_fold(games, ["season", "season_type"])

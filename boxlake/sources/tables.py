@@ -30,14 +30,18 @@ def box_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("pts", F.expr("2 * fgm + fg3m + ftm"))
 
 
-def sides(box: DataFrame) -> DataFrame:
-    """One row per (game, side): tm_ columns are the side's players' sums plus the bench line, opp_ columns the other side's. One aggregate by game gives both."""
+def games(box: DataFrame) -> DataFrame:
+    """One row per game: h_ and a_ columns are the home and away players' sums plus the bench line."""
     sums = [f"sum(if(team_id {op} home_id, {s}, 0)) + {BENCH[s]} as {p}{s}" for p, op in (("h_", "="), ("a_", "!=")) for s in STATS]
-    games = box.groupBy("game_id", "season", "season_type", "game_date", "home_id", "away_id").agg(*map(F.expr, sums))
+    return box.groupBy("game_id", "season", "season_type", "game_date", "home_id", "away_id").agg(*map(F.expr, sums))
+
+
+def sides(box: DataFrame) -> DataFrame:
+    """One row per (game, side): tm_ columns are the side's, opp_ columns the other side's. One aggregate by game gives both."""
     names = ", ".join(["team_id", "opp_team_id", *(p + s for p in ("tm_", "opp_") for s in STATS)])
     side = lambda own, other, p, q: ", ".join([own, other, *(p + s for s in STATS), *(q + s for s in STATS)])
     both = f"stack(2, {side('home_id', 'away_id', 'h_', 'a_')}, {side('away_id', 'home_id', 'a_', 'h_')}) as ({names})"
-    return games.selectExpr("game_id", "season", "season_type", "game_date", both)
+    return games(box).selectExpr("game_id", "season", "season_type", "game_date", both)
 
 
 def full_lines(box: DataFrame) -> DataFrame:
