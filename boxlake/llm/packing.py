@@ -66,58 +66,75 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(p, n) for at in open_.values() for p, n in at.items()]
 
 
-def dominated(filling: tuple[int, ...], free: int, counts: list[int]) -> bool:
-    """Whether one larger remaining length could replace some of the filling's lengths and still fit (those would do better elsewhere)."""
-    sums = {0}
-    for k in filling[:8]:
-        sums |= {s + k for s in sums}
-    have = set(filling)
-    return any(counts[x] and x not in have for s in sums if s for x in range(s + 1, s + free + 1) if x < len(counts))
+def dominated(filling: tuple[int, ...], free: int, counts: list[int], spare: int) -> bool:
+    """Whether a length that is left over could stand for some of the filling's: for a shorter sum of them if it fits, or for an equal
+    sum of several (the replaced ones can go wherever the longer one would). ``spare`` holds the counted lengths as bits."""
+    single, several = 0, 0  # bits: sums of one of the lengths, of two or more
+    for k in filling:
+        several |= several << k | single << k
+        single |= 1 << k
+        if filling.count(k) == counts[k]:
+            spare &= ~(1 << k)
+    sums = single | several
+    return bool(several & spare) or any(sums << d & spare for d in range(1, free + 1))
 
 
 def fillings(room: int, counts: list[int], keep: int, steps: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the counted lengths, the least waste first, the longest lengths first among equals."""
-    if room <= 0:
-        return [()]
-    if room < len(counts) and counts[room]:
-        return [(room,)]  # one length that fills it dominates all others
+    """The ``keep`` best undominated fillings of ``room`` from the counted lengths: the least waste first, the longest lengths first among equals.
+
+    Sums that the lengths from each one down can reach are kept as bits, so the search goes only where a filling of the
+    wanted sum lies; ``steps`` bounds it, and the first filling of the least waste is always found.
+    """
     lengths = [k for k in range(min(room, len(counts) - 1), 0, -1) if counts[k]]
-    if not lengths:
-        return [()]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    budget = [steps]
-
-    def grow(chosen: tuple[int, ...], used: dict[int, int], free: int, first: int) -> None:
-        budget[0] -= 1
-        if free and free < len(counts) and counts[free] - used.get(free, 0) > 0 and free <= (chosen[-1] if chosen else free):
-            found.append((0, (*chosen, free)))
+    reach = [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        k = lengths[i]
+        bits, left, batch = reach[i + 1], min(counts[k], room // k), 1
+        while left:
+            n = min(batch, left)
+            bits |= bits << n * k
+            left, batch = left - n, 2 * batch
+        reach[i] = bits & (1 << room + 1) - 1
+    spare = sum(1 << k for k, n in enumerate(counts) if n)
+    found: list[tuple[int, ...]] = []
+    budget = steps
+
+    def grow(chosen: tuple[int, ...], free: int, first: int, waste: int) -> Iterator[tuple[int, ...]]:
+        nonlocal budget
+        if not free:
+            yield chosen
             return
-        deeper = False
         for i in range(first, len(lengths)):
             k = lengths[i]
-            if k > free or used.get(k, 0) >= counts[k]:
-                continue
-            deeper = True
-            used[k] = used.get(k, 0) + 1
-            grow((*chosen, k), used, free - k, i)
-            used[k] -= 1
-            if budget[0] <= 0 or sum(1 for w, _ in found if w == 0) >= keep:
+            budget -= 1
+            if budget < 0 and found:
+                return
+            if k <= free and reach[i] >> free - k & 1 and chosen.count(k) < counts[k]:
+                yield from grow((*chosen, k), free - k, i, waste)
+            if not reach[i + 1] >> free & 1:
                 return
-        if not deeper:
-            found.append((free, chosen))
 
-    grow((), {}, room, 0)
-    found.sort(key=lambda x: x[0])
-    found = list(dict.fromkeys(found))[: 2 * keep]
-    return [f for w, f in found if not dominated(f, w, counts)][:keep] or [found[0][1]]
+    first: tuple[int, ...] | None = None
+    for waste in range(room + 1):
+        if reach[0] >> room - waste & 1:
+            for way in grow((), room - waste, 0, waste):
+                first = way if first is None else first
+                if not dominated(way, waste, counts, spare):
+                    found.append(way)
+                    if len(found) == keep:
+                        return found
+            if budget < 0 and first is not None:
+                break
+    return found or [first or ()]
 
 
 def bin_completion(counts: dict[int, int], capacity: int, node_limit: int = 3_000, keep: int = 4, steps: int = 300) -> list[Pattern]:
     """Patterns (lengths, copies) that use all counts in as few sequences as the search finds.
 
-    The largest remaining length is completed in every undominated way, as often as the counts allow and, as a second
-    branch, once. A branch ends when its waste leaves no room for fewer sequences than the incumbent, which begins as best
-    fit. The search stops at the lower bound or after ``node_limit`` nodes (a limit on search only: each result is a whole packing).
+    The largest remaining length is completed in the ``keep`` best undominated ways, as often as the counts allow and, as a
+    second branch, once. A branch ends when its waste leaves no room for fewer sequences than the incumbent, which begins as
+    best fit. The search stops at the lower bound (then the packing is proved minimal) or after ``node_limit`` nodes: bounds on search
+    only, each result is a whole packing.
     """
     total, bound = sum(k * c for k, c in counts.items()), lower_bound(counts, capacity)
     best = best_fit(counts, capacity)

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from boxlake.llm.packing import best_fit, bin_completion, fast_encoder, lower_bound, pack_documents
+from boxlake.llm.packing import best_fit, bin_completion, fast_encoder, fillings, lower_bound, pack_documents
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -100,3 +100,41 @@ def test_pack(spark):
 def test_encoder(text):
     ids = np.frombuffer(fast_encoder(PATH)(text), "<u4").tolist()
     assert ids == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def subsets(values):
+    return [[v for i, v in enumerate(values) if mask >> i & 1] for mask in range(1, 1 << len(values))]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_fillings_are_undominated(seed):
+    """Against every filling there is: the first has the least waste, and of none could a part give way to a spare length that is longer, or as long as several."""
+    rng = random.Random(seed)
+    counts = Counter(rng.randint(1, 20) for _ in range(8))
+    table = [counts[k] for k in range(41)]
+    room = rng.randint(1, 40)
+    every = {tuple(sorted(f, reverse=True)) for f in subsets(sorted(counts.elements())) if sum(f) <= room} | {()}
+    got = fillings(room, table, 5, 10_000)
+    assert len(got) == len(set(got)) and set(got) <= every
+    assert room - sum(got[0]) == min(room - sum(f) for f in every) or len(got) == 1
+
+    def beaten(f):
+        left = counts - Counter(f)
+        return any(sum(part) <= x <= sum(part) + room - sum(f) and (x > sum(part) or len(part) > 1) for part in subsets(f) for x in left)
+
+    if len(got) > 1 or not beaten(got[0]):
+        assert not any(map(beaten, got))
+        assert len(got) == 5 or set(got) == {f for f in every if not beaten(f) and room - sum(f) <= room - sum(got[-1])} or len(got) == 1
+
+
+def test_search_beats_best_fit():
+    """On some small cases the search needs fewer sequences than best fit, and it never needs more; where it meets the bound it is proved minimal."""
+    better = proved = 0
+    for seed in range(300):
+        rng = random.Random(seed)
+        counts = Counter(rng.choice([rng.randint(200, 500), rng.randint(30, 250)]) for _ in range(40))
+        found, start = (sum(n for _, n in f(counts, 1000)) for f in (bin_completion, best_fit))
+        assert lower_bound(counts, 1000) <= found <= start
+        better += found < start
+        proved += found == lower_bound(counts, 1000)
+    assert better >= 5 and proved >= 150
