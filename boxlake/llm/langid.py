@@ -195,8 +195,11 @@ def training_sample(docs: DataFrame, per_language: int = 100, excerpt: int = 400
     once, by their least excerpt; they are put together on Spark, so the driver gets no more than the sample.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ids = usable.select("doc_id", "lang").distinct().withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ids.where(F.col("i") <= per_language).select("doc_id", "lang")
+    ids = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct()
+    for by in (["lang", F.pmod("h", F.lit(64))], ["lang"]):  # first within 64 parts of a language, so that no task sorts a whole one
+        at = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+        ids = ids.withColumn("i", at).where(F.col("i") <= per_language).drop("i")
+    chosen = ids.select("doc_id", "lang")
     start = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.length("text") - excerpt, F.lit(0)) + 1) + 1
     rows = usable.select("doc_id", "lang", F.substring(F.col("text"), start.cast("int"), F.lit(excerpt)).alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     found = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
