@@ -129,16 +129,20 @@ def hopeless(postings: DataFrame) -> DataFrame:
     return held.where("c = 1").groupBy("node", "n").agg(F.count("*").alias("own")).where(F.col("own") > forgiven("n")).select("node")
 
 
-def in_order(postings: DataFrame, tables: Tables) -> DataFrame:
-    """postings (node, n, s) with c (documents that hold s) of the shingles that several hold: the global order is by c, then s.
+def by_key(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with ``found``, a written table of ``keys``, c (rows of the key) and more.
 
-    Frequent shingles get their count by a broadcast of those few keys (or, if they are many, by a join that adaptive execution
-    splits), so that no task takes one's whole list.
+    Frequent keys meet their rows by a broadcast of those few keys (or, if they are many, by a join that adaptive execution splits),
+    so that no task takes one key's whole list.
     """
-    counts = tables.write(postings.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"))
-    often = sized(counts.where(F.col("c") > FREQUENT))
-    seldom = postings.join(often, "s", "left_anti").join(counts.where(F.col("c") <= FREQUENT), "s")
-    return postings.join(often, "s").unionByName(seldom)
+    often = sized(found.where(F.col("c") > FREQUENT))
+    seldom = rows.join(often, keys, "left_anti").join(found.where(F.col("c") <= FREQUENT), keys)
+    return rows.join(often, keys).unionByName(seldom)
+
+
+def in_order(postings: DataFrame, tables: Tables) -> DataFrame:
+    """postings (node, n, s) with c (documents that hold s) of the shingles that several hold: the global order is by c, then s."""
+    return by_key(postings, tables.write(postings.groupBy("s").agg(F.count("*").alias("c")).where("c > 1")), ["s"])
 
 
 def ranked(ordered: DataFrame, tables: Tables) -> DataFrame:
@@ -281,8 +285,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = described.where("n > 0")
     if ids["rows"] > ids["ids"]:
         one = tables.write(described.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2", "low")).alias("x")).select("doc_id", "x.*").where("n > 0"))
-    classes = one.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
-    members = tables.write(one.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc_id", "node"))
+    classes = tables.write(one.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")))
+    members = tables.write(by_key(one.select("doc_id", "n", "s1", "s2"), classes, ["n", "s1", "s2"]).select("doc_id", "node"))
     copies = tables.write(members.where("doc_id != node").select(F.col("doc_id").alias("node")))
     nodes = one.withColumnRenamed("doc_id", "node").join(sized(copies), "node", "left_anti")
 
@@ -314,10 +318,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a kept id, one stays: that of the least text, then of the least other columns (which must have an order).
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
-    joined = docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"))
-    once = joined.where("__rows = 1").select(*docs.columns)
-    several = joined.where("__rows > 1").select("doc_id", F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text"))).alias("__row"))
-    least = several.groupBy("doc_id").agg(F.min("__row").alias("__row")).select("doc_id", "__row.*").select(*docs.columns)
-    return once.unionByName(least).unionByName(docs.where("doc_id is null"))
+    tables = Tables(docs.sparkSession)
+    found = near_duplicates(docs).where("doc_id is not null")
+    ids = tables.write(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")))
+    unlike = tables.write(ids.where("doc_id != component_id or rows > 1").select(F.col("doc_id").alias("__id")))  # the few that go, so that texts need no shuffle
+    repeated = ids.where("doc_id = component_id and rows > 1").select(F.col("doc_id").alias("__id"))
+    same = F.col("doc_id").cast("long") == F.col("__id")
+    once = docs.join(sized(unlike), same, "left_anti")  # null ids stay
+    rows = docs.join(sized(repeated), same, "left_semi").select("doc_id", F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text"))).alias("__row"))
+    least = rows.groupBy("doc_id").agg(F.min("__row").alias("__row")).select("doc_id", "__row.*").select(*docs.columns)
+    return once.unionByName(least)
