@@ -79,24 +79,24 @@ def daily_movers(spark, sf_dir):
 
 
 @query(f"""with {SEASON_SQL}, c as (select player_id, season, cast(sum(pts) as double) / sum(gp) ppg from ps group by 1, 2)
-  select player_id, season, round(ppg, 5) ppg, round(ppg - lag(ppg) over w, 5) change, season = first_value(season) over (partition by player_id order by round(ppg, 6) desc, season) peak from c window w as (partition by player_id order by season)""", rounds=True)
+  select player_id, season, round(ppg, 9) ppg, round(ppg - lag(ppg) over w, 9) change, season = first_value(season) over (partition by player_id order by round(ppg, 6) desc, season) peak from c window w as (partition by player_id order by season)""", rounds=True)
 def career_arc(spark, sf_dir):
     c = player_seasons(spark, sf_dir).groupBy("player_id", "season").agg((F.sum("pts").cast("double") / F.sum("gp")).alias("ppg"))
     by, best = Window.partitionBy("player_id").orderBy("season"), Window.partitionBy("player_id").orderBy(F.desc(F.round("ppg", 6)), "season")
-    return c.select("player_id", "season", rounded(F.col("ppg"), "ppg", 5), rounded(F.col("ppg") - F.lag("ppg").over(by), "change", 5), (F.col("season") == F.first("season").over(best)).alias("peak"))
+    return c.select("player_id", "season", rounded(F.col("ppg"), "ppg", 9), rounded(F.col("ppg") - F.lag("ppg").over(by), "change", 9), (F.col("season") == F.first("season").over(best)).alias("peak"))
 
 
 @query(f"""with {SIDES_SQL}, t as (select season, season_type, team_id, sum(tm_pts) * 100.0 / sum(tm_fga + 0.44 * tm_fta - tm_oreb + tm_tov) o, sum(opp_pts) * 100.0 / sum(tm_fga + 0.44 * tm_fta - tm_oreb + tm_tov) d, avg(case when tm_pts > opp_pts then 1.0 else 0.0 end) win from sides group by 1, 2, 3),
- q as (select season, season_type, team_id, round(o, 4) ortg, round(d, 4) drtg, round(o - d, 4) net, round(win, 5) win_pct from t)
+ q as (select season, season_type, team_id, round(o, 9) ortg, round(d, 9) drtg, round(o - d, 9) net, round(win, 9) win_pct from t)
  select *, dense_rank() over (partition by season, season_type order by ortg desc) o_rank, dense_rank() over (partition by season, season_type order by drtg) d_rank, dense_rank() over (partition by season, season_type order by net desc) n_rank from q""", rounds=True)
 def team_efficiency(spark, sf_dir):
     scope = ["season", "season_type"]
     poss = F.sum(F.expr("tm_fga + 0.44d * tm_fta - tm_oreb + tm_tov"))
     t = sides(box_view(spark, sf_dir)).groupBy(*scope, "team_id").agg(
-        F.sum("tm_pts").alias("p"), F.sum("opp_pts").alias("a"), poss.alias("q"), rounded(F.avg((F.col("tm_pts") > F.col("opp_pts")).cast("double")), "win_pct", 5)
+        F.sum("tm_pts").alias("p"), F.sum("opp_pts").alias("a"), poss.alias("q"), rounded(F.avg((F.col("tm_pts") > F.col("opp_pts")).cast("double")), "win_pct", 9)
     )
     o, d = 100 * F.col("p") / F.col("q"), 100 * F.col("a") / F.col("q")
-    t = t.select(*scope, "team_id", rounded(o, "ortg", 4), rounded(d, "drtg", 4), rounded(o - d, "net", 4), "win_pct")
+    t = t.select(*scope, "team_id", rounded(o, "ortg", 9), rounded(d, "drtg", 9), rounded(o - d, "net", 9), "win_pct")
     rank = lambda c, high, name: windows.dense_rank_by(c, scope, high).cast("long").alias(name)
     return t.select("*", rank("ortg", True, "o_rank"), rank("drtg", False, "d_rank"), rank("net", True, "n_rank"))
 

@@ -167,20 +167,20 @@ def league_distribution(spark, sf_dir):
     ).where("n >= 2")
 
 
-LEADERS_SQL = f"""with {SEASON_SQL}, e as (select season, season_type, player_id, gp, round(cast(pts as double) / gp, 4) v, max(gp) over (partition by season, season_type) top from ps),
+LEADERS_SQL = f"""with {SEASON_SQL}, e as (select season, season_type, player_id, gp, round(cast(pts as double) / gp, 9) v, max(gp) over (partition by season, season_type) top from ps),
  q as (select * from e where gp >= greatest(1, cast(floor(0.2 * top) as bigint)))
  select season, season_type, player_id, v, dense_rank() over (partition by season, season_type order by v desc) as "rank",
   round((rank() over (partition by season, season_type order by v) - 1 + 0.5 * count(*) over (partition by season, season_type, v)) / count(*) over (partition by season, season_type), 6) percentile,
-  round(v - avg(v) over (partition by season, season_type), 4) vs_league from q"""
+  round(v - avg(v) over (partition by season, season_type), 9) vs_league from q"""
 
 
 @query(LEADERS_SQL, rounds=True)
 def leaderboard(spark, sf_dir):
     scope = ["season", "season_type"]
-    per = player_seasons(spark, sf_dir).select(*scope, "player_id", "gp", F.round(sdiv(F.col("pts"), F.col("gp")), 4).alias("v"))
+    per = player_seasons(spark, sf_dir).select(*scope, "player_id", "gp", F.round(sdiv(F.col("pts"), F.col("gp")), 9).alias("v"))
     top = F.max("gp").over(Window.partitionBy(*scope))
     able = per.withColumn("top", top).where(F.col("gp") >= F.greatest(F.lit(1), F.floor(0.2 * F.col("top"))))
-    return able.select(*scope, "player_id", "v", windows.dense_rank_by("v", scope).cast("long").alias("rank"), rounded(windows.midrank_percentile("v", scope), "percentile"), rounded(F.col("v") - F.avg("v").over(Window.partitionBy(*scope)), "vs_league", 4))
+    return able.select(*scope, "player_id", "v", windows.dense_rank_by("v", scope).cast("long").alias("rank"), rounded(windows.midrank_percentile("v", scope), "percentile"), rounded(F.col("v") - F.avg("v").over(Window.partitionBy(*scope)), "vs_league", 9))
 
 
 @query(f"select * from ({LEADERS_SQL}) where \"rank\" <= 10", rounds=True)
@@ -305,11 +305,11 @@ CATS = ("pts", "ast", "stl", "blk", "fg3m")
 
 @query(f"""with {SEASON_SQL}, l as (select player_id, {", ".join(f"cast(sum({s}) as double) / sum(gp) {s}" for s in CATS)} from ps group by 1), p as (select * from l order by round(pts, 6) desc, player_id limit 150),
  m as (select {", ".join(f"avg({s}) m_{s}, stddev_pop({s}) s_{s}" for s in CATS)} from p)
- select player_id, round({" + ".join(f"case when s_{s} > 0 then ({s} - m_{s}) / s_{s} else 0 end" for s in CATS)}, 4) total_z from l, m""", rounds=True)
+ select player_id, round({" + ".join(f"case when s_{s} > 0 then ({s} - m_{s}) / s_{s} else 0 end" for s in CATS)}, 9) total_z from l, m""", rounds=True)
 def fantasy_values(spark, sf_dir):
     s = player_seasons(spark, sf_dir)
     lines = s.groupBy("player_id").agg(*(sdiv(F.sum(x), F.sum("gp")).alias(x) for x in CATS)).withColumn("seed", F.round("pts", 6))
-    return models.value_pool(lines, 150, list(CATS), "seed", "player_id").select("player_id", rounded(F.col("total_z"), "total_z", 4))
+    return models.value_pool(lines, 150, list(CATS), "seed", "player_id").select("player_id", rounded(F.col("total_z"), "total_z", 9))
 
 
 @query(f"""with {SIDES_SQL} select game_id, team_id, tm_pts = 2 * (tm_fgm - tm_fg3m) + 3 * tm_fg3m + tm_ftm - 0 as points_ok, tm_fgm <= tm_fga and tm_fg3m <= tm_fg3a and tm_ftm <= tm_fta makes_ok, tm_pts <> opp_pts decided from sides""")

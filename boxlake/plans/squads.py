@@ -141,10 +141,10 @@ def fantasy_trades(spark, sf_dir):
 
 @query(VALUED_SQL + f""", s as ({" union all ".join(f"select '{c}' c, sum(z_{c}) z, count(*) have from v where player_id % 10 = 3" for c in CATS)}), k as (select c from s order by z, c limit 3), h as (select max(have) have from s),
  d as (select player_id, total_z, round(total_z + case when have >= 3 then 0.25 * ({" + ".join(f"case when exists (select 1 from k where k.c = '{c}') then z_{c} else 0 end" for c in CATS)}) / 3 else 0 end, 6) g from v, h where player_id % 10 not in (3, 4))
- select player_id, round(total_z, 4) total_z, round(g, 4) suggestion from d order by g desc, player_id limit 20""", rounds=True)
+ select player_id, round(total_z, 9) total_z, round(g, 9) suggestion from d order by g desc, player_id limit 20""", rounds=True)
 def fantasy_draft_board(spark, sf_dir):
     v = valued(spark, sf_dir)
     b = valuation.draft_board(v, list(CATS), v.where("player_id % 10 in (3, 4)"), v.where("player_id % 10 = 3"), "player_id", 20)
-    return b.select("player_id", rounded(F.col("total_z"), "total_z", 4), rounded(F.col("suggestion"), "suggestion", 4))
+    return b.select("player_id", rounded(F.col("total_z"), "total_z", 9), rounded(F.col("suggestion"), "suggestion", 9))
 
 
