@@ -61,4 +61,34 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_sharding, op4_bpe, op5_best_fit_packing, op6_secret_scan, op7_nearest_neighbours, op8_language_id, op9_ngram_jaccard_join, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_ngram_jaccard_join": r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), placed AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place, len(w) AS words FROM worded
+), runs AS (
+    SELECT doc_id, place, words, concat_ws(' ', word, lead(word, 1) OVER p, lead(word, 2) OVER p, lead(word, 3) OVER p, lead(word, 4) OVER p) AS shingle
+    FROM placed WINDOW p AS (PARTITION BY doc_id ORDER BY place)
+), held AS (
+    SELECT DISTINCT doc_id, shingle FROM runs WHERE place = 1 OR place + 4 <= words
+), sets AS (
+    SELECT doc_id, count(shingle) AS n FROM documents LEFT JOIN held USING (doc_id) GROUP BY doc_id
+), postings AS (
+    SELECT doc_id, n, shingle FROM held JOIN sets USING (doc_id)
+), linked AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM postings a JOIN postings b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM sets
+    UNION
+    SELECT r.doc_id, l.b FROM reached r JOIN linked l ON l.a = r.other
+)
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id
+FROM sets JOIN reached USING (doc_id)
+GROUP BY doc_id
+""",
+}
