@@ -117,3 +117,90 @@ def with_intervals(df: DataFrame, mean: str, alpha: str, level: float = 0.8) ->
             yield pd.DataFrame(found, columns=["low", "high"]).astype("Int32")
 
     return df.withColumn("__i", interval(F.col(mean).cast("double"), F.col(alpha).cast("double"))).withColumn("low", F.col("__i.low")).withColumn("high", F.col("__i.high")).drop("__i")
+
+
+DISPERSION_MIN_MINUTES, DISPERSION_PRIOR_GAMES, CONTEXT_MIN_ROWS = 5.0, 60.0, 25  # fixed values of the fits
+
+
+def padded_rate(stat: str, total: Column, minutes: Column) -> Column:
+    """Per minute: the total padded with the league's rate over the statistic's stabilising minutes."""
+    league, k, _ = STATS[stat]
+    return (total + k * league) / (minutes + k)
+
+
+def expected_counts(lines: DataFrame, keys: list[str], keep: list[str], minutes: str = "min") -> DataFrame:
+    """keep, the statistics of lines and mu_<stat>: minutes times the padded rate of the line's ``keys``.
+
+    Lines under DISPERSION_MIN_MINUTES leave; a null statistic counts neither itself nor its minutes and has no mean.
+    """
+    used = lines.where(F.col(minutes) >= DISPERSION_MIN_MINUTES)
+    sums = [e for s in STATS for e in (F.coalesce(F.sum(s), F.lit(0)).alias(f"__t_{s}"), F.coalesce(F.sum(F.when(F.col(s).isNotNull(), F.col(minutes))), F.lit(0)).alias(f"__m_{s}"))]
+    rates = used.groupBy(*keys).agg(*sums).select(*keys, *(padded_rate(s, F.col(f"__t_{s}"), F.col(f"__m_{s}")).alias(f"__r_{s}") for s in STATS))
+    means = [F.when(F.col(s).isNotNull(), F.col(minutes) * F.col(f"__r_{s}")).alias(f"mu_{s}") for s in STATS]
+    return used.join(rates, keys).select(*keep, *STATS, *means)
+
+
+def pooled_alphas(lines: DataFrame, player: str, minutes: str = "min") -> DataFrame:
+    """One row, alpha_<stat>: the dispersion that all lines together show around their players' rates; 0 without lines."""
+    mu = {s: F.col(f"mu_{s}") for s in STATS}
+    fit = lambda s: F.sum((F.pow(F.col(s) - mu[s], 2) - mu[s]) * mu[s] * mu[s]) / F.sum(F.pow(mu[s], 4))
+    return expected_counts(lines, [player], [], minutes).agg(*(F.greatest(F.coalesce(fit(s), F.lit(0.0)), F.lit(0.0)).alias(f"alpha_{s}") for s in STATS))
+
+
+def dispersion_multipliers(lines: DataFrame, alphas: DataFrame, player: str, scope: list[str], minutes: str = "min") -> DataFrame:
+    """player, c_<stat>: how much more a player varies than the pool, measured season by season and shrunk towards 1 by 60 games.
+
+    ``alphas`` is the one row of ``pooled_alphas``.
+    """
+    mu = {s: F.col(f"mu_{s}") for s in STATS}
+    z = lambda s: F.pow(F.col(s) - mu[s], 2) / (mu[s] + F.col(f"alpha_{s}") * mu[s] * mu[s])
+    shrunk = lambda s: (F.coalesce(F.sum(z(s)), F.lit(0.0)) + DISPERSION_PRIOR_GAMES) / (F.count(mu[s]) + DISPERSION_PRIOR_GAMES)
+    return expected_counts(lines, [player, *scope], [player], minutes).crossJoin(F.broadcast(alphas)).groupBy(player).agg(*(shrunk(s).alias(f"c_{s}") for s in STATS))
+
+
+def rest_bucket(days: Column) -> Column:
+    """Days since the last game, held to 0 to 3; null if unknown."""
+    return F.when(days.isNotNull(), F.least(F.greatest(days, F.lit(0)), F.lit(3))).cast("int")
+
+
+def fitted_context(rows: DataFrame, least: int = CONTEXT_MIN_ROWS) -> DataFrame:
+    """factor (venue or rest), bucket, n, value, fitted: realised over predicted sums, venue first and rest after venue.
+
+    ``rows`` has actual, raw (predicted without either factor), is_home and rest_days. Rows without a positive prediction or with a null or
+    negative actual are left out; a bucket under ``least`` rows keeps its published value. Sums combine before they meet: two and four rows.
+    """
+    used = rows.where("actual >= 0 and raw > 0").withColumn("bucket", F.coalesce("is_home", F.lit(False)).cast("int"))
+
+    def settled(sums: DataFrame, published: dict[int, float], name: str) -> DataFrame:
+        known = sums.sparkSession.createDataFrame(list(published.items()), "bucket int, default double")
+        good = (F.coalesce("n", F.lit(0)) >= least) & (F.col("num") > 0) & (F.col("den") > 0)
+        full = known.join(F.broadcast(sums), "bucket", "left")
+        good = F.coalesce(good, F.lit(False))
+        return full.select(F.lit(name).alias("factor"), "bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(good, F.col("num") / F.col("den")).otherwise(F.col("default")).alias("value"), good.alias("fitted"))
+
+    sums = lambda df, by, den: df.groupBy(by.alias("bucket")).agg(F.count("*").alias("n"), F.sum("actual").alias("num"), F.sum(den).alias("den"))
+    venue = settled(sums(used, F.col("bucket"), F.col("raw")), {int(k): v for k, v in HOME.items()}, "venue")
+    corrected = used.join(F.broadcast(venue.select("bucket", F.col("value").alias("__venue"))), "bucket").where("rest_days is not null")
+    rest = settled(sums(corrected, rest_bucket(F.col("rest_days")), F.col("raw") * F.col("__venue")), REST, "rest")
+    return venue.unionByName(rest)
+
+
+def project_stats(players: DataFrame) -> DataFrame:
+    """players with mean_, sd_, delta_ and alpha_<stat>: minutes x regressed rate x context, with the spread of a count that disperses like the player.
+
+    ``players`` has a row per player: minutes_mean, context, and for each statistic s_, sm_, sg_ (season total, its minutes and games), c_total_, cm_
+    (career), f_, fm_ (form and its minutes), alpha_ (pooled) and c_ (multiplier; null counts 1). No season gives no delta.
+    """
+    mean, alpha, average = {}, {}, {}
+    zero = F.lit(0.0)
+    for s in STATS:
+        n = lambda p, s=s: F.col(f"{p}_{s}")
+        rate = regressed_rate(s, F.coalesce(n("s"), zero), F.coalesce(n("sm"), zero), F.coalesce(n("c_total"), zero), F.coalesce(n("cm"), zero), n("f"), n("fm"))
+        mean[s] = F.greatest(F.col("minutes_mean") * rate * F.col("context"), zero).alias(f"mean_{s}")
+        average[s] = sdiv(n("s"), n("sg"))
+    staged = players.withColumns({f"mean_{s}": mean[s] for s in STATS})
+    for s in STATS:
+        alpha[s] = effective_alpha(F.col(f"mean_{s}"), F.coalesce(F.col(f"alpha_{s}"), zero), F.coalesce(F.col(f"c_{s}"), F.lit(1.0)))
+    staged = staged.withColumns({f"effective_{s}": alpha[s] for s in STATS} | {f"delta_{s}": F.col(f"mean_{s}") - average[s] for s in STATS})
+    spread = lambda s: F.sqrt(F.col(f"mean_{s}") + F.col(f"effective_{s}") * F.col(f"mean_{s}") * F.col(f"mean_{s}"))
+    return staged.withColumns({f"sd_{s}": spread(s) for s in STATS})

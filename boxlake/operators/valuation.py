@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,3 +51,63 @@ def draft_board(valued: DataFrame, cats: list[str], drafted: DataFrame, mine: Da
     need = sum((F.when(F.array_contains("__weak", c), F.col(f"z_{c}")).otherwise(0.0) for c in cats), F.lit(0.0)) / 3
     score = F.col("total_z") + F.when(F.col("__have") >= NEED_ROSTER, NEED_WEIGHT * need).otherwise(0.0)
     return open_.withColumn("suggestion", F.round(score, 6)).orderBy(F.desc("suggestion"), key).limit(limit).select(key, "total_z", "suggestion")
+
+
+# What may go otherwise in a trade. Name, the side it strikes, minutes kept, games of FULL_SEASON played (none: all).
+SCENARIOS = (("base", "all", 1.0, None), ("get_injured", "get", 1.0, 60.0), ("get_role_loss", "get", 0.85, None), ("give_injured", "give", 1.0, 60.0), ("give_breakout", "give", 1.15, None))
+FULL_SEASON = 82.0
+MOST_PLAYERS = 100_000  # of a league, whose lines every task holds
+
+
+def trade_sensitivity(trades: DataFrame, lines: DataFrame, cats: list[str], key: str, pool: int, cut: int, depth: int) -> DataFrame:
+    """trade_id, base, low, high, low_scenario, high_scenario, flips: the net of each trade when one assumption fails at a time.
+
+    ``trades`` has trade_id, give and get (arrays of keys); ``lines`` a row a player, of which ``pool`` (the best by the first category) set the
+    moments and the ``depth`` ranked after the first ``cut`` the replacement. Fewer minutes change the lines, so the whole league is valued anew around
+    them; missed games weigh what is received. Keys without a line, and null ones, count nothing; of equal nets the first scenario is named.
+    The league's lines go to every task, so more than MOST_PLAYERS are an error.
+    """
+    held = lines.select(key, *(F.col(c).cast("double").alias(c) for c in cats)).where(F.col(key).isNotNull()).orderBy(key).limit(MOST_PLAYERS + 1).collect()
+    if len(held) > MOST_PLAYERS:
+        raise ValueError(f"a league of over {MOST_PLAYERS} players")
+    keys = np.array([row[key] for row in held], np.int64)
+    table = np.array([[row[c] for c in cats] for row in held], np.float64).reshape(len(held), len(cats))
+    place = {int(k): i for i, k in enumerate(keys)}
+
+    def totals(own: np.ndarray) -> np.ndarray:
+        seeds = np.lexsort((keys, -np.round(own[:, 0], 6)))[:pool]
+        mean, sd = own[seeds].mean(axis=0), own[seeds].std(axis=0)
+        z = np.divide(own - mean, sd, out=np.zeros_like(own), where=sd > 0)
+        return np.round(z.sum(axis=1), 6)
+
+    def replacement(total: np.ndarray) -> float:
+        rest = np.lexsort((keys, -total))[cut : cut + depth]
+        return float(total[rest].mean()) if len(rest) else 0.0
+
+    def nets(give: list[int], get: list[int], usual: np.ndarray | None) -> list[float]:
+        found = []
+        for _, side, minutes, games in SCENARIOS:
+            struck = {"give": give, "get": get, "all": give + get}[side]
+            total = usual
+            if minutes != 1.0 and struck:
+                own = table.copy()
+                own[struck] *= minutes
+                total = totals(own)
+            kept = 1.0 if games is None else games / FULL_SEASON
+            worth = lambda ids, name: sum(total[i] * (kept if side in (name, "all") else 1.0) for i in ids)  # noqa: B023, E731
+            found.append(worth(get, "get") - worth(give, "give") + (len(give) - len(get)) * replacement(total))
+        return found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        usual = totals(table) if len(table) else None
+        known = lambda ids: [place[int(i)] for i in (ids if ids is not None else ()) if not pd.isna(i) and int(i) in place]
+        for batch in batches:
+            out = []
+            for trade, give, get in zip(batch["trade_id"], batch["give"], batch["get"]):
+                net = nets(known(give), known(get), usual) if usual is not None else [0.0] * len(SCENARIOS)
+                near = [round(x, 9) for x in net]
+                low, high = near.index(min(near)), near.index(max(near))
+                out.append((trade, net[0], net[low], net[high], SCENARIOS[low][0], SCENARIOS[high][0], near[low] < 0 < near[high]))
+            yield pd.DataFrame(out, columns=["trade_id", "base", "low", "high", "low_scenario", "high_scenario", "flips"])
+
+    return trades.select(F.col("trade_id").cast("long").alias("trade_id"), "give", "get").mapInPandas(run, "trade_id long, base double, low double, high double, low_scenario string, high_scenario string, flips boolean")
