@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import mul
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,8 +55,8 @@ def regressed_rate(stat: str, s_total: Column, s_min: Column, c_total: Column, c
     return F.greatest(BASE_WEIGHT * base + FORM_WEIGHT * recent, F.lit(0.0))
 
 
-def context_multiplier(team_pace: Column, opp_pace: Column, league_pace: Column, opp_rating: Column, league_rating: Column, home: Column, rest: Column) -> Column:
-    """Product of the pace, opponent, venue and rest factors; what is unknown counts 1."""
+def context_factors(team_pace: Column, opp_pace: Column, league_pace: Column, opp_rating: Column, league_rating: Column, home: Column, rest: Column) -> dict[str, Column]:
+    """The pace, opponent, venue and rest factors; what is unknown counts 1."""
     pace = sdiv(positive(team_pace) * positive(opp_pace), positive(league_pace) * positive(league_pace))
     opponent = sdiv(positive(opp_rating), positive(league_rating))
     venue = F.when(F.coalesce(home, F.lit(False)), HOME[True]).otherwise(HOME[False])
@@ -63,7 +65,27 @@ def context_multiplier(team_pace: Column, opp_pace: Column, league_pace: Column,
     for d, factor in REST.items():
         rested = rested.when(days == d, factor)
     one = F.lit(1.0)
-    return F.coalesce(pace, one) * F.coalesce(opponent, one) * venue * F.coalesce(rested, one)
+    return {"pace": F.coalesce(pace, one), "opponent": F.coalesce(opponent, one), "venue": venue, "rest": F.coalesce(rested, one)}
+
+
+def context_multiplier(*known: Column) -> Column:
+    """Product of the context factors."""
+    return reduce(mul, context_factors(*known).values())
+
+
+def factor_contribution(mean: Column, factor: Column) -> Column:
+    """A factor's signed share of a projected mean, to first order."""
+    return mean * (factor - 1)
+
+
+def count_probabilities(mean: Column, alpha: Column, upto: int) -> Column:
+    """Array of the chances of 0 to ``upto`` under a negative binomial (Poisson at alpha 0), each from the one before; null without a mean, all at 0 if it is not over 0."""
+    poisson = alpha <= 1e-12
+    size = F.when(poisson, F.lit(1.0)).otherwise(1 / alpha)
+    odds = mean / (size + mean)
+    start = F.when(~(mean > 0), F.lit(1.0)).when(poisson, F.exp(-mean)).otherwise(F.pow(1 + alpha * mean, -size))
+    step = lambda held, k: F.concat(held, F.array(F.element_at(held, -1) * F.when(~(mean > 0), 0.0).when(poisson, mean / k).otherwise(odds * (k - 1 + size) / k)))
+    return F.when(mean.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(upto)), F.array(start.cast("double")), step))
 
 
 def effective_alpha(mean: Column, alpha: Column, multiplier: Column) -> Column:

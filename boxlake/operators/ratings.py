@@ -123,3 +123,19 @@ def match_projections(games: DataFrame, prior: DataFrame) -> DataFrame:
     low, high = interval80(home - away, F.lit(11.5))
     words = summary(home - away, F.col("home_id").cast("string"), F.col("away_id").cast("string"))
     return g.select(*scope, "game_id", home.alias("home_points"), away.alias("away_points"), (home - away).alias("margin"), low.alias("margin_low"), high.alias("margin_high"), (home - full).alias("absence_effect"), sdiv(sides["home_f"], level).alias("attack_index"), words.alias("summary"))
+
+
+def fitted_spreads(residuals: DataFrame, least: int = HOME_FIT_GAMES) -> DataFrame:
+    """season, source, games, team_sd, margin_sd: root mean square misses of a season's locked projections, else of all of last season's; null on under ``least`` games.
+
+    ``residuals`` has season, locked, home and away (actual less projected).
+    """
+    h, a, locked = F.col("home"), F.col("away"), F.col("locked")
+    rms = lambda kept: (F.count_if(kept), F.sqrt(F.sum(F.when(kept, h * h + a * a)) / (2 * F.count_if(kept))), F.sqrt(F.avg(F.when(kept, (h - a) * (h - a)))))
+    names = ("n", "team", "margin")
+    found = residuals.groupBy("season").agg(*(c.alias(f"now_{n}") for n, c in zip(names, rms(F.coalesce(locked, F.lit(False))))), *(c.alias(f"all_{n}") for n, c in zip(names, rms(h.isNotNull() & a.isNotNull()))))
+    last = found.select((F.col("season") + 1).alias("season"), *(F.col(f"all_{n}").alias(f"last_{n}") for n in names))
+    own, other = F.col("now_n") >= least, F.col("last_n") >= least
+    pick = lambda c: F.when(own, F.col(f"now_{c}")).when(other, F.col(f"last_{c}"))
+    source = F.when(own, "fittedLedger").when(other, "fittedPrevSeason")
+    return found.drop("all_n", "all_team", "all_margin").join(last, "season", "left").select("season", source.alias("source"), F.when(own, F.col("now_n")).otherwise(F.coalesce("last_n", F.lit(0))).alias("games"), pick("team").alias("team_sd"), pick("margin").alias("margin_sd"))

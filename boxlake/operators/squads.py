@@ -122,3 +122,18 @@ def defence_by_position(games: DataFrame, scope: list[str], team: str, least: in
     reach = F.col("z") * F.col("spread")
     band = F.when(F.col("index") + reach < 1, "better").when(F.col("index") - reach > 1, "worse").otherwise("typical")
     return per.withColumn("band", F.when((F.col("n") >= provisional) & (F.col("reliability") >= gate), band)).drop("sd", "z")
+
+
+PRIOR_GAMES = 10  # fixed value: games that last season counts in a blend
+
+
+def squad_stats(lines: DataFrame, key: str) -> DataFrame:
+    """season, team_id, key, n, minutes, points: a season's squads (each player with the team of their newest game) and what to expect of them.
+
+    Means of the season, with last season's as PRIOR_GAMES games; whichever exists where one is missing. ``lines``: season, team_id, game_date, game_id, min, pts.
+    """
+    newest = F.max_by("team_id", F.struct("game_date", "game_id"))
+    now = lines.groupBy("season", key).agg(F.count("*").alias("n"), F.avg("min").alias("m"), F.avg("pts").alias("p"), newest.alias("team_id"))
+    last = now.select((F.col("season") + 1).alias("season"), key, F.col("m").alias("m0"), F.col("p").alias("p0"))
+    blend = lambda c: F.coalesce((F.col("n") * F.col(c) + PRIOR_GAMES * F.col(f"{c}0")) / (F.col("n") + PRIOR_GAMES), F.col(c), F.col(f"{c}0"))
+    return now.join(last, ["season", key], "left").select("season", "team_id", key, "n", blend("m").alias("minutes"), blend("p").alias("points"))

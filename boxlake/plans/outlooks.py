@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from boxlake.functions import boxscore as b
 from boxlake.functions.nullsafe import sdiv
-from boxlake.operators import league, projection, ratings, squads, valuation
+from boxlake.operators import league, paging, projection, ratings, squads, valuation
 from boxlake.operators.projection import STATS
 from boxlake.plans.queries import CATS, query, r, rounded
 from boxlake.plans.squads import CHANCE_SQL, STATUS, VALUED_SQL, player_seasons
@@ -101,10 +101,11 @@ NEXT_SQL = f"""with {SIDES_SQL}, {FORM_SQL}, {ALPHA_SQL}, o as (select *, oreb +
  h as (select o.*, o.k - 1 age, o.season = t.season and o.season_type = t.season_type here, t.game_date - o.game_date gap from o join t using (player_id) where o.k > 0),
  p as (select player_id, least(greatest(sum(pow(0.5, age / 2.0) * "min") / sum(pow(0.5, age / 2.0)), 0), 48) minutes_mean, min(gap) rest, sum("min") cm, coalesce(sum("min") filter (here), 0) sm, count(*) filter (here) sg,
    {_each('cast(sum({S}) as double) ct_{S}, cast(coalesce(sum({S}) filter (here), 0) as double) s_{S}, sum(pow(0.5, age / {H}) * {S}) / sum(pow(0.5, age / {H})) f_{S}, sum(pow(0.5, age / {H}) * "min") / sum(pow(0.5, age / {H})) fm_{S}')} from h group by 1),
- x as (select t.player_id, (coalesce(f.pace, l_pace) * coalesce(g.pace, l_pace) / (l_pace * l_pace)) * (coalesce(g.drtg, l_drtg) / l_drtg) * case when is_home then 1.012 else 0.988 end * case least(greatest(p.rest, 0), 3) when 0 then 0.985 when 1 then 1.0 else 1.005 end context from t join p using (player_id)
+ x0 as (select t.player_id, coalesce(f.pace, l_pace) * coalesce(g.pace, l_pace) / (l_pace * l_pace) pace_factor, coalesce(g.drtg, l_drtg) / l_drtg opponent_factor, case when is_home then 1.012 else 0.988 end venue_factor, case least(greatest(p.rest, 0), 3) when 0 then 0.985 when 1 then 1.0 else 1.005 end rest_factor from t join p using (player_id)
    join average a on a.season = t.season and a.season_type = t.season_type
    join before f on f.season = t.season and f.season_type = t.season_type and f.team_id = t.team_id and f.game_date = t.game_date join before g on g.season = t.season and g.season_type = t.season_type and g.team_id = t.opp_id and g.game_date = t.game_date),
- base as (select p.*, context, {_each('(sm / (sm + 400.0)) * (s_{S} + {K} * {L}) / (sm + {K}) + (1 - sm / (sm + 400.0)) * (ct_{S} + {K} * {L}) / (cm + {K}) b_{S}')} from p join x using (player_id)),
+ x as (select *, pace_factor * opponent_factor * venue_factor * rest_factor context from x0),
+ base as (select p.*, x.* exclude (player_id), {_each('(sm / (sm + 400.0)) * (s_{S} + {K} * {L}) / (sm + {K}) + (1 - sm / (sm + 400.0)) * (ct_{S} + {K} * {L}) / (cm + {K}) b_{S}')} from p join x using (player_id)),
  m as (select base.*, {_each('greatest(minutes_mean * (0.75 * b_{S} + 0.25 * coalesce(f_{S} / nullif(fm_{S}, 0), b_{S})) * context, 0) mean_{S}')} from base),
  e as (select m.*, {_each('greatest(c_{S} * alpha_{S} + coalesce((c_{S} - 1) / nullif(mean_{S}, 0), 0), 0) effective_{S}')} from m left join spread using (player_id), alpha),
  z as (select e.*, {_each('sqrt(mean_{S} + effective_{S} * mean_{S} * mean_{S}) sd_{S}')} from e)"""
@@ -127,8 +128,9 @@ def next_lines(spark, sf_dir):
     alphas = projection.pooled_alphas(box, "player_id")
     spread = projection.dispersion_multipliers(box, alphas, "player_id", SCOPE)
     placed = with_context(target, spark, sf_dir).join(history.groupBy("player_id").agg(*sums), "player_id").join(minutes, "player_id").join(spread, "player_id", "left").crossJoin(F.broadcast(alphas))  # one row of alphas
-    context = projection.context_multiplier(F.col("pace"), F.col("opp_pace"), F.col("l_pace"), F.col("opp_drtg"), F.col("l_drtg"), F.col("is_home"), F.datediff("game_date", "last"))
-    return projection.project_stats(placed.withColumn("context", context))
+    factors = projection.context_factors(F.col("pace"), F.col("opp_pace"), F.col("l_pace"), F.col("opp_drtg"), F.col("l_drtg"), F.col("is_home"), F.datediff("game_date", "last"))
+    placed = placed.withColumns({f"{name}_factor": factor for name, factor in factors.items()})
+    return projection.project_stats(placed.withColumn("context", F.col("pace_factor") * F.col("opponent_factor") * F.col("venue_factor") * F.col("rest_factor")))
 
 
 @query(NEXT_SQL + " " + " union all ".join(f"select player_id, '{s}' stat, minutes_mean, context, mean_{s} mean, sd_{s} sd, effective_{s} alpha, mean_{s} - s_{s} / nullif(sg, 0) delta from z" for s in STATS))
@@ -191,10 +193,10 @@ ROUND_SQL = "cast((dayofyear(game_date) - 1) // 16 + 1 as int)"
 HOME = 3.6
 
 
-@query(f"""with {SIDES_SQL}, g as (select season, {ROUND_SQL} round, season_type <> 'P' scored, game_id % 13 = 0 postponed from pre) select season, round from g group by 1, 2 having bool_and(scored or postponed) and bool_or(scored)""")
+@query(f"""with {SIDES_SQL}, g as (select season, {ROUND_SQL} round, season_type <> 'P' or game_id % 5 > 0 scored, game_id % 13 = 0 postponed from pre) select season, round from g group by 1, 2 having bool_and(scored or postponed) and bool_or(scored)""")
 def complete_rounds(spark, sf_dir):
     """Rounds whose games are all scored, postponed ones aside."""
-    g = games(box_view(spark, sf_dir)).selectExpr("season", f"{ROUND} as round", "season_type != 'P' as scored", "game_id % 13 = 0 as postponed")
+    g = games(box_view(spark, sf_dir)).selectExpr("season", f"{ROUND} as round", "season_type != 'P' or game_id % 5 > 0 as scored", "game_id % 13 = 0 as postponed")
     return league.complete_rounds(g)
 
 
@@ -297,3 +299,99 @@ def club_scorers(spark, sf_dir):
     squad = placed.withColumn("factor", factor).join(states_of_clubs(spark, sf_dir).select("season", "team_id", "player_id", (F.col("minutes") * F.col("pts") / 40).alias("full")), ["season", "team_id"]).withColumn("chance", chance).withColumn("points", F.col("full") * F.col("chance"))
     starts = squad.select("game_id", "player_id", F.col("game_date").alias("start")).distinct()
     return league.scorers(squad, league.form_points(club_lines(box), starts), 5)
+
+
+FACTORS = ("pace", "opponent", "venue", "rest")
+
+
+@query(NEXT_SQL + " " + " union all ".join(f"select player_id, '{f}' factor, cast({f}_factor as double) \"value\", mean_pts * ({f}_factor - 1) contribution from z" for f in FACTORS))
+def factor_contributions(spark, sf_dir):
+    """What each context factor adds to a player's projected points."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f"{f}_factor").alias("value"), projection.factor_contribution(F.col("mean_pts"), F.col(f"{f}_factor")).alias("contribution")) for f in FACTORS))).alias("x")
+    return next_lines(spark, sf_dir).select("player_id", each).select("player_id", "x.factor", "x.value", "x.contribution")
+
+
+@query(NEXT_SQL + """ select player_id, k, exp(lgamma(k + 1 / effective_stl) - lgamma(1 / effective_stl) - lgamma(k + 1) - (1 / effective_stl) * ln(1 + effective_stl * mean_stl) + k * ln(effective_stl * mean_stl / (1 + effective_stl * mean_stl))) chance from z, (select unnest(range(11)) k) where effective_stl > 1e-9 and mean_stl > 0
+ union all select player_id, k, exp(k * ln(mean_stl) - mean_stl - lgamma(k + 1)) from z, (select unnest(range(11)) k) where not effective_stl > 1e-9 and mean_stl > 0""")
+def count_chances(spark, sf_dir):
+    """The chances of no to ten steals of every player."""
+    chances = projection.count_probabilities(F.col("mean_stl"), F.col("effective_stl"), 10)
+    return next_lines(spark, sf_dir).where("mean_stl > 0").select("player_id", F.posexplode(chances).alias("k", "chance")).withColumn("k", F.col("k").cast("long"))
+
+
+CURSOR_SQL = """rtrim(translate(base64(encode('{"d":"' || cast(game_date as varchar) || '","id":' || game_id || '}')), '+/', '-_'), '=')"""
+
+
+@query(f"""with {BOX_SQL}, o as (select player_id, game_id, game_date, pts, row_number() over (partition by player_id order by game_date desc, game_id desc) n from box), c as (select player_id, {CURSOR_SQL} "cursor" from o where n = 5)
+ select player_id, "cursor", n - 5 n, game_id, pts from o join c using (player_id) where n > 5 and n <= 10""")
+def game_log_pages(spark, sf_dir):
+    """The second page of every player's log, found through the cursor that the first page ends with."""
+    box = box_view(spark, sf_dir).select("player_id", "game_id", "game_date", "pts")
+    w = Window.partitionBy("player_id").orderBy(F.desc("game_date"), F.desc("game_id"))
+    first = box.withColumn("n", F.row_number().over(w)).where("n <= 5")
+    ends = first.where("n = 5").select("player_id", paging.encoded_cursor(F.struct(F.col("game_date").alias("d"), F.col("game_id").alias("id"))).alias("cursor"))
+    return paging.page_after(box.join(ends, "player_id"), ["player_id"], "cursor", "d date, id long", {"d": "game_date", "id": "game_id"}, 5).select("player_id", "cursor", F.col("place").alias("n"), "game_id", "pts")
+
+
+SQUAD_SQL = f"""sq as (select season, player_id, count(*) n, avg("min") m, avg(pts) p, arg_max(team_id, (game_date, game_id)) team_id from box group by 1, 2),
+ st as (select a.season, a.team_id, a.player_id, a.n, case when b.m is null then a.m else (a.n * a.m + 10 * b.m) / (a.n + 10) end m, case when b.p is null then a.p else (a.n * a.p + 10 * b.p) / (a.n + 10) end p from sq a left join sq b on b.season + 1 = a.season and b.player_id = a.player_id),
+ ch as (select *, cast({CHANCE_SQL} as double) c from st)"""
+
+
+def squads_with_chance(spark, sf_dir):
+    return squads.squad_stats(box_view(spark, sf_dir), "player_id").withColumn("chance", squads.model_chance(F.expr(STATUS)))
+
+
+@query(f"with {BOX_SQL}, {SQUAD_SQL} select season, team_id, player_id, n, m as minutes, p points from st")
+def squad_stats(spark, sf_dir):
+    """Each season's squads with expected minutes and points, blended with the season before."""
+    return squads.squad_stats(box_view(spark, sf_dir), "player_id")
+
+
+@query(f"with {BOX_SQL}, {SQUAD_SQL}, k as (select season, team_id, player_id, c chance, p * (1 - c) lost, row_number() over (partition by season, team_id order by p * (1 - c) desc, player_id) place from ch where c < 1) select * from k where place <= 3")
+def key_absences(spark, sf_dir):
+    """The three absences that cost a squad most."""
+    lost = squads_with_chance(spark, sf_dir).where("chance < 1").withColumn("lost", F.col("points") * (1 - F.col("chance")))
+    place = F.row_number().over(Window.partitionBy("season", "team_id").orderBy(F.desc("lost"), "player_id")).cast("long")  # a squad
+    return lost.withColumn("place", place).where("place <= 3").select("season", "team_id", "player_id", "chance", "lost", "place")
+
+
+MATCH_SQL = f"""{PRIORS_SQL}, {SQUAD_SQL}, s1 as (select season + 1 season, team_id, sum(p) full_, sum(p * c) av, sum(p * (1 - c)) lost, sum(m * (1 - c)) lm, count(*) filter (c = 0) absent from ch group by 1, 2),
+ s2 as (select *, case when lost >= lm * 0.225 then lm * 0.225 + 0.6 * (lost - lm * 0.225) else lost end ab from s1), fac as (select season, team_id, absent, case when full_ = 0 then 1 else (av + least(ab, 0.15 * av + lm * 0.225)) / full_ end f from s2),
+ mt as (select g.season, g.game_id, g.home_id, g.away_id, g.h_pts, g.a_pts, lv.level, coalesce(fh.f, 1) hk, coalesce(fa.f, 1) ak, coalesce(fh.absent, 0) ho, coalesce(fa.absent, 0) ao, lv.level + 0.7 * (x.pf - lv.level) hf, lv.level + 0.7 * (x.pa - lv.level) ha, lv.level + 0.7 * (y.pf - lv.level) af, lv.level + 0.7 * (y.pa - lv.level) aa
+   from pre g join lv using (season) join prior x on x.season = g.season and x.team_id = g.home_id join prior y on y.season = g.season and y.team_id = g.away_id left join fac fh on fh.season = g.season and fh.team_id = g.home_id left join fac fa on fa.season = g.season and fa.team_id = g.away_id),
+ mp as (select *, hf * hk * aa / level + 1.25 home_points, af * ak * ha / level - 1.25 away_points from mt)"""
+
+
+def matches(spark, sf_dir):
+    """Every game from the priors of its clubs, each side's attack times what its absences leave."""
+    box = box_view(spark, sf_dir)
+    chances = squads_with_chance(spark, sf_dir).withColumn("season", F.col("season") + 1)
+    layer = squads.injury_totals(chances, ["season", "team_id"]).select("season", "team_id", "factor").join(chances.groupBy("season", "team_id").agg(F.count_if(F.col("chance") == 0).alias("absent")), ["season", "team_id"])
+    priors = club_priors(box)
+    of = lambda side: priors.select("season", *(F.col(c).alias(f"{side}_{c.split('_')[0]}" if c != "team_id" else f"{side}_id") for c in ("team_id", "pf", "pa"))).join(layer.select("season", F.col("team_id").alias(f"{side}_id"), F.col("factor").alias(f"{side}_factor"), F.col("absent").alias(f"{side}_absent")), ["season", f"{side}_id"], "left")
+    level = priors.groupBy("season").agg(F.avg("pf").alias("level"))
+    g = games(box).select("season", "game_id", "home_id", "away_id", "h_pts", "a_pts").join(F.broadcast(level), "season").join(F.broadcast(of("home")), ["season", "home_id"]).join(F.broadcast(of("away")), ["season", "away_id"])  # clubs x seasons rows
+    g = g.fillna({"home_factor": 1.0, "away_factor": 1.0, "home_absent": 0, "away_absent": 0})
+    rated = lambda side, c: ratings.rating(F.col(f"{side}_{c}"), F.col("level"), F.lit(0.0))
+    home, away = ratings.match_scores(F.col("level"), rated("home", "pf") * F.col("home_factor"), rated("home", "pa"), rated("away", "pf") * F.col("away_factor"), rated("away", "pa"), F.lit(ratings.HOME_POINTS))
+    return g.withColumns({"home_points": home, "away_points": away})
+
+
+@query(f"with {SIDES_SQL}, {MATCH_SQL} select season, game_id, home_points, away_points, home_points - hf * aa / level - 1.25 absence_effect, sha256(concat_ws('|', game_id, home_id, away_id, ho, ao)) digest from mp")
+def availability_projections(spark, sf_dir):
+    """Games projected with both sides' absences, what those cost the home side, and the digest of the inputs, by which a ledger sees a change."""
+    m = matches(spark, sf_dir)
+    full = ratings.rating(F.col("home_pf"), F.col("level"), F.lit(0.0)) * ratings.rating(F.col("away_pa"), F.col("level"), F.lit(0.0)) / F.col("level") + ratings.HOME_POINTS / 2
+    digest = F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in ("game_id", "home_id", "away_id", "home_absent", "away_absent"))), 256)
+    return m.select("season", "game_id", "home_points", "away_points", (F.col("home_points") - full).alias("absence_effect"), digest.alias("digest"))
+
+
+@query(f"""with {SIDES_SQL}, {MATCH_SQL}, e as (select season, game_id % 4 = 1 locked, h_pts - home_points h, a_pts - away_points a from mp),
+ y as (select season, count(*) filter (locked) ln, sqrt(sum(h * h + a * a) filter (locked) / (2 * count(*) filter (locked))) lt, sqrt(avg((h - a) * (h - a)) filter (locked)) lg, count(*) wn, sqrt(sum(h * h + a * a) / (2 * count(*))) wt, sqrt(avg((h - a) * (h - a))) wg from e group by 1)
+ select a.season, case when a.ln >= 300 then 'fittedLedger' when b.wn >= 300 then 'fittedPrevSeason' end source, case when a.ln >= 300 then a.ln else coalesce(b.wn, 0) end games, case when a.ln >= 300 then a.lt when b.wn >= 300 then b.wt end team_sd, case when a.ln >= 300 then a.lg when b.wn >= 300 then b.wg end margin_sd from y a left join y b on b.season + 1 = a.season""")
+def fitted_spreads(spark, sf_dir):
+    """Spreads of team points and margins from locked projections, else from last season's; none on fewer than 300 games."""
+    m = matches(spark, sf_dir)
+    residuals = m.select("season", (F.col("game_id") % 4 == 1).alias("locked"), (F.col("h_pts") - F.col("home_points")).alias("home"), (F.col("a_pts") - F.col("away_points")).alias("away"))
+    return ratings.fitted_spreads(residuals)
