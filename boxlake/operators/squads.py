@@ -133,7 +133,7 @@ def squad_stats(lines: DataFrame, key: str) -> DataFrame:
     Means of the season, with last season's as PRIOR_GAMES games; whichever exists where one is missing. ``lines``: season, team_id, game_date, game_id, min, pts.
     """
     newest = F.max_by("team_id", F.struct("game_date", "game_id"))
-    now = lines.groupBy("season", key).agg(F.count("*").alias("n"), F.avg("min").alias("m"), F.avg("pts").alias("p"), newest.alias("team_id"))
-    last = now.select((F.col("season") + 1).alias("season"), key, F.col("m").alias("m0"), F.col("p").alias("p0"))
+    now = lines.groupBy("season", key).agg(F.count("*").alias("n"), F.avg("min").alias("__minutes"), F.avg("pts").alias("__points"), newest.alias("team_id"))
+    last = now.select((F.col("season") + 1).alias("season"), key, F.col("__minutes").alias("__minutes0"), F.col("__points").alias("__points0"))
     blend = lambda c: F.coalesce((F.col("n") * F.col(c) + PRIOR_GAMES * F.col(f"{c}0")) / (F.col("n") + PRIOR_GAMES), F.col(c), F.col(f"{c}0"))
-    return now.join(last, ["season", key], "left").select("season", "team_id", key, "n", blend("m").alias("minutes"), blend("p").alias("points"))
+    return now.join(last, ["season", key], "left").select("season", "team_id", key, "n", blend("__minutes").alias("minutes"), blend("__points").alias("points"))
