@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,19 @@ def in_small_batches(df: DataFrame, rows: int = 200) -> DataFrame:
     return df
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 2000):
+    """Within it, plans that run hand Python workers batches of at most ``rows`` rows and about BATCH_BYTES bytes (one text may be longer), so what a worker holds follows its longest text. The session's settings are put back."""
+    before = {k: spark.conf.get(k) for k in (BATCH_ROWS_SETTING, BATCH_BYTES_SETTING)}
+    spark.conf.set(BATCH_ROWS_SETTING, str(rows))
+    spark.conf.set(BATCH_BYTES_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Tables:
     """Intermediate Parquet tables of one run in the shared folder: lineage ends there, and a lost executor costs only a reread.
 
@@ -81,5 +95,26 @@ def gapless_index(df: DataFrame, keys: list[str], order: list[str], blocks: int,
     return df.withColumn("__within", within).join(sizes, [*keys, block]).withColumn(name, (F.col("__before") + F.col("__within") - 1).cast("long")).drop(block, "__within", "__before")
 
 
+def ranked(df: DataFrame, order: list[Column], name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """A table of df with ``name``: 0, 1, 2, ... in ``order`` within each combination of ``by``, which must lead ``order``.
+
+    Rows are dealt by ranges of ``order`` and sorted within; a row's place in its range and the counts of the ranges before it
+    give its number. Rows that agree in all of ``order`` are parted by a salt, so no task holds all copies of one row; they are
+    numbered in any order. df must be a table that is written already (the ranges are sampled from it). Null is a value of its own.
+    """
+    n, low = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << 33) - 1
+    dealt = df.withColumn("__salt", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(n, *order, F.col("__salt")).sortWithinPartitions(*order, "__salt").drop("__salt")
+    # the lower 33 bits of this id are the place in the partition, the upper ones the partition
+    placed = written(dealt.withColumn("__id", F.monotonically_increasing_id()).select(*df.columns, F.shiftright("__id", 33).cast("int").alias("__part"), F.col("__id").bitwiseAND(F.lit(low)).alias("__within")))
+    runs = placed.groupBy("__part", *by).agg(F.count("*").alias("__n"), F.min("__within").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    keys = [f"__{i}" for i in range(len(by))]
+    runs = written(runs.select(F.col("__part").alias("__of"), *[F.col(b).alias(k) for b, k in zip(by, keys)], (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__before")))
+    same = F.col("__part") == F.col("__of")
+    for b, k in zip(by, keys):
+        same &= F.col(b).eqNullSafe(F.col(k))
+    return placed.join(runs, same).select(*df.columns, (F.col("__within") + F.col("__before")).cast("long").alias(name))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
