@@ -15,12 +15,12 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import in_small_batches
+from boxlake.llm.common import arrow_batches, text_or_empty, written
 
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -191,36 +191,42 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>, decoded string) of every text.
+    """A table of (id, ids array<int>, decoded string) of every text.
 
-    Null text counts as empty and yields no ids; repeated rows and null ids each keep their own row; any other columns are left out.
+    Null text counts as empty and yields no ids; repeated rows and null ids each keep their own row; an empty table gives none; any other columns are left out.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            ids = [vocab.encode(t) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "ids": [x.astype(np.int32) for x in ids], "decoded": [vocab.decode(x).decode("utf-8", "replace") for x in ids]})
+            ids = [vocab.encode(t) for t in batch.column("text").to_pylist()]
+            decoded = [vocab.decode(x).decode("utf-8", "replace") for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
-    source = in_small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInPandas(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    with arrow_batches(docs.sparkSession):
+        return written(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")).withColumnRenamed("id", id_col)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests taken where the ids are made, so that only they leave the task."""
+    """A table of doc_id, n_tokens, ids_sha256, decoded_sha256: digests taken where the ids are made, so that only they leave the task.
+
+    Null text counts as empty; repeated rows and null ids each keep a row; an empty table gives none; other columns are left out.
+    """
     import hashlib
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 ids = vocab.encode(text)
                 listed = b",".join(map(vocab.decimal.__getitem__, ids.tolist()))
                 decoded = vocab.decode(ids).decode("utf-8", "replace").encode()
                 rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             n, listed, decoded = zip(*rows) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": listed, "decoded_sha256": decoded})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    source = in_small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    source = docs.select("doc_id", text_or_empty().alias("text"))
+    with arrow_batches(docs.sparkSession):
+        return written(source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -11,11 +11,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import in_small_batches
+from boxlake.llm.common import arrow_batches, text_or_empty, written
 
 # The template's control strings.
 MARKS = {"user": ("[INST] ", " [/INST]"), "system": ("[SYS] ", " [/SYS]"), "assistant": ("<s> ", " </s>")}
@@ -96,49 +96,48 @@ def prefix_target_examples(conversations: DataFrame) -> DataFrame:
 
     Positions are code points; loss_start equals loss_end where nothing is trainable. Null text and null role count as
     empty; null conv_id is a conversation of its own; rows that tie in turn are ordered by role, then text; repeated rows
-    stay; other columns are left out. Rows of one conversation come together, in order.
+    stay; an empty table gives no rows; other columns are left out. Rows of one conversation come together, in order.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows():
-            for batch in batches:
-                yield from zip(batch["conv_id"].tolist(), batch["role"].tolist(), batch["text"].tolist())
-
-        clean = ((None if c is None or c != c else int(c), r, t) for c, r, t in rows())
-        columns = ["conv_id", "example", "formatted", "loss_start", "loss_end", "is_last"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))))
+        columns = [("conv_id", pa.int64()), ("example", pa.int32()), ("formatted", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("is_last", pa.bool_())]
+        whole = lambda held: pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, (_, kind) in zip(zip(*held), columns)], names=[c for c, _ in columns])
         held, chars = [], 0
-        for row in expand_turns(clean):
+        for row in expand_turns(rows):
             held.append(row)
             chars += len(row[2])
             if chars >= FLUSH_CHARS:
-                yield pd.DataFrame(held, columns=columns).astype({"conv_id": "Int64"})
+                yield whole(held)
                 held, chars = [], 0
         if held:
-            yield pd.DataFrame(held, columns=columns).astype({"conv_id": "Int64"})
+            yield whole(held)
 
-    turns = in_small_batches(conversations, 2000).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", text_or_empty("role").alias("role"), text_or_empty().alias("text"))
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInPandas(run, f"conv_id long, {EXAMPLES}")
+    return ordered.mapInArrow(run, f"conv_id long, {EXAMPLES}")
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples, from the examples alone, as they stream by."""
+    """A table of conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples, from the examples alone, as they stream by. Without examples it has no rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, loss_chars, chars, n, out = hashlib.sha256(), 0, 0, 0, []
-        columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         for batch in batches:
-            for conv, text, start, end, last in zip(batch["conv_id"].tolist(), batch["formatted"], batch["loss_start"], batch["loss_end"], batch["is_last"]):
+            for conv, text, start, end, last in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end", "is_last"))):
                 reply = unescape(text[start:end])
                 loss.update(reply.encode())
                 loss_chars, chars, n = loss_chars + len(reply), chars + len(text), n + 1
                 if last:
                     turns = parse(text)
                     digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                    out.append((None if conv != conv else conv, len(turns), digest, loss_chars, loss.hexdigest(), chars, n))
+                    out.append((conv, len(turns), digest, loss_chars, loss.hexdigest(), chars, n))
                     loss, loss_chars, chars, n = hashlib.sha256(), 0, 0, 0
             if out:
-                yield pd.DataFrame(out, columns=columns).astype({"conv_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*out), kinds)], names=names)
                 out = []
 
-    return examples.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+    with arrow_batches(examples.sparkSession):
+        return written(examples.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"))

@@ -27,18 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def in_small_batches(df: DataFrame, rows: int = 200) -> DataFrame:
-    """df, with the session's Arrow batches held to ``rows`` rows and BATCH_BYTES bytes: texts may be long, and a Python worker holds a batch several times over.
-
-    The settings hold for the session, as Spark reads them when a plan starts; the rows are only ever lowered, so frames built before keep their bounds.
-    """
-    conf = df.sparkSession.conf
-    now = int(conf.get(BATCH_ROWS_SETTING))
-    conf.set(BATCH_ROWS_SETTING, str(min(now, rows) if now > 0 else rows))
-    conf.set(BATCH_BYTES_SETTING, str(BATCH_BYTES))
-    return df
-
-
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int = 2000):
     """Within it, plans that run hand Python workers batches of at most ``rows`` rows and about BATCH_BYTES bytes (one text may be longer), so what a worker holds follows its longest text. The session's settings are put back."""

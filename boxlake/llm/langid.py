@@ -11,13 +11,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxlake.llm.common import in_small_batches
+from boxlake.llm.common import arrow_batches, written
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -234,24 +233,25 @@ def label_texts(texts: list[str | None], chain: Chain | None) -> list[tuple[str,
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (mean marginal of the language) of every row, trained on the rows that are not held out.
+    """A table of doc_id, held_out, lang_pred, score (mean marginal of the language) of every row, trained on the rows that are not held out.
 
     Null texts and texts without letters are ``und`` with score 0, as is everything if no row has a language. Repeated rows and
     null ids (never held out, never learned from) each keep a row; an empty table gives none; other columns are left out.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(training_sample(docs)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = label_texts(batch["text"].tolist(), model.value)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+            found = label_texts(batch.column("text").to_pylist(), model.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_small_batches(docs).select("doc_id", held_out().alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    with arrow_batches(docs.sparkSession):
+        return written(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double"))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows whose text is in a learned language with at least that score; all columns stay as they are.
+    """A table of the rows whose text is in a learned language with at least that score; all columns stay as they are.
 
     Null texts and texts without letters go; repeated rows and null ids are judged by their texts like all others; an empty table
     gives none. Columns pass as Arrow batches, so their types must have an Arrow form.
@@ -263,4 +263,5 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
             found = label_texts(batch.column("text").to_pylist(), model.value)
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return in_small_batches(docs).mapInArrow(run, docs.schema)
+    with arrow_batches(docs.sparkSession):
+        return written(docs.mapInArrow(run, docs.schema))

@@ -11,11 +11,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import in_small_batches
+from boxlake.llm.common import arrow_batches, text_or_empty, written
 
 # Phrases that name a licence wherever they stand, and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -196,25 +196,29 @@ FIELDS = "n_words long, n_base long, first_word long, last_word long, base_label
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, counts and labels, and spans (label, start, end, coverage) in words, of every whole text.
+    """A table of doc_id, counts and labels, and spans (label, start, end, coverage) in words, of every whole text.
 
     Null text counts as empty: no words, no places, null first_word and last_word, empty labels, score 0. The score is 1 where a
     phrase stands, else the best coverage of a chained span. Repeated rows and null ids each keep a row; other columns are left out.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("coverage", pa.float64())])
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(span)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner().scan
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"]):
+            for text in batch.column("text").to_pylist():
                 n, places, spans = scan(text)
                 starts = [p[1] for p in places]
                 base = {p[0] for p in places}
                 labels = base | {s[0] for s in spans}
                 score = 1.0 if base else max((s[3] for s in spans), default=0.0)
-                out.append((None if doc != doc else doc, n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, [dict(zip(("label", "start", "end", "coverage"), s)) for s in spans]))
-            columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
+                out.append((n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, [dict(zip(("label", "start", "end", "coverage"), s)) for s in spans]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), kind) for x, kind in zip(zip(*out), kinds))], names=["doc_id", *names])
 
-    source = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInPandas(run, f"doc_id long, {FIELDS}, spans array<struct<label:string,start:long,end:long,coverage:double>>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    with arrow_batches(docs.sparkSession):
+        return written(source.mapInArrow(run, f"doc_id long, {FIELDS}, spans array<struct<label:string,start:long,end:long,coverage:double>>"))

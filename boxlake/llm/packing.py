@@ -12,12 +12,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.llm.bpe import PATTERN, joined_chunks, vocabulary
-from boxlake.llm.common import gapless_index, in_small_batches, written
+from boxlake.llm.common import arrow_batches, gapless_index, text_or_empty, written
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -219,31 +219,34 @@ def fast_encoder(path: str):
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; only documents of over ``capacity`` ids are cut, the rest of the division first."""
+    """A table of doc_id, piece, start, length, ids_crc32 of every piece; only documents of over ``capacity`` ids are cut, the rest of the division first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = fast_encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for at, text in enumerate(batch.column("text").to_pylist()):
                 ids = encode(text) + end
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                rows += [(doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows += [(at, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            table = np.array(rows, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(table[:, 0])), pa.array(table[:, 1].astype(np.int32)), *(pa.array(table[:, k].copy()) for k in (2, 3, 4))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    source = in_small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    source = docs.select("doc_id", text_or_empty().alias("text"))
+    with arrow_batches(docs.sparkSession):
+        return written(source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"))
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, blocks: int = 64) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, block_rows: int = 1_000_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece's place.
 
-    Null text counts as empty (one end id); repeated rows are packed as often as they occur; an empty table gives no rows;
-    other columns are left out. Only counts by length (``capacity`` at most) and patterns (bounded by them) reach the driver.
+    Null text counts as empty (one end id); repeated rows are packed as often as they occur, and null ids keep their rows; texts of any
+    length are cut; an empty table gives no rows; other columns are left out, those named like the output's too. Slots of a length are numbered in blocks
+    of about ``block_rows`` pieces. Only counts by length (``capacity`` at most) and patterns (bounded by them) reach the driver.
     """
-    pieces = written(cut_documents(docs, path, capacity, end_id))
+    pieces = cut_documents(docs, path, capacity, end_id)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     at = dict.fromkeys(counts, 0)
     table, sequence = [], 0
@@ -257,14 +260,17 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
         sequence += copies
     table = np.array(sorted(table), np.int64).reshape(-1, 4)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = pieces.columns
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = (batch["length"].to_numpy() << 44) + batch["nth"].to_numpy()
+            length = batch.column("length").to_numpy()
+            key = (length << 44) + batch.column("nth").to_numpy()
             row = table[np.searchsorted(table[:, 0], key, "right") - 1]
             copy, slot = np.divmod(key - row[:, 0], np.maximum(row[:, 1], 1))
-            yield batch.drop(columns="nth").assign(sequence_id=row[:, 2] + copy, offset=row[:, 3] + slot * batch["length"].to_numpy())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(row[:, 2] + copy), pa.array(row[:, 3] + slot * length)], names=[*names, "sequence_id", "offset"])
 
+    blocks = max(64, -(-max(counts.values(), default=0) // block_rows))
     numbered = gapless_index(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], blocks, "nth")
-    names = pieces.columns
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return numbered.select(*names, "nth").mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    return numbered.select(*names, "nth").mapInArrow(place, f"{fields}, sequence_id long, offset long")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxlake.llm.common import Tables, in_small_batches
+from boxlake.llm.common import Tables, arrow_batches
 from boxlake.llm.shingles import shingle_hashes
 
 FRAGMENTS = 8
@@ -97,7 +97,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 out.append((doc, len(h), *set_hash(h), h[: np.searchsorted(h, limit)].view(np.int64)))
             yield pd.DataFrame(out, columns=["doc_id", "n", "s1", "s2", "low"])
 
-    source = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     return source.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, low array<long>")
 
 
@@ -279,6 +279,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     An id that names several texts goes by the one with the fewest shingles, ties by hash; all its rows get that component. An
     empty table gives no rows; other columns are left out.
     """
+    with arrow_batches(docs.sparkSession, 200):  # all steps that run Python write their rows
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     tables = Tables(docs.sparkSession)
     described = tables.write(describe(docs))
     ids = described.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()

@@ -55,3 +55,8 @@ def test_frames(spark):
     assert (by[2].n_words, by[2].first_word, by[2].labels) == (0, None, "") and by[None].base_labels == "cc-by" and by[3].n_base == 5000
     assert scan_licenses(docs.limit(0)).count() == 0
     assert license_words("A1_b") == [b"a1", b"b"]
+
+
+def test_ids_stay_whole(spark):
+    docs = spark.createDataFrame([(2**60 + 1, "mit license"), (None, "x")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in scan_licenses(docs).collect()} == {2**60 + 1, None}

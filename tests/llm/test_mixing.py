@@ -45,10 +45,11 @@ def test_whole_mix(spark, rows):
     want = filled(sizes)
     assert Counter((r.doc_id, r.size, r.source_size) for r in got) == Counter((d, count(t), sizes[s]) for d, t, s, *_ in rows)
     taken = defaultdict(int)
-    by_target = {round(v, 6): s for s, v in want.items()}
+    for r in mixing_plan(docs.withColumn("of", F.col("source")), keep=("of",)).collect():
+        assert r.target == pytest.approx(want[r.of])
+        taken[r.of] += r.size * r.copies
     for r in got:
         assert r.size == 0 and r.taken == 0 or r.taken // r.size in (0, 1, 2) and r.taken % r.size == 0
-        taken[by_target[round(r.target, 6)]] += r.taken
     for s, target in want.items():
         assert abs(taken[s] - target) <= largest[s], s
 
@@ -72,8 +73,8 @@ def test_emits_whole_rows(spark, rows):
     assert out.columns == [*(c for c in docs.columns if c != "copy"), "copy"]
     copies = Counter((r.doc_id, r.text, r.source) for r in out.collect())
     plan = Counter()
-    for r in mixing_plan(docs, keep=("text", "source")).collect():
-        plan[r.doc_id, r.text, r[6]] += r.copies
+    for r in mixing_plan(docs.withColumn("of", F.col("source")), keep=("text", "of")).collect():
+        plan[r.doc_id, r.text, r.of] += r.copies
     assert copies == +plan
 
 
