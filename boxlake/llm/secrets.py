@@ -57,17 +57,21 @@ def base_spans(text: Column) -> Column:
 def train_ratio(docs: DataFrame, sample_docs: int = 4000) -> list[float]:
     """Log-likelihood ratios (random over ordinary) of every pair of characters, row by row of ALPHABET.
 
-    Labelled samples: values of the fixed patterns are random strings, the other words are ordinary identifiers. They come
-    from about ``sample_docs`` documents chosen by the hash of doc_id and text (a bound on training only). Without random
-    strings their chain is uniform; without words both are, and no ratio is over 0.
+    Labelled samples: random strings are the values of the fixed patterns and, as those know few alphabets, the digests of
+    the documents in the usual spellings (Base64 with and without its two signs, upper-case hexadecimal); ordinary identifiers are the other
+    words, alone and joined to compounds. They come from about ``sample_docs`` documents chosen by the hash of doc_id and text (a
+    bound on training only). Without documents both chains are uniform, and no ratio is over 0.
     """
     every = max(1, docs.count() // sample_docs)
-    text = F.coalesce("text", F.lit(""))
-    chosen = docs.select("doc_id", text.alias("text")).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).withColumn("spans", base_spans(F.col("text")))
-    secret = chosen.select(F.explode("spans.value").alias("word"), F.lit(1).alias("random"))
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).withColumn("spans", base_spans(F.col("text")))
+    digest = F.sha2(F.concat_ws(":", "doc_id", F.xxhash64("text")), 256)
+    spelled = F.regexp_replace(F.base64(F.unhex(digest)), "=", "")
+    digests = F.array(spelled, F.regexp_replace(spelled, "[+/]", ""), F.translate(spelled, "+/", "-_"), F.upper(digest))
+    secret = chosen.select(F.explode(F.concat("spans.value", digests)).alias("word"), F.lit(1).alias("random"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), r"AKIA[A-Z0-9]{16,}", " "), r"[0-9a-f]{24,}", " ")
     ordinary = chosen.select(F.explode(F.regexp_extract_all(rest, F.lit(r"([A-Za-z0-9+/_-]{3,})"), F.lit(1))).alias("word"), F.lit(0).alias("random"))
-    words = secret.unionByName(ordinary).groupBy("random", "word").agg(F.count("*").alias("n"))
+    joined = ordinary.select(F.concat_ws("_", "word", "word").alias("word"), "random").unionByName(ordinary.select(F.concat("word", F.initcap("word"), F.lit("-"), "word").alias("word"), "random"))
+    words = secret.unionByName(ordinary).unionByName(joined).groupBy("random", "word").agg(F.count("*").alias("n"))
     at = F.explode(F.when(F.length("word") > 1, F.sequence(F.lit(1), F.length("word") - 1)))
     pairs = words.select("random", "n", "word", at.alias("i")).select("random", "n", F.expr("substring(word, i, 2)").alias("pair"))
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.sum("n").alias("n")).collect()}

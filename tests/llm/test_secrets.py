@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from boxlake.llm.secrets import ALPHABET, redact_secrets, scan_secrets, secret_report, train_ratio
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,6 +46,39 @@ def test_models_tell_random_from_ordinary(spark):
     assert sum(found[i] for i in range(1, 400, 2)) >= 196 and sum(found[i] for i in range(0, 400, 2)) <= 2
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    return train_ratio(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+def test_held_out_precision_and_recall(spark, trained):
+    """Models trained on sf0.001, tokens of other documents: identifiers made of words of sf0.01, random strings of alphabets and lengths of their own."""
+    rng = random.Random(8)
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id >= 200").select("text").collect() for w in re.findall("[a-z]{3,12}", r.text or "")})
+    ordinary = ["_".join(rng.sample(words, 4)) + "_name" for _ in range(300)] + ["".join(w.title() for w in rng.sample(words, 4)) + "ServiceFactory" for _ in range(300)] + ["/".join(rng.sample(words, 5)) + "/index" for _ in range(300)]
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", ALPHABET, "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789"]
+    noise = ["X" + "".join(rng.choice(alphabets[k]) for _ in range(rng.randint(28, 60))) for k in range(4) for _ in range(200)]
+    docs = spark.createDataFrame([(i, f"see {w} here") for i, w in enumerate(ordinary + noise)], "doc_id long, text string")
+    found = {r.doc_id for r in scan_secrets(docs, trained).collect() if any(s.kind == 3 for s in r.secrets)}
+    true = sum(i >= len(ordinary) for i in found)
+    assert true >= 0.95 * len(noise) and true >= 0.99 * len(found), (true / len(noise), true / len(found))
+
+
+def test_ratio_against_a_loop(spark, trained):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(ALPHABET + "   .é") for _ in range(rng.randint(0, 160))) for _ in range(300)] + ["AKIA" + "Q" * 20 + " thisisjustaverylongordinaryword", None, ""]
+    place = {c: i for i, c in enumerate(ALPHABET)}
+    rows = {r.doc_id: r for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trained, 0.3).collect()}
+    for i, text in enumerate(texts):
+        base = brute(text or "")
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text or ""):
+            mean = sum(trained[place[a] * len(ALPHABET) + place[b]] for a, b in zip(m[0], m[0][1:])) / (len(m[0]) - 1)
+            if not any(s < m.end() and m.start() < e for s, _, e in base) and re.search("[A-Za-z]", m[0]) and mean >= 0.3:
+                want.append((m.start(), 3, m.end()))
+        assert [(s.start, s.kind, s.end) for s in rows[i].secrets] == sorted(base + want)
+
+
 def test_redaction(spark):
     data = [(1, 'é token = "abcdef0123456789abcdef0123456789" end', 9, "k"), (2, None, None, "k"), (3, "plain", 5, "k")]
     rows = {r.doc_id: r for r in redact_secrets(spark.createDataFrame(data, "doc_id long, text string, n_chars long, secrets string")).collect()}
