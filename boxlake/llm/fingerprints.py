@@ -7,7 +7,7 @@ another, below the smaller of both fractions, estimates containment, however une
 
 The estimate rests on n hashes of the shorter text: at least ``FLOOR``, or all its shingles, if the texts are alike in length, else
 its shingles times the longer one's fraction. Its standard error is at most 1 / (2 * sqrt(n)): 0.09 for texts of up to some
-2,000 characters, falling with the root of the length from there; a short text in a far longer one may have no hash to go by and counts as not held.
+4,000 characters, falling with the root of the length from there; a short text in a far longer one may have no hash to go by and counts as not held.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from boxlake.llm.common import arrow_batches, text_or_empty, written
 
-WIDTH, SCALE, FLOOR = 8, 64, 32
+WIDTH, SCALE, FLOOR = 8, 128, 32
 GROUP_CHARS = 8_000_000
 LOWEST = -(1 << 63)
 # Hashes have 48 bits.

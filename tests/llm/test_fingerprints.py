@@ -35,7 +35,7 @@ def test_containment_is_close_to_the_truth():
 def test_the_error_falls_with_the_length():
     """Root mean square error against the exact containment: by length for texts alike in length, and for long texts in ones five times as long. Sketches are small."""
     rng = random.Random(9)
-    for n, longer, bound in ((1, 0, 0.0001), (4, 0, 0.09), (40, 0, 0.09), (400, 0, 0.08), (400, 5, 0.08), (4000, 0, 0.03), (4000, 5, 0.03)):
+    for n, longer, bound in ((1, 0, 0.0001), (4, 0, 0.09), (40, 0, 0.09), (400, 0, 0.08), (400, 5, 0.08), (4000, 0, 0.04), (4000, 5, 0.04)):
         squares = []
         for _ in range(120 if n < 1000 else 12):
             words = [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
@@ -44,11 +44,11 @@ def test_the_error_falls_with_the_length():
             a, b = " ".join(words), " ".join(other)
             squares.append((containment(sketch(a), sketch(b)) - exact(a, b)) ** 2)
         assert (sum(squares) / len(squares)) ** 0.5 <= bound, (n, longer)
-        assert len(written_sketch(sketch(a))) <= max(8 * 32, len(a) // 6)
+        assert len(written_sketch(sketch(a))) <= max(8 * 32, len(a) // 12)
 
 
 def test_every_hash_below_the_fraction_is_kept():
-    text = " ".join(f"{i * 7919 % 10007}" for i in range(5000))
+    text = " ".join(f"{i * 7919 % 10007}" for i in range(9000))
     values = shingle_values(text)
     assert sketch(text).tolist() == sorted({v for v in values.tolist() if v < TOP // SCALE}) and len(sketch(text)) >= FLOOR
     assert sketch("short one").tolist() == sorted(set(shingle_values("short one").tolist()))[:FLOOR]
