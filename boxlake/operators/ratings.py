@@ -51,12 +51,13 @@ def season_means(sides: DataFrame, scope: list[str]) -> DataFrame:
     return teams.select(*scope, "team_id", mean("f").alias("pf"), mean("a").alias("pa")).join(F.broadcast(whole), scope)  # a row a season
 
 
-def rating_fold(sides: DataFrame) -> DataFrame:
+def rating_fold(sides: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     """season, season_type, game_date, home_id, away_id, games, level, projected_home, projected_away of every pairing of a day.
 
     ``sides`` has a row per game and side (season, season_type, game_date, team_id, opp_team_id, is_home, tm_pts, opp_pts; points at
     regulation length). A day is projected from the state before it, then all its teams are updated: by the mean miss of the
-    team's games of that day, with weight 1 / (day number + PRIOR_GAMES). Games are aggregated to pairings of a day on
+    team's games of that day, with weight 1 / (day number + PRIOR_GAMES). ``factors`` (season, season_type, team_id, game_date, factor) scale a
+    side's attack by what its availability leaves as of the day, 1 where there is none. Games are aggregated to pairings of a day on
     Spark, so the sequential step of a season holds days x pairings of teams, whatever the number of games.
     """
     scope = ["season", "season_type"]
@@ -65,6 +66,9 @@ def rating_fold(sides: DataFrame) -> DataFrame:
     last = prior.select(*scope, "level", "margin_sum", "margin_n").distinct().withColumnsRenamed({"level": "level0", "margin_sum": "margin_sum0", "margin_n": "margin_n0"})
     of = lambda side: prior.select(*scope, F.col("team_id").alias(f"{side}_id"), F.col("pf").alias(f"{side}_pf0"), F.col("pa").alias(f"{side}_pa0"))
     full = pairs.join(last, scope, "left").join(of("home"), [*scope, "home_id"], "left").join(of("away"), [*scope, "away_id"], "left")
+    for side in ("home", "away"):
+        factor = factors.select(*scope, "game_date", F.col("team_id").alias(f"{side}_id"), F.col("factor").alias(f"{side}_factor")) if factors else None
+        full = full.join(factor, [*scope, "game_date", f"{side}_id"], "left").fillna(1.0, [f"{side}_factor"]) if factors else full.withColumn(f"{side}_factor", F.lit(1.0))
     fields = "season long, season_type string, game_date date, home_id long, away_id long, games long, level double, projected_home double, projected_away double"
     return full.groupBy(*scope).applyInPandas(fold_season, fields)
 
@@ -75,6 +79,7 @@ def fold_season(rows: pd.DataFrame) -> pd.DataFrame:
     ids, place = np.unique(np.concatenate([rows["home_id"], rows["away_id"]]), return_inverse=True)
     home, away = np.split(place, 2)
     n, scored, allowed = (rows[c].to_numpy(np.float64) for c in ("games", "home", "away"))
+    home_factor, away_factor = (rows[c].to_numpy(np.float64) for c in ("home_factor", "away_factor"))
     level0, margin_sum, margin_n = (float(rows[c].iat[0]) for c in ("level0", "margin_sum0", "margin_n0"))
     margin_sum, margin_n = (0.0, 0.0) if np.isnan(level0) else (margin_sum, margin_n)
     prior = {c: rows[c].to_numpy(np.float64) for c in ("home_pf0", "home_pa0", "away_pf0", "away_pa0")}
@@ -90,7 +95,7 @@ def fold_season(rows: pd.DataFrame) -> pd.DataFrame:
             start = {c: np.where(np.isnan(v[day]), level, v[day] * level / level0) for c, v in prior.items()}
             h_for, h_against = rating(start["home_pf0"], level, up[h]), rating(start["home_pa0"], level, down[h])
             a_for, a_against = rating(start["away_pf0"], level, up[a]), rating(start["away_pa0"], level, down[a])
-            ours, theirs = match_scores(level, h_for, h_against, a_for, a_against, edge)
+            ours, theirs = match_scores(level, h_for * home_factor[day], h_against, a_for * away_factor[day], a_against, edge)
             out[day] = np.stack([np.full(len(day), level), ours, theirs], axis=1)
         total += float((w * (scored[day] + allowed[day])).sum())
         games += 2 * float(w.sum())

@@ -26,10 +26,17 @@ def injury_totals(players: DataFrame, squad: list[str], replacement: float = 0.2
 
     Where the cap on the boost binds, the consistent policy credits the rest at replacement level, the other leaves it unassigned.
     """
+    return injury_layer(players.groupBy(*squad).agg(*(F.sum(v).alias(name) for name, v in contributions().items())), replacement, absorb, cap, consistent)
+
+
+def contributions() -> dict[str, Column]:
+    """What a player (minutes, points, chance) adds to the sums of a squad that the layer runs on."""
     m, p, c = F.col("minutes"), F.col("points"), F.col("chance")
-    sums = players.groupBy(*squad).agg(
-        F.sum(p).alias("full"), F.sum(p * c).alias("avail"), F.sum(p * (1 - c)).alias("lost"), F.sum(m * (1 - c)).alias("lost_min"), F.sum(m * c).alias("avail_min")
-    )
+    return {"full": p, "avail": p * c, "lost": p * (1 - c), "lost_min": m * (1 - c), "avail_min": m * c}
+
+
+def injury_layer(sums: DataFrame, replacement: float = 0.225, absorb: float = 0.6, cap: float = 1.15, consistent: bool = True) -> DataFrame:
+    """The layer on squads' sums; see ``injury_totals``."""
     repl = F.col("lost_min") * replacement
     out = sums.withColumn("absorbed", F.when(F.col("lost") >= repl, repl + absorb * (F.col("lost") - repl)).otherwise(F.col("lost")))
     wanted = 1 + sdiv(F.col("absorbed"), F.col("avail"))
@@ -137,3 +144,33 @@ def squad_stats(lines: DataFrame, key: str) -> DataFrame:
     last = now.select((F.col("season") + 1).alias("season"), key, F.col("__minutes").alias("__minutes0"), F.col("__points").alias("__points0"))
     blend = lambda c: F.coalesce((F.col("n") * F.col(c) + PRIOR_GAMES * F.col(f"{c}0")) / (F.col("n") + PRIOR_GAMES), F.col(c), F.col(f"{c}0"))
     return now.join(last, ["season", key], "left").select("season", "team_id", key, "n", blend("__minutes").alias("minutes"), blend("__points").alias("points"))
+
+
+def daily_factors(lines: DataFrame, entries: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, team_id, game_date, factor: how much of a squad's points its availability leaves, as of every day on which the team plays.
+
+    A squad as of a day are the players whose newest line before it, in the scope's season, was the team's; what to expect of them is blended from the lines before
+    that day and last season's, and their chance is that of the newest entry before it (1 without one). ``lines``: scope, player_id, team_id,
+    game_date, game_id, min, pts, those with minutes count; ``entries``: scope, player_id, game_date (published), chance, one a day.
+
+    Lines and entries are events of one timeline a player; each moves what the player adds to a team's sums, so running sums over a team's
+    days give every day's squad without a join of days and players. Squads are counted in whole numbers, so that one that has emptied has no remainder.
+    """
+    player = [*scope, "player_id"]
+    days = lines.where("min > 0").groupBy(*player, "game_date").agg(F.count("*").alias("n"), F.sum("min").alias("m"), F.sum("pts").alias("p"), F.max_by("team_id", "game_id").alias("team_id"))
+    last = days.groupBy(*player).agg(F.sum("n").alias("__n"), *((F.sum(c) / F.sum("n")).alias(f"__{c}0") for c in "mp")).drop("__n").withColumn("season", F.col("season") + 1)
+    both = days.join(entries.select(*player, "game_date", "chance"), [*player, "game_date"], "full").join(last, player, "left")
+    past = Window.partitionBy(*player).orderBy("game_date").rowsBetween(Window.unboundedPreceding, 0)
+    n = F.sum(F.coalesce("n", F.lit(0))).over(past)
+    blend = lambda c: F.coalesce((F.sum(c).over(past) + PRIOR_GAMES * F.col(f"__{c}0")) / (n + PRIOR_GAMES), F.sum(c).over(past) / n)
+    known = both.select(*player, "game_date", F.last("team_id", True).over(past).alias("team_id"), blend("m").alias("minutes"), blend("p").alias("points"), F.coalesce(F.last("chance", True).over(past), F.lit(1.0)).alias("chance"))
+    after = known.where("team_id is not null").select(*player, "game_date", "team_id", F.lit(1).alias("members"), F.when(F.col("chance") < 1, 1).otherwise(0).alias("doubtful"), *(v.alias(name) for name, v in contributions().items()))
+    sums = ["members", "doubtful", *contributions()]
+    before = Window.partitionBy(*player).orderBy("game_date")
+    gone = after.select(*scope, F.lag("team_id").over(before).alias("team_id"), "game_date", *((-F.lag(s).over(before)).alias(s) for s in sums)).where("team_id is not null")
+    moves = after.select(*scope, "team_id", "game_date", *sums).unionByName(gone).groupBy(*scope, "team_id", "game_date").agg(*(F.sum(s).alias(s) for s in sums))
+    played = lines.select(*scope, "team_id", "game_date").distinct().withColumn("__plays", F.lit(True))
+    run = Window.partitionBy(*scope, "team_id").orderBy("game_date").rowsBetween(Window.unboundedPreceding, -1)
+    as_of = moves.join(played, [*scope, "team_id", "game_date"], "full").select(*scope, "team_id", "game_date", "__plays", *(F.sum(s).over(run).alias(s) for s in sums)).where("__plays")
+    held = (F.col("members") > 0) & (F.col("doubtful") > 0)  # without a doubt in force the factor is 1
+    return injury_layer(as_of).select(*scope, "team_id", "game_date", F.when(held, F.col("factor")).otherwise(1.0).alias("factor"))

@@ -339,9 +339,3 @@ def match_projections(spark, sf_dir):
 def with_home(box):
     g = games(box)
     return g.selectExpr("game_id", "season", "season_type", "game_date", "stack(2, home_id, away_id, true, h_pts, a_pts, away_id, home_id, false, a_pts, h_pts) as (team_id, opp_team_id, is_home, tm_pts, opp_pts)")
-
-
-@query()
-def rating_fold(spark, sf_dir):
-    """The fold is sequential and has no SQL form here; a test holds it against a plain loop."""
-    return ratings.rating_fold(with_home(box_view(spark, sf_dir)))
