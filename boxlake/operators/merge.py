@@ -26,17 +26,23 @@ def coerced(rows: DataFrame, schema: T.StructType) -> DataFrame:
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of either side with ``change``: insert, update, same, or stale (held but not regenerated); new values win, unchanged ones stay.
 
-    Keys are unique on each side. A scope's stale rows are those to delete; write the rest over the scope's partition.
+    Keys are unique on each side and null keys meet each other. Columns that ``new`` lacks are left alone (null in new rows). A
+    scope's stale rows are those to delete; write the rest over the scope's partition.
     """
     values = [f for f in old.schema if f.name not in keys]
-    a = old.select(*keys, F.struct(*(f.name for f in values)).alias("__old"))
-    b = new.select(*keys, F.struct(*(f.name for f in values)).alias("__new"))
-    both = a.join(b, keys, "full")
+    given = [f for f in values if f.name in new.columns]
+    a = old.select(*(F.col(k).alias(f"__a{i}") for i, k in enumerate(keys)), F.struct(F.lit(0), *(f.name for f in values)).alias("__old"))
+    b = new.select(*(F.col(k).alias(f"__b{i}") for i, k in enumerate(keys)), F.struct(F.lit(0), *(f.name for f in given)).alias("__new"))
+    same = F.lit(True)
+    for i in range(len(keys)):
+        same &= F.col(f"__a{i}").eqNullSafe(F.col(f"__b{i}"))
+    both = a.join(b, same, "full").select(*(F.coalesce(f"__a{i}", f"__b{i}").alias(k) for i, k in enumerate(keys)), "__old", "__new")
     changed = F.lit(False)
-    for f in values:
+    for f in given:
         changed = changed | differs(F.col(f"__old.{f.name}"), F.col(f"__new.{f.name}"), f.dataType)
     change = F.when(F.col("__old").isNull(), "insert").when(F.col("__new").isNull(), "stale").when(changed, "update").otherwise("same")
-    pick = lambda name: F.when(F.col("change").isin("insert", "update"), F.col(f"__new.{name}")).otherwise(F.col(f"__old.{name}")).alias(name)
+    known = {f.name for f in given}
+    pick = lambda name: (F.when(F.col("change").isin("insert", "update"), F.col(f"__new.{name}")).otherwise(F.col(f"__old.{name}")) if name in known else F.col(f"__old.{name}")).alias(name)
     return both.withColumn("change", change).select(*keys, "change", *(pick(f.name) for f in values))
 
 
