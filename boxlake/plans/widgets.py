@@ -246,27 +246,27 @@ def game_checks(spark, sf_dir):
     return quality.checked_games(faulty.unionByName(faulty.where("player_id % 50 = 1")))
 
 
-TEXTS = ("Round 4", "Around 8 Oct", "At least six weeks", "Out for the season", "Until November", "Day to day", "2-3 weeks")
+TEXTS = ("Round 4", "Around 8 Oct", "At least six weeks", "Out for the season", "Until November", "Day to day", "2-3 weeks", "Marc questionable", "0 weeks", "Around 8 Janua")
 AS_OF = "2024-03-01 12:00:00"
-ENTRIES_SQL = f"""with e as (select event_id, user_id player, ts, ['league', 'club', 'press'][cast(event_id % 3 as int) + 1] source, [{", ".join(f"'{t}'" for t in TEXTS)}][cast(event_id % 7 as int) + 1] txt from events where event_type in ('error', 'view')),
+ENTRIES_SQL = f"""with e as (select event_id, user_id player, ts, ['league', 'club', 'press'][cast(event_id % 3 as int) + 1] source, [{", ".join(f"'{t}'" for t in TEXTS)}][cast(event_id % 10 as int) + 1] txt from events where event_type in ('error', 'view')),
  p as (select user_id player, max(ts) played from events where event_type = 'purchase' group by 1),
  h as (select *, cast(ts as date) d from e),
- f as (select h.*, p.played, case event_id % 7 when 1 then case when make_date(year(d), 10, 8) >= d - 31 then make_date(year(d), 10, 8) else make_date(year(d) + 1, 10, 8) end end back,
-   case event_id % 7 when 2 then d + 42 when 6 then d + 21 when 1 then case when make_date(year(d), 10, 31) < d - 31 then make_date(year(d) + 1, 10, 31) else make_date(year(d), 10, 31) end when 4 then case when make_date(year(d), 11, 30) < d - 31 then make_date(year(d) + 1, 11, 30) else make_date(year(d), 11, 30) end end horizon from h left join p using (player)),
- v as (select *, case when date '2024-03-01' > back then 'returnDatePassed' when played > ts then 'playedSince' when timestamp '{AS_OF}' > ts + interval 14 days and event_id % 7 <> 3 and (horizon is null or date '2024-03-01' > horizon) then 'tooOld' end reason from f)"""
+ f as (select h.*, p.played, case event_id % 10 when 1 then case when make_date(year(d), 10, 8) >= d - 31 then make_date(year(d), 10, 8) else make_date(year(d) + 1, 10, 8) end end back,
+   case event_id % 10 when 2 then d + 42 when 6 then d + 21 when 1 then case when make_date(year(d), 10, 31) < d - 31 then make_date(year(d) + 1, 10, 31) else make_date(year(d), 10, 31) end when 4 then case when make_date(year(d), 11, 30) < d - 31 then make_date(year(d) + 1, 11, 30) else make_date(year(d), 11, 30) end end horizon from h left join p using (player)),
+ v as (select *, case when date '2024-03-01' > back then 'returnDatePassed' when played > ts then 'playedSince' when timestamp '{AS_OF}' > ts + interval 14 days and event_id % 10 <> 3 and (horizon is null or date '2024-03-01' > horizon) then 'tooOld' end reason from f)"""
 
 
 def availability_entries(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "player")
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
     played = e.where("event_type = 'purchase'").groupBy("player").agg(F.max("ts").alias("played"))
-    entries = e.where("event_type in ('error', 'view')").select("event_id", "player", "ts", pick(("league", "club", "press"), 3).alias("source"), pick(TEXTS, 7).alias("txt"))
+    entries = e.where("event_type in ('error', 'view')").select("event_id", "player", "ts", pick(("league", "club", "press"), 3).alias("source"), pick(TEXTS, 10).alias("txt"))
     as_of = F.lit(AS_OF).cast("timestamp_ntz")
     full = entries.join(played, "player", "left").withColumn("reason", availability.out_of_force(F.col("ts").cast("timestamp_ntz"), F.col("txt"), F.col("played").cast("timestamp_ntz"), as_of))
     return full.withColumn("stale", availability.stale(F.col("ts").cast("timestamp_ntz"), F.col("txt"), F.col("reason"), as_of))
 
 
-@query(ENTRIES_SQL + f""" select event_id, player, source, txt, reason, reason is not null or date_diff('microsecond', ts, timestamp '{AS_OF}') / 6e7 > case when event_id % 7 = 3 then 10080 else 1440 end stale from v""")
+@query(ENTRIES_SQL + f""" select event_id, player, source, txt, reason, reason is not null or date_diff('microsecond', ts, timestamp '{AS_OF}') / 6e7 > case when event_id % 10 = 3 then 10080 else 1440 end stale from v""")
 def availability_in_force(spark, sf_dir):
     """Why each entry is out of force on a day, if it is, and whether it is stale."""
     return availability_entries(spark, sf_dir).select("event_id", "player", "source", "txt", "reason", "stale")
