@@ -28,7 +28,7 @@ KEEP_STATE = "3 days"
 
 
 def schema(fields: str) -> T.StructType:
-    return T._parse_datatype_string(fields)
+    return T.DataType.fromDDL(fields)
 
 
 @dataclass(frozen=True)
