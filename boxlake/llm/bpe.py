@@ -24,7 +24,7 @@ from boxlake.llm.common import arrow_batches, text_or_empty, written
 
 # Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 300_000
+MEMO = 150_000
 NEVER = 1 << 40
 
 

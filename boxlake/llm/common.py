@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int = 2000):
+def arrow_batches(spark: SparkSession, rows: int = 500):
     """Within it, plans that run hand Python workers batches of at most ``rows`` rows and about BATCH_BYTES bytes (one text may be longer), so what a worker holds follows its longest text. The session's settings are put back."""
     before = {k: spark.conf.get(k) for k in (BATCH_ROWS_SETTING, BATCH_BYTES_SETTING)}
     spark.conf.set(BATCH_ROWS_SETTING, str(rows))

@@ -21,7 +21,7 @@ from boxlake.llm.common import arrow_batches, written
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 MEMO = 100_000
-GROUP_CHARS = 200_000
+GROUP_CHARS = 400_000
 PIECE, OVERLAP = 40, 2
 
 

@@ -212,8 +212,9 @@ def fast_encoder(path: str):
         return pack(library.encode(text, add_special_tokens=False).ids)
 
     special = re.compile("|".join(map(re.escape, vocab.special))).search if vocab.special else lambda text: None
+    vocabulary.cache_clear()  # its tables are no longer needed; a worker goes on to other stages
     encode = (lambda text: pack(ordinary(text))) if same else by_library
-    memo: dict[str, bytes] = {}
+    memo: dict[str, bytes] = {}  # at most MEMO chunks
     space_run = re.compile(r"\s ").search
     return lambda text: by_library(text) if special(text) else joined_chunks(text, memo, encode, space_run)
 
