@@ -90,6 +90,18 @@ def changed_only(ledger: DataFrame, keys: list[str], at: list[str], digest: str)
     return ledger.withColumn("__before", before).where(~F.col(digest).eqNullSafe(F.col("__before"))).drop("__before")
 
 
+def restamped(ledger: DataFrame, keys: list[str], at: list[str], digest: str) -> DataFrame:
+    """keys, digest, first and stamped (struct of ``at``), runs: the rows that a ledger holds after all of its computations, one a key and digest.
+
+    A computation with the newest row's digest leaves no trace; one with an older row's digest stamps that row again, so that it
+    becomes the newest, and one with a new digest is appended. A row's stamp is thus the start of its digest's last run. A null digest is one of its own.
+    """
+    order = Window.partitionBy(*keys).orderBy(*at)
+    when = F.struct(*at)
+    starts = ledger.withColumn("__first", F.row_number().over(order) == 1).withColumn("__before", F.lag(digest).over(order)).where(F.col("__first") | ~F.col(digest).eqNullSafe(F.col("__before")))
+    return starts.groupBy(*keys, digest).agg(F.min(when).alias("first"), F.max(when).alias("stamped"), F.count("*").alias("runs"))
+
+
 def locked(ledger: DataFrame, keys: list[str], computed: str, deadline: str, tie: str) -> DataFrame:
     """Of each key the newest row computed before its deadline; at the deadline is too late."""
     newest = Window.partitionBy(*keys).orderBy(F.desc(computed), F.desc(tie))
