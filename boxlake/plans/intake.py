@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from boxlake.operators import models, precedence, ratings, squads
+from boxlake.functions.parsing import valid_weights
+from boxlake.operators import models, precedence, quality, ratings, snapshots, squads
 from boxlake.operators.payloads import Field, checked_items
+from boxlake.operators.store import KeyedTable
 from boxlake.plans.folds import FACTOR_SQL, FOLD_SQL, JOINS, SCOPE, entries
 from boxlake.plans.queries import STATS, query
 from boxlake.plans.widgets import with_home
+from boxlake.sources.shared import shared_dir
 from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, games, sides, table
 
 PHASES = ("RS", "PI", "PO", "FF")
@@ -121,3 +127,60 @@ def season_composites(spark, sf_dir):
     usg = F.expr("(fga + 0.44D * fta + tov) * (tmin / 5) / nullif(min * tq, 0)")
     found = models.season_composites(rows.withColumn("usg", usg), SCOPE)
     return found.select(*of, "player_id", "per", "bpm", "obpm", "dbpm", "ws", "ows", "dws", "ws48", "vorp")
+
+
+FETCH_SQL = """e as (select user_id % 10 source, ts, event_id, sha256(concat(event_type, ':', cast(floor(value) as bigint) % 5)) sha, event_type name from events),
+ f as (select source, sha, min(struct_pack(ts := ts, event_id := event_id)) x from e group by 1, 2), k as (select source, sha, x.event_id first_id, row_number() over (partition by source order by x.ts desc, x.event_id desc) - 1 age from f)"""
+
+
+def fetches(spark, sf_dir):
+    """Each event as a payload that a source (a group of users) sent."""
+    e = table(spark, sf_dir, "events")
+    body = F.concat(F.col("event_type"), F.lit(":"), (F.floor("value") % 5).cast("string"))
+    return e.select((F.col("user_id") % 10).alias("source"), "ts", "event_id", F.sha2(body, 256).alias("sha256"), F.col("event_type").alias("name"))
+
+
+@query(f"with {FETCH_SQL} select source, sha sha256, first_id, age from k where age < 3")
+def payload_snapshots(spark, sf_dir):
+    """The three newest snapshots of each source, stored in two rounds: payloads that a source has sent before add none."""
+    sent, at = fetches(spark, sf_dir), ["ts", "event_id"]
+    half = sent.where("event_id % 2 = 0")
+    stored = snapshots.new_snapshots(half, half.limit(0), at)
+    later = snapshots.new_snapshots(sent, stored, at)
+    # what the second round finds earlier than the first is the same content: the stored row stays, with the earlier fetch as its first
+    first = stored.unionByName(later).join(sent.groupBy("source", "sha256").agg(F.min_by("event_id", F.struct(*at)).alias("first_id"), F.min(F.struct(*at)).alias("first")), ["source", "sha256"])
+    kept = snapshots.last_kept(first.select("source", "sha256", "first_id", "first"), 3, ["first"])
+    return kept.select("source", "sha256", "first_id", F.col("age").cast("long").alias("age"))
+
+
+@query(f"with {FETCH_SQL} select e.source, e.name, count(*) as rows from e join k on k.source = e.source and k.sha = e.sha and age = 0 where e.name not in ('view', 'click') group by 1, 2")
+def review_queue(spark, sf_dir):
+    """Names that nobody knows in each source's newest snapshot."""
+    sent, at = fetches(spark, sf_dir), ["ts", "event_id"]
+    known = table(spark, sf_dir, "events").where("event_type in ('view', 'click')").select(F.col("event_type").alias("name"))
+    return snapshots.review_queue(sent, snapshots.new_snapshots(sent, sent.limit(0), at), known, at)
+
+
+LOAD_SQL = """l as (select season, game_id, player_id, pts - case when game_id % 7 = 0 then 1 else 0 end pts, fgm, case when player_id % 9 = 0 then fgm - 1 else fga end fga, fg3m, ftm, game_id % 13 = 0 off from box),
+ v as (select *, fgm > fga makes, pts <> 2 * fgm + fg3m + ftm points from l)"""
+
+
+@query(f"""with {BOX_SQL}, {LOAD_SQL} select season, count(*) filter (not makes and not points and not off) held, count(*) filter (makes) makes, count(*) filter (points) points, count(*) filter (off) weights, count(*) filter (makes or points or off) rejected from v group by 1""")
+def gated_loads(spark, sf_dir):
+    """A table after a clean batch, one that is stopped and one whose faulty rows are diverted: rows held and rejected by rule and season."""
+    lines = box_view(spark, sf_dir).selectExpr("season", "game_id", "player_id", "pts - if(game_id % 7 = 0, 1, 0) as pts", "fgm", "if(player_id % 9 = 0, fgm - 1, fga) as fga", "fg3m", "ftm", "map('G', 0.5D, 'F', if(game_id % 13 = 0, 0.6D, 0.5D)) as weights")
+    rules = {"makes": F.col("fgm") <= F.col("fga"), "points": F.col("pts") == F.expr("2 * fgm + fg3m + ftm"), "weights": valid_weights(F.col("weights"))}
+    root = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
+    schema = T.StructType([f for f in lines.schema if f.name != "weights"])
+    held = KeyedTable(spark, f"{root}/lines", schema, ("season", "game_id", "player_id"), ("season",))
+    rejects = KeyedTable(spark, f"{root}/rejects", T.StructType([*schema.fields, T.StructField("broken", T.StringType())]), held.keys, held.partition)
+    quality.gated_load(held, lines.where("game_id % 7 > 0 and game_id % 13 > 0 and player_id % 9 > 0 and game_id % 2 = 0"), rules)
+    try:
+        quality.gated_load(held, lines.where("game_id % 2 = 1"), rules)
+        raise AssertionError("the batch was to be stopped")
+    except quality.ConstraintError:
+        pass
+    quality.gated_load(held, lines, rules, rejects)
+    has = lambda name: F.count_if(F.array_contains(F.split("broken", ","), name)).alias(name)
+    counts = rejects.read().groupBy("season").agg(has("makes"), has("points"), has("weights"), F.count("*").alias("rejected"))
+    return held.read().groupBy("season").agg(F.count("*").alias("held")).join(counts, "season", "full").fillna(0)
