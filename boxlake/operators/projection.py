@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
 from functools import reduce
 from operator import mul
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -103,42 +100,53 @@ def combined(sds: dict[str, Column]) -> Column:
     return F.sqrt(variance)
 
 
-def count_interval(mean: float, alpha: float, level: float) -> tuple[int, int]:
-    """The integers around the rounded mean that hold ``level`` of a negative binomial (Poisson at alpha 0), grown on the likelier side, the lower if equal."""
-    if not mean > 0:
-        return 0, 0
-    at = round(mean)
-    if alpha > 1e-12:
-        size = 1 / alpha
-        odds = mean / (size + mean)
-        chance = math.exp(math.lgamma(at + size) - math.lgamma(size) - math.lgamma(at + 1) - size * math.log1p(mean / size) + at * math.log(odds))
-        up = lambda k: odds * (k + size) / (k + 1)
-    else:
-        chance = math.exp(at * math.log(mean) - mean - math.lgamma(at + 1))
-        up = lambda k: mean / (k + 1)
-    low = high = at
-    held = chance
-    below, above = chance / up(at - 1) if at > 0 else -1.0, chance * up(at)
-    while held < level and (low > 0 or above > 1e-300):
-        if below >= above:
-            low, held = low - 1, held + below
-            below = below / up(low - 1) if low > 0 else -1.0
-        else:
-            high, held = high + 1, held + above
-            above *= up(high)
-    return low, high
+def count_interval(mean: Column, alpha: Column, level: float = 0.8) -> Column:
+    """struct(low, high): the integers around the rounded mean that hold ``level`` of a negative binomial (Poisson at alpha 0), grown on the likelier side, the lower if equal.
 
+    Each chance follows from the one beside it. The growth takes no more steps than six standard deviations and ten; it
+    stops where it holds enough. A mean that is not over 0 gives (0, 0), a null mean null.
+    """
+    alpha = F.greatest(F.coalesce(alpha, F.lit(0.0)), F.lit(0.0))
+    poisson = alpha <= 1e-12
+    size = F.when(poisson, F.lit(1.0)).otherwise(1 / alpha)
+    odds = mean / (size + mean)
+    up = lambda k: F.when(poisson, mean / (k + 1)).otherwise(odds * (k + size) / (k + 1))
+    at = F.bround(mean).cast("int")
+    start = F.when(poisson, F.exp(-mean)).otherwise(F.pow(1 + alpha * mean, -size))
+    chance = F.when(at > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(at - 1, F.lit(0))), start, lambda c, k: c * up(k))).otherwise(start)
+    state = lambda low, high, held, below, above: F.struct(low.alias("low"), high.alias("high"), held.alias("held"), below.alias("below"), above.alias("above"))
+    none = F.lit(-1.0)
+
+    def grow(s: Column, _: Column) -> Column:
+        down = state(s["low"] - 1, s["high"], s["held"] + s["below"], F.when(s["low"] > 1, s["below"] / up(s["low"] - 2)).otherwise(none), s["above"])
+        rise = state(s["low"], s["high"] + 1, s["held"] + s["above"], s["below"], s["above"] * up(s["high"] + 1))
+        full = (s["held"] >= level) | ((s["low"] <= 0) & (s["above"] <= 1e-300))
+        return F.when(full, s).when(s["below"] >= s["above"], down).otherwise(rise)
+
+    first = F.struct(at.alias("at"), chance.alias("c"))
+    steps = F.ceil(6 * F.sqrt(mean + alpha * mean * mean)).cast("int") + 10
+    walked = F.transform(F.array(first), lambda x: F.aggregate(F.sequence(F.lit(1), steps), state(x["at"], x["at"], x["c"], F.when(x["at"] > 0, x["c"] / up(x["at"] - 1)).otherwise(none), x["c"] * up(x["at"])), grow))[0]
+    found = F.struct(walked["low"].alias("low"), walked["high"].alias("high"))
+    return F.when(mean > 0, found).when(mean.isNotNull(), F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
 
-def with_intervals(df: DataFrame, mean: str, alpha: str, level: float = 0.8) -> DataFrame:
-    """df with ``low`` and ``high``; the growth is sequential for each row, so it runs in Arrow batches. Null means give nulls."""
-
-    @F.pandas_udf("low int, high int")
-    def interval(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for m, a in batches:
-            found = [(None, None) if pd.isna(x) else count_interval(x, 0.0 if pd.isna(y) else max(y, 0.0), level) for x, y in zip(m, a)]
-            yield pd.DataFrame(found, columns=["low", "high"]).astype("Int32")
 
-    return df.withColumn("__i", interval(F.col(mean).cast("double"), F.col(alpha).cast("double"))).withColumn("low", F.col("__i.low")).withColumn("high", F.col("__i.high")).drop("__i")
+def with_intervals(df: DataFrame, mean: str, alpha: str, level: float = 0.8) -> DataFrame:
+    """df with ``low`` and ``high``; null means give nulls."""
+    interval = count_interval(F.col("__m"), F.col("__a"), level)
+    ready = df.withColumns({"__m": F.col(mean).cast("double"), "__a": F.col(alpha).cast("double")}).withColumn("__i", interval)
+    return ready.withColumn("low", F.col("__i.low")).withColumn("high", F.col("__i.high")).drop("__i", "__m", "__a")
+
+
+def interval_sql(base: str, keys: str, level: float = 0.8) -> str:
+    """The same as common table expressions over a relation with ``mean`` and ``alpha``, ending in ``intervals`` (keys, mean, low, high)."""
+    up = lambda k: f"case when poi then mean / ({k} + 1) else mean / (sz + mean) * ({k} + sz) / ({k} + 1) end"
+    return f"""i0 as (select row_number() over () rid, {keys}, mean, greatest(coalesce(alpha, 0), 0) al from {base}),
+ i1 as (select *, al <= 1e-12 poi, case when al <= 1e-12 then 1.0 else 1.0 / al end sz, cast(round_even(mean, 0) as bigint) at_ from i0 where mean > 0),
+ i2 as (select *, case when poi then exp(at_ * ln(mean) - mean - lgamma(at_ + 1)) else exp(lgamma(at_ + sz) - lgamma(sz) - lgamma(at_ + 1) - sz * ln(1 + mean / sz) + at_ * ln(mean / (sz + mean))) end chance from i1),
+ walk as (select rid, mean, sz, poi, at_ low, at_ high, cast(chance as double) held, cast(case when at_ > 0 then chance / ({up("(at_ - 1)")}) else -1 end as double) below, cast(chance * ({up("at_")}) as double) above from i2
+  union all select rid, mean, sz, poi, case when below >= above then low - 1 else low end, case when below >= above then high else high + 1 end, held + case when below >= above then below else above end,
+   case when below < above then below when low > 1 then below / ({up("(low - 2)")}) else -1.0 end, case when below >= above then above else above * ({up("(high + 1)")}) end from walk where held < {level} and (low > 0 or above > 1e-300)),
+ intervals as (select {keys}, mean, case when mean is not null then coalesce(w.low, 0) end low, case when mean is not null then coalesce(w.high, 0) end high, al from i0 left join (select rid, min(low) low, max(high) high from walk group by 1) w using (rid))"""
 
 
 DISPERSION_MIN_MINUTES, DISPERSION_PRIOR_GAMES, CONTEXT_MIN_ROWS = 5.0, 60.0, 25  # fixed values of the fits

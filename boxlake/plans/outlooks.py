@@ -140,13 +140,6 @@ def stat_projections(spark, sf_dir):
     return next_lines(spark, sf_dir).select("player_id", "minutes_mean", "context", each).select("player_id", "x.stat", "minutes_mean", "context", "x.mean", "x.sd", "x.alpha", "x.delta")
 
 
-@query()
-def stat_intervals(spark, sf_dir):
-    """The 80 % count intervals of those projections, and of points, rebounds and assists together; their growth is sequential and has no SQL form."""
-    both = stat_projections(spark, sf_dir).select("player_id", "stat", "mean", "alpha").unionByName(combined_lines(spark, sf_dir).select("player_id", F.lit("pts+reb+ast").alias("stat"), "mean", "alpha"))
-    return projection.with_intervals(both, "mean", "alpha")
-
-
 def combined_lines(spark, sf_dir):
     trio = {s: F.col(f"sd_{s}") for s in ("pts", "reb", "ast")}
     sd, alone = projection.combined(trio), F.sqrt(sum(x * x for x in trio.values()))
@@ -155,13 +148,23 @@ def combined_lines(spark, sf_dir):
     return out.withColumn("inflation", F.coalesce(sdiv(F.col("sd"), F.col("sd_alone")) - 1, F.lit(0.0))).withColumn("alpha", alpha)
 
 
-@query(NEXT_SQL + """, q as (select player_id, mean_pts + mean_reb + mean_ast mean, sqrt(sd_pts * sd_pts + sd_reb * sd_reb + sd_ast * sd_ast + 2 * 0.30 * sd_pts * sd_reb + 2 * 0.17 * sd_pts * sd_ast + 2 * 0.20 * sd_reb * sd_ast) sd, sqrt(sd_pts * sd_pts + sd_reb * sd_reb + sd_ast * sd_ast) sd_alone from z)
+COMBINED_SQL = """, q as (select player_id, mean_pts + mean_reb + mean_ast mean, sqrt(sd_pts * sd_pts + sd_reb * sd_reb + sd_ast * sd_ast + 2 * 0.30 * sd_pts * sd_reb + 2 * 0.17 * sd_pts * sd_ast + 2 * 0.20 * sd_reb * sd_ast) sd, sqrt(sd_pts * sd_pts + sd_reb * sd_reb + sd_ast * sd_ast) sd_alone from z)"""
+
+
+@query(NEXT_SQL + COMBINED_SQL + """
   select *, coalesce(sd / nullif(sd_alone, 0) - 1, 0) inflation, coalesce(greatest(sd * sd - mean, 0) / nullif(mean * mean, 0), 0) alpha from q""")
 def combined_projections(spark, sf_dir):
     """Points, rebounds and assists together, with correlated spread, and what independence would have given."""
     return combined_lines(spark, sf_dir)
 
 
+@query(NEXT_SQL.replace("with ", "with recursive ", 1) + COMBINED_SQL + ", ib as (" + " union all ".join(f"select player_id, '{s}' stat, mean_{s} mean, effective_{s} alpha from z" for s in STATS) + " union all select player_id, 'pts+reb+ast', mean, coalesce(greatest(sd * sd - mean, 0) / nullif(mean * mean, 0), 0) from q), " + projection.interval_sql("ib", "player_id, stat") + " select player_id, stat, mean, al alpha, low, high from intervals")
+def stat_intervals(spark, sf_dir):
+    """The 80 % count intervals of those projections, and of points, rebounds and assists together."""
+    both = stat_projections(spark, sf_dir).select("player_id", "stat", "mean", "alpha").unionByName(combined_lines(spark, sf_dir).select("player_id", F.lit("pts+reb+ast").alias("stat"), "mean", "alpha"))
+    return projection.with_intervals(both, "mean", "alpha")
+
+
 SCENARIO_SQL = ", ".join(f"({i}, '{n}', '{side}', {m}, {'1.0' if g is None else f'{g} / 82.0'})" for i, (n, side, m, g) in enumerate(valuation.SCENARIOS))
 
 

@@ -49,9 +49,10 @@ def test_catalogue(spark):
     assert stored.select(catalog.resolve("fg_pct", stored.columns)).first()[0] == 0.4
 
 
-@pytest.mark.parametrize("mean, alpha", [(0.0, 0.1), (0.4, 0.0), (3.5, 0.0), (12.2, 0.08), (30.0, 0.4), (2.5, 1.0)])
-def test_count_interval(mean, alpha):
-    low, high = projection.count_interval(mean, alpha, 0.8)
+@pytest.mark.parametrize("mean, alpha", [(0.0, 0.1), (0.4, 0.0), (3.5, 0.0), (12.2, 0.08), (30.0, 0.4), (2.5, 1.0), (180.0, 0.01)])
+def test_count_interval(spark, mean, alpha):
+    got = projection.with_intervals(spark.createDataFrame([(mean, alpha)], "m double, a double"), "m", "a").first()
+    low, high = got["low"], got["high"]
     if mean == 0:
         assert (low, high) == (0, 0)
         return
