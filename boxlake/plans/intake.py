@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxlake.functions.parsing import valid_weights
-from boxlake.operators import models, precedence, quality, ratings, snapshots, squads
+from boxlake.operators import identity, models, precedence, quality, ratings, snapshots, squads
 from boxlake.operators.payloads import Field, checked_items
 from boxlake.operators.store import KeyedTable
 from boxlake.plans.folds import FACTOR_SQL, FOLD_SQL, JOINS, SCOPE, entries
@@ -184,3 +184,43 @@ def gated_loads(spark, sf_dir):
     has = lambda name: F.count_if(F.array_contains(F.split("broken", ","), name)).alias(name)
     counts = rejects.read().groupBy("season").agg(has("makes"), has("points"), has("weights"), F.count("*").alias("rejected"))
     return held.read().groupBy("season").agg(F.count("*").alias("held")).join(counts, "season", "full").fillna(0)
+
+
+# People: suppliers are provisional (negative ids), customers official. Strong evidence pairs a supplier with a customer, weaker evidence
+# suppliers with each other and, for some, with a second customer.
+PEOPLE_SQL = """s as (select s_suppkey k from supplier), ev as (select -k - 1 a, k * 3 + 1 b, 0 tier from s where k % 5 <> 0 union all select -k - 1, -k - 2, 1 from s where k % 3 = 0 union all select -k - 1, k * 7 + 2, 1 from s where k % 11 = 0),
+ official as (select c_custkey id from customer)"""
+
+
+def walked_sql(tier: int, before: str) -> str:
+    """Groups of a tier over the labels of ``before``."""
+    t = f"t{tier}"
+    return f"""{t}p as (select distinct x.label a, y.label b from ev join {before} x on x.id = ev.a join {before} y on y.id = ev.b where tier = {tier} and x.label <> y.label), {t}e as (select a, b from {t}p union select b, a from {t}p),
+ {t}r as (select a id, a other from {t}e union select r.id, e.b from {t}r r join {t}e e on e.a = r.other), {t}j as (select id label, least(id, min(other)) joint from {t}r group by id),
+ {t}g as (select h.id, h.label, coalesce(j.joint, h.label) joint, j.joint is not null touched from {before} h left join {t}j j using (label)),
+ {t}bad as (select joint, count(*) officials from {t}g where id in (select id from official) group by 1 having count(*) > 1 and bool_or(touched)),
+ {t}h as (select g.id, case when b.joint is not null then g.label else g.joint end label from {t}g g left join {t}bad b using (joint))"""
+
+
+IDENTITY_SQL = f"with recursive {PEOPLE_SQL}, h as (select id, id label from (select a id from ev union select b from ev)), {walked_sql(0, 'h')}, {walked_sql(1, 't0h')}, named as (select t1h.id, coalesce(o.official, t1h.label) identity from t1h left join (select label, min(id) official from t1h where id in (select id from official) group by 1) o using (label))"
+
+
+def people(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    strong = s.where("k % 5 != 0").selectExpr("-k - 1 as a", "k * 3 + 1 as b", "0 as tier")
+    weak = s.where("k % 3 = 0").selectExpr("-k - 1 as a", "-k - 2 as b", "1 as tier").unionByName(s.where("k % 11 = 0").selectExpr("-k - 1 as a", "k * 7 + 2 as b", "1 as tier"))
+    return identity.reconciled(strong.unionByName(weak), table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id")), 2)
+
+
+@query(IDENTITY_SQL + """ select coalesce(n.identity, -l_suppkey - 1) person, count(*) lines, cast(sum(l_quantity) as bigint) quantity from lineitem left join (select * from named where id <> identity) n on n.id = -l_suppkey - 1 group by 1""")
+def rekeyed_lines(spark, sf_dir):
+    """Lines by person once provisional ids have become the ones they were matched to: no line is lost."""
+    mapping, _ = people(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select((-F.col("l_suppkey").cast("long") - 1).alias("person"), "l_quantity")
+    return identity.rekeyed(lines, mapping, ["person"]).groupBy("person").agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
+@query(IDENTITY_SQL + " select joint identity, 0 tier, officials from t0bad union all select joint, 1, officials from t1bad")
+def identity_conflicts(spark, sf_dir):
+    """Groups that would have two official ids, by the tier of evidence that would have joined them; they are left open."""
+    return people(spark, sf_dir)[1]
