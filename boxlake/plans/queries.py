@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from boxlake.functions import boxscore as b
 from boxlake.functions.nullsafe import sdiv
 from boxlake.operators import joins, models, windows
+from boxlake.operators.store import staged
 from boxlake.sources import tables
 from boxlake.sources.tables import BOX_SQL, SIDES_SQL, STATS, box_view, sides, table
 
@@ -162,9 +163,10 @@ def team_seasons(spark, sf_dir):
 def league_distribution(spark, sf_dir):
     per = player_seasons(spark, sf_dir).select("season", "season_type", "player_id", *(sdiv(F.col(s), F.col("gp")).alias(n) for s, n in (("pts", "ppg"), ("ast", "apg"), ("min", "mpg"))))
     long = per.unpivot(["season", "season_type", "player_id"], ["ppg", "apg", "mpg"], "metric", "v")
-    return long.groupBy("season", "season_type", "metric").agg(
-        F.count("v").alias("n"), r(F.avg("v"), "mean"), r(F.stddev_pop("v"), "sd"), r(F.percentile("v", 0.1), "p10"), r(F.percentile("v", 0.5), "p50"), r(F.percentile("v", 0.9), "p90"), r(F.min("v"), "low"), r(F.max("v"), "high")
-    ).where("n >= 2")
+    long, by = staged(long.where("v is not null")), ["season", "season_type", "metric"]
+    whole = long.groupBy(*by).agg(F.count("v").alias("n"), r(F.avg("v"), "mean"), r(F.stddev_pop("v"), "sd"), r(F.min("v"), "low"), r(F.max("v"), "high")).where("n >= 2")
+    places = windows.value_places(long, "v", by)
+    return whole.join(windows.quantiles(places, "v", by, {"p10": 0.1, "p50": 0.5, "p90": 0.9}), by)
 
 
 LEADERS_SQL = f"""with {SEASON_SQL}, e as (select season, season_type, player_id, gp, round(cast(pts as double) / gp, 9) v, max(gp) over (partition by season, season_type) top from ps),
@@ -178,9 +180,13 @@ LEADERS_SQL = f"""with {SEASON_SQL}, e as (select season, season_type, player_id
 def leaderboard(spark, sf_dir):
     scope = ["season", "season_type"]
     per = player_seasons(spark, sf_dir).select(*scope, "player_id", "gp", F.round(sdiv(F.col("pts"), F.col("gp")), 9).alias("v"))
-    top = F.max("gp").over(Window.partitionBy(*scope))
-    able = per.withColumn("top", top).where(F.col("gp") >= F.greatest(F.lit(1), F.floor(0.2 * F.col("top"))))
-    return able.select(*scope, "player_id", "v", windows.dense_rank_by("v", scope).cast("long").alias("rank"), rounded(windows.midrank_percentile("v", scope), "percentile"), rounded(F.col("v") - F.avg("v").over(Window.partitionBy(*scope)), "vs_league", 9))
+    per = staged(per)
+    tops = per.groupBy(*scope).agg(F.max("gp").alias("top"))
+    able = per.join(tops, scope).where(F.col("gp") >= F.greatest(F.lit(1), F.floor(0.2 * F.col("top"))))
+    means = able.groupBy(*scope).agg(F.avg("v").alias("mean"))
+    ranked = able.join(windows.value_places(able, "v", scope), [*scope, "v"]).join(means, scope)
+    percentile = (F.col("worse") + 0.5 * F.col("equal")) / F.col("n")
+    return ranked.select(*scope, "player_id", "v", F.col("dense").alias("rank"), rounded(percentile, "percentile"), rounded(F.col("v") - F.col("mean"), "vs_league", 9))
 
 
 @query(f"select * from ({LEADERS_SQL}) where \"rank\" <= 10", rounds=True)
