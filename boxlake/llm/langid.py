@@ -53,7 +53,7 @@ class Chain:
     def score(self, words: list[str]) -> np.ndarray:
         """exp of the scores of each word, its largest 1."""
         get = self.rows.get
-        ids = [[i for f in features_of(w) if (i := get(f)) is not None] for w in words]
+        ids = [[i for i in map(get, features_of(w)) if i is not None] for w in words]
         scores = np.zeros((len(words), len(self.languages)))
         sizes = np.array(list(map(len, ids)))
         full = np.flatnonzero(sizes)
