@@ -70,9 +70,10 @@ def normalised_minutes(df: DataFrame, squad: list[str], key: str, minutes: str,
     With minutes in falling order, the players at the cap are the first ones; player i is over if the factor that is right with the i before held takes
     them past the cap. The first who is not over sets the factor of all the rest.
     """
-    by = Window.partitionBy(*squad).orderBy(F.desc(minutes), key)
+    by, back = Window.partitionBy(*squad).orderBy(F.desc(minutes), key), Window.partitionBy(*squad).orderBy(F.asc(minutes), F.desc(key))
     m = F.col(minutes).cast("double")
-    out = df.withColumn("__i", F.row_number().over(by) - 1).withColumn("__mass", F.sum(m).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    # the rest's minutes as a running sum from the last: a frame that ends with the squad is summed anew for every row
+    out = df.withColumn("__i", F.row_number().over(by) - 1).withColumn("__mass", F.sum(m).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     left = total - cap * F.col("__i")
     out = out.withColumn("__f", F.when((left > 0) & (F.col("__mass") > 0), left / F.col("__mass")))
     out = out.withColumn("__over", F.coalesce(m * F.col("__f") > cap + 1e-12, F.lit(False)))
