@@ -159,19 +159,56 @@ def scorers(squad: DataFrame, form: DataFrame, per_club: int) -> DataFrame:
 
     ``squad``: game_id, team_id, player_id, points, chance, factor; ``form``: game_id, player_id, form (null or no row: the model alone).
     """
-    model = F.col("points") * F.col("factor")
-    mixed = F.when(F.col("chance") == 0, 0.0).when(F.col("form").isNull(), model).otherwise((1 - FORM_WEIGHT) * model + FORM_WEIGHT * F.col("form") * F.col("chance"))
-    rows = squad.join(form, ["game_id", "player_id"], "left").withColumn("model_points", model).withColumn("projected_points", mixed)
+    return best_scorers(squad.join(form, ["game_id", "player_id"], "left"), per_club)
+
+
+def mixed_points(model: Column) -> Column:
+    """Projected points of rows of chance and form from the model's points."""
+    return F.when(F.col("chance") == 0, 0.0).when(F.col("form").isNull(), model).otherwise((1 - FORM_WEIGHT) * model + FORM_WEIGHT * F.col("form") * F.col("chance"))
+
+
+def best_scorers(squad: DataFrame, per_club: int) -> DataFrame:
+    """``scorers`` of rows that have their form."""
+    rows = squad.withColumn("model_points", F.col("points") * F.col("factor")).withColumn("projected_points", mixed_points(F.col("model_points")))
     best = Window.partitionBy("game_id", "team_id").orderBy(F.desc("projected_points"), "player_id")  # a squad
     return rows.withColumn("place", F.row_number().over(best).cast("long")).where(F.col("place") <= per_club).select("game_id", "team_id", "player_id", "chance", "model_points", "form", "projected_points", "place")
 
 
+def slate_scorers(slate: DataFrame, players: DataFrame, per_club: int) -> DataFrame:
+    """``scorers`` of whole squads in many games: only players who can be among the best at some factor of their club meet its games.
+
+    ``slate``: game_id, season, team_id, factor; ``players``: season, team_id, player_id, points, chance, form (null: the model alone). A player's
+    points lie between those at the lowest and at the highest factor of the club; who cannot reach the ``per_club``-th of the lower bounds is beaten in every game.
+    """
+    at = ["season", "team_id"]
+    ends = slate.groupBy(*at).agg(F.min("factor").alias("__low"), F.max("factor").alias("__high"))
+    able = players.join(F.broadcast(ends), at)  # clubs x seasons rows
+    bounds = [mixed_points(F.col("points") * F.col(c)) for c in ("__low", "__high")]
+    able = able.withColumns({"__least": F.least(*bounds), "__most": F.greatest(*bounds)})
+    best = able.withColumn("__i", F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("__least"), "player_id"))).where(F.col("__i") <= per_club)
+    bars = best.groupBy(*at).agg(F.min(F.when(F.col("__i") == per_club, F.col("__least"))).alias("__bar"))
+    near = able.join(F.broadcast(bars), at).where(F.coalesce(F.col("__most") >= F.col("__bar"), F.lit(True)))
+    return best_scorers(slate.join(near.drop("__low", "__high", "__least", "__most", "__bar"), at), per_club)
+
+
 def form_points(lines: DataFrame, starts: DataFrame, games: int = FORM_GAMES) -> DataFrame:
     """game_id, player_id, form: mean points of a player's last ``games`` lines with time and points on days before the game's.
 
     ``starts`` has (game_id, player_id, start), one row of each; lines have player_id, game_id, game_date, seconds and pts.
     """
-    usable = lines.where("seconds > 0 and pts is not null").select("player_id", F.col("game_id").alias("__line"), "game_date", "pts")
-    near = starts.join(usable, "player_id").where("game_date < start")
-    last = Window.partitionBy("game_id", "player_id").orderBy(F.desc("game_date"), F.desc("__line"))
-    return near.withColumn("__i", F.row_number().over(last)).where(F.col("__i") <= games).groupBy("game_id", "player_id").agg(sdiv(F.sum("pts"), F.count("*")).alias("form"))
+    asked = starts.select("player_id", "start").distinct()
+    return starts.join(form_before(lines, asked, games), ["player_id", "start"]).select("game_id", "player_id", "form")
+
+
+def form_before(lines: DataFrame, starts: DataFrame, games: int = FORM_GAMES) -> DataFrame:
+    """player_id, start, form of every distinct (player_id, start) that has a line before it; see ``form_points``.
+
+    A line carries the mean of the lines up to it; starts and lines are one timeline a player, on which a start takes the last line's, so that no start meets all lines.
+    """
+    usable = lines.where("seconds > 0 and pts is not null and player_id is not null and game_date is not null")
+    recent = Window.partitionBy("player_id").orderBy("game_date", "game_id").rowsBetween(1 - games, 0)
+    scored = usable.select("player_id", F.col("game_date").alias("__at"), F.lit(1).alias("__kind"), F.col("game_id").alias("__line"), sdiv(F.sum("pts").over(recent), F.count("*").over(recent)).alias("form"))
+    asked = starts.where("player_id is not null and start is not null").select("player_id", F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("__line"), F.lit(None).cast("double").alias("form"))
+    before = Window.partitionBy("player_id").orderBy("__at", "__kind", "__line").rowsBetween(Window.unboundedPreceding, 0)
+    told = scored.unionByName(asked).withColumn("form", F.last("form", ignorenulls=True).over(before))
+    return told.where("__kind = 0 and form is not null").select("player_id", F.col("__at").alias("start"), "form")

@@ -9,6 +9,7 @@ from boxlake.functions import boxscore as b
 from boxlake.functions.nullsafe import sdiv
 from boxlake.operators import league, paging, projection, ratings, squads, valuation
 from boxlake.operators.projection import STATS
+from boxlake.operators.store import staged
 from boxlake.plans.queries import CATS, query, r, rounded
 from boxlake.plans.squads import CHANCE_SQL, STATUS, VALUED_SQL, player_seasons
 from boxlake.plans.widgets import with_home
@@ -299,9 +300,13 @@ def club_scorers(spark, sf_dir):
     defence = ratings.rating(F.col("opp_pa"), F.col("level"), F.lit(0.0)) / F.col("level")
     factor = league.context_factor(defence, F.when(F.col("is_home"), 1).otherwise(-1), HOME, ratings.rating(F.col("pf"), F.col("level"), F.lit(0.0)))
     chance = squads.model_chance(F.expr(STATUS))
-    squad = placed.withColumn("factor", factor).join(states_of_clubs(spark, sf_dir).select("season", "team_id", "player_id", (F.col("minutes") * F.col("pts") / 40).alias("full")), ["season", "team_id"]).withColumn("chance", chance).withColumn("points", F.col("full") * F.col("chance"))
-    starts = squad.select("game_id", "player_id", F.col("game_date").alias("start")).distinct()
-    return league.scorers(squad, league.form_points(club_lines(box), starts), 5)
+    slate = staged(placed.select("game_id", "season", "team_id", "game_date", factor.alias("factor")))
+    clubs = slate.select("season", "team_id", F.col("game_date").alias("start")).distinct()  # a season's last day
+    states = states_of_clubs(spark, sf_dir).select("season", "team_id", "player_id", (F.col("minutes") * F.col("pts") / 40).alias("full"))
+    players = staged(states.join(F.broadcast(clubs), ["season", "team_id"]).withColumn("chance", chance).withColumn("points", F.col("full") * F.col("chance")))
+    form = league.form_before(club_lines(box), players.select("player_id", "start").distinct())
+    players = staged(players.join(form, ["player_id", "start"], "left"))
+    return league.slate_scorers(slate.drop("game_date"), players, 5)
 
 
 FACTORS = ("pace", "opponent", "venue", "rest")
