@@ -56,7 +56,7 @@ def draft_board(valued: DataFrame, cats: list[str], drafted: DataFrame, mine: Da
 # What may go otherwise in a trade. Name, the side it strikes, minutes kept, games of FULL_SEASON played (none: all).
 SCENARIOS = (("base", "all", 1.0, None), ("get_injured", "get", 1.0, 60.0), ("get_role_loss", "get", 0.85, None), ("give_injured", "give", 1.0, 60.0), ("give_breakout", "give", 1.15, None))
 FULL_SEASON = 82.0
-MOST_PLAYERS = 100_000  # of a league, whose lines every task holds
+MOST_PLAYERS = 2_000_000  # of a league, whose lines every task holds: 48 bytes each
 
 
 def trade_sensitivity(trades: DataFrame, lines: DataFrame, cats: list[str], key: str, pool: int, cut: int, depth: int) -> DataFrame:
@@ -65,23 +65,33 @@ def trade_sensitivity(trades: DataFrame, lines: DataFrame, cats: list[str], key:
     ``trades`` has trade_id, give and get (arrays of keys); ``lines`` a row a player, of which ``pool`` (the best by the first category) set the
     moments and the ``depth`` ranked after the first ``cut`` the replacement. Fewer minutes change the lines, so the whole league is valued anew around
     them; missed games weigh what is received. Keys without a line, and null ones, count nothing; of equal nets the first scenario is named.
+    Trades of the same keys are valued once.
     The league's lines go to every task, so more than MOST_PLAYERS are an error.
     """
-    held = lines.select(key, *(F.col(c).cast("double").alias(c) for c in cats)).where(F.col(key).isNotNull()).orderBy(key).limit(MOST_PLAYERS + 1).collect()
+    held = lines.select(F.col(key).cast("long").alias(key), *(F.col(c).cast("double").alias(c) for c in cats)).where(F.col(key).isNotNull()).orderBy(key).limit(MOST_PLAYERS + 1).toArrow()
     if len(held) > MOST_PLAYERS:
         raise ValueError(f"a league of over {MOST_PLAYERS} players")
-    keys = np.array([row[key] for row in held], np.int64)
-    table = np.array([[row[c] for c in cats] for row in held], np.float64).reshape(len(held), len(cats))
-    place = {int(k): i for i, k in enumerate(keys)}
+    keys = held[key].to_numpy()
+    table = np.column_stack([held[c].to_numpy() for c in cats]).astype(np.float64)
+
+    def places(ids: np.ndarray) -> list[int]:
+        ids = np.asarray(ids, np.int64)
+        at = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
+        return [int(i) for i in at[keys[at] == ids]]
+
+    def first(order: np.ndarray, n: int) -> np.ndarray:
+        """The places of the n smallest, by key where equal; only those up to the n-th value are sorted."""
+        near = np.flatnonzero(~(order > np.partition(order, n - 1)[n - 1])) if 0 < n < len(order) else np.arange(len(order))
+        return near[np.lexsort((keys[near], order[near]))][:n]
 
     def totals(own: np.ndarray) -> np.ndarray:
-        seeds = np.lexsort((keys, -np.round(own[:, 0], 6)))[:pool]
+        seeds = first(-np.round(own[:, 0], 6), pool)
         mean, sd = own[seeds].mean(axis=0), own[seeds].std(axis=0)
         z = np.divide(own - mean, sd, out=np.zeros_like(own), where=sd > 0)
         return np.round(z.sum(axis=1), 6)
 
     def replacement(total: np.ndarray) -> float:
-        rest = np.lexsort((keys, -total))[cut : cut + depth]
+        rest = first(-total, cut + depth)[cut:]
         return float(total[rest].mean()) if len(rest) else 0.0
 
     def nets(give: list[int], get: list[int], usual: np.ndarray | None) -> list[float]:
@@ -100,14 +110,17 @@ def trade_sensitivity(trades: DataFrame, lines: DataFrame, cats: list[str], key:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         usual = totals(table) if len(table) else None
-        known = lambda ids: [place[int(i)] for i in (ids if ids is not None else ()) if not pd.isna(i) and int(i) in place]
         for batch in batches:
             out = []
-            for trade, give, get in zip(batch["trade_id"], batch["give"], batch["get"]):
-                net = nets(known(give), known(get), usual) if usual is not None else [0.0] * len(SCENARIOS)
+            for give, get in zip(batch["give"], batch["get"]):
+                net = nets(places(give), places(get), usual) if usual is not None else [0.0] * len(SCENARIOS)
                 near = [round(x, 9) for x in net]
                 low, high = near.index(min(near)), near.index(max(near))
-                out.append((trade, net[0], net[low], net[high], SCENARIOS[low][0], SCENARIOS[high][0], near[low] < 0 < near[high]))
-            yield pd.DataFrame(out, columns=["trade_id", "base", "low", "high", "low_scenario", "high_scenario", "flips"])
-
-    return trades.select(F.col("trade_id").cast("long").alias("trade_id"), "give", "get").mapInPandas(run, "trade_id long, base double, low double, high double, low_scenario string, high_scenario string, flips boolean")
+                out.append((give, get, net[0], net[low], net[high], SCENARIOS[low][0], SCENARIOS[high][0], near[low] < 0 < near[high]))
+            yield pd.DataFrame(out, columns=["give", "get", "base", "low", "high", "low_scenario", "high_scenario", "flips"])
+
+    sides = "give array<long>, get array<long>"
+    asked = trades.select(F.col("trade_id").cast("long").alias("trade_id"), *(F.array_compact(F.coalesce(F.col(c).cast("array<long>"), F.array().cast("array<long>"))).alias(c) for c in ("give", "get")))
+    tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, so that few distinct trades are not put into one task
+    found = asked.select("give", "get").distinct().repartition(tasks, "give", "get").mapInPandas(run, f"{sides}, base double, low double, high double, low_scenario string, high_scenario string, flips boolean")
+    return asked.join(found, ["give", "get"]).drop("give", "get")

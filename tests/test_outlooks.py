@@ -170,3 +170,49 @@ def test_squads_and_spreads(spark):
     rows = [(1, False, 3.0, 1.0)] * 3 + [(2, True, 1.0, 1.0)] * 2 + [(3, True, 2.0, 0.0)] * 3 + [(2, None, None, 1.0)]
     got = {r.season: (r.source, r.games, r.team_sd, r.margin_sd) for r in ratings.fitted_spreads(spark.createDataFrame(rows, "season long, locked boolean, home double, away double"), 3).collect()}
     assert got[1] == (None, 0, None, None) and got[2] == ("fittedPrevSeason", 3, pytest.approx(math.sqrt(5)), 2.0) and got[3] == ("fittedLedger", 3, pytest.approx(math.sqrt(2)), 2.0)
+
+
+def test_trades_of_the_same_keys_are_valued_once(spark, monkeypatch):
+    """Distinct trades alone reach Python; ids beyond 2^53 beside nulls stay whole."""
+    far = 2**60 + 1
+    lines = spark.createDataFrame([(far + i, float(i % 7), float(i % 11)) for i in range(60)], "p long, pts double, ast double")
+    trades = spark.createDataFrame([(i, [far + 2, None], [far + 3]) if i % 2 else (i, [far + 3], [far + 9]) for i in range(400)], "trade_id long, give array<long>, get array<long>")
+    out = valuation.trade_sensitivity(trades, lines, ["pts", "ast"], "p", 10, 2, 2)
+    rows = out.collect()
+    assert sorted(r.trade_id for r in rows) == list(range(400)) and len({(r.base, r.low, r.high) for r in rows}) == 2 and all(r.base for r in rows)
+    assert "MapInPandas" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" in plan[plan.index("MapInPandas") :]
+
+
+def test_minutes_of_a_large_squad(spark):
+    """Time and results of a squad of 60,000: a frame that ends with the squad takes its square."""
+    squad = spark.range(60_000, numPartitions=3).select(F.lit(1).alias("t"), F.col("id").alias("k"), (F.col("id") * 7919 % 60_000 / 1e6).alias("m")).unionByName(spark.createDataFrame([(1, -1, 9e6), (1, -2, 9e5)], "t int, k long, m double"))
+    out = squads.normalised_minutes(squad, ["t"], "k", "m")
+    assert "currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()
+    total, top = out.agg(F.sum("normalised"), F.sum(F.when(F.col("k") < 0, F.col("normalised")))).first()
+    assert total == pytest.approx(200.0) and top == 80.0
+
+
+def test_slate_scorers_equal_all_players_in_all_games(spark):
+    rng = random.Random(8)
+    slate = [(g, 2000 + g % 2, t, rng.uniform(0.8, 1.2)) for g in range(12) for t in (g % 3, 3 + g % 3)]
+    players = [(s, t, p, None if p % 13 == 0 else float(rng.randrange(-3, 30)), rng.choice([0.0, 0.5, 1.0]), rng.choice([None, float(rng.randrange(30))])) for s in (2000, 2001) for t in range(6) for p in range(3 if t == 4 else 60)]
+    games = spark.createDataFrame(slate, "game_id long, season long, team_id long, factor double")
+    squad = spark.createDataFrame(players, "season long, team_id long, player_id long, points double, chance double, form double")
+    whole = league.best_scorers(games.join(squad, ["season", "team_id"]), 5)
+    got, want = (sorted(df.collect(), key=lambda r: (r.game_id, r.team_id, r.place)) for df in (league.slate_scorers(games, squad, 5), whole))
+    assert got == want and len(got) > 80
+
+
+def test_form_meets_no_start_with_all_lines(spark):
+    rng = random.Random(9)
+    lines = {(rng.randrange(6), g, DAY + datetime.timedelta(rng.randrange(30)), rng.choice([None, 0, 600]), rng.choice([None, 3, 8, 21])) for g in range(300)}
+    starts = [(1000 + 40 * p + d, p, DAY + datetime.timedelta(d)) for p in range(7) for d in range(0, 32, 3)]
+    lined, asked = spark.createDataFrame(sorted(lines, key=str), "player_id long, game_id long, game_date date, seconds long, pts long"), spark.createDataFrame(starts, "game_id long, player_id long, start date")
+    form = league.form_points(lined, asked, 4)
+    assert "Join" not in league.form_before(lined, asked)._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for g, p, day in starts:
+        last = sorted((x[2], x[1], x[4]) for x in lines if x[0] == p and x[2] < day and x[3] and x[4] is not None)[-4:]
+        if last:
+            want[g] = sum(x[2] for x in last) / len(last)
+    assert {r.game_id: r.form for r in form.collect()} == pytest.approx(want)
