@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from boxlake.operators.store import staged
+
 
 def dense_rank_by(value: str, scope: list[str], best_high: bool = True) -> Column:
     """Dense rank, best first; nulls have none."""
@@ -25,6 +27,7 @@ def value_places(df: DataFrame, value: str, scope: list[str], best_high: bool =
 
     The values of a scope are cut into blocks at approximate quantiles; a window holds one block's distinct values, and the sums of the
     other blocks (a row each) are added, so no task holds a whole scope. Nulls have no place. df is read twice: stage what is dear.
+    The blocks are staged, as approximate quantiles depend on the order in which parts arrive: made twice they can differ, and with them the sums.
     """
     known = df.where(F.col(value).isNotNull())
     cuts = known.groupBy(*scope).agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 1000).alias("__cuts"))
@@ -32,6 +35,7 @@ def value_places(df: DataFrame, value: str, scope: list[str], best_high: bool =
     values = known.groupBy(*scope, value).agg(F.count("*").alias("equal")).join(cuts, scope).withColumn("__block", block).drop("__cuts")
     if not best_high:
         values = values.withColumn("__block", -F.col("__block"))
+    values = staged(values)
     whole = Window.partitionBy(*scope)
     low = whole.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     high = whole.orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
