@@ -15,12 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxlake.operators.merge import coerced, merged
-from boxlake.sources.shared import shared_dir
-
-
-def file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+from boxlake.sources.shared import file_system, shared_dir
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from boxlake.functions.nullsafe import sdiv
 from boxlake.operators import joins, models, windows
 from boxlake.operators.store import staged
 from boxlake.sources import tables
-from boxlake.sources.tables import BOX_SQL, SIDES_SQL, STATS, box_view, sides, table
+from boxlake.sources.tables import BOX_SQL, SIDES_SQL, STATS, box_view, by_player, sides, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,12 +56,12 @@ SEASON_SQL = BOX_SQL + ", ps as (select season, season_type, player_id, count(*)
 
 
 def player_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return box_view(spark, sf_dir).groupBy("season", "season_type", "player_id").agg(F.count("*").alias("gp"), *(F.sum(s).alias(s) for s in STATS))
+    return by_player(spark, sf_dir, box_view(spark, sf_dir)).groupBy("season", "season_type", "player_id").agg(F.count("*").alias("gp"), *(F.sum(s).alias(s) for s in STATS))
 
 
 @query(f"with {BOX_SQL} select season, season_type, team_id, player_id, count(*) gp, cast(sum(pts) as bigint) total_pts, round(avg(pts), 1) ppg, round(avg(ast), 1) apg, round(100.0 * sum(fgm) / nullif(sum(fga), 0), 1) fg_pct from box group by 1, 2, 3, 4", rounds=True)
 def season_averages(spark, sf_dir):
-    g = box_view(spark, sf_dir).groupBy("season", "season_type", "team_id", "player_id")
+    g = by_player(spark, sf_dir, box_view(spark, sf_dir)).groupBy("season", "season_type", "team_id", "player_id")
     return g.agg(F.count("*").alias("gp"), F.sum("pts").alias("total_pts"), rounded(F.avg("pts"), "ppg", 1), rounded(F.avg("ast"), "apg", 1), rounded(100.0 * sdiv(F.sum("fgm"), F.sum("fga")), "fg_pct", 1))
 
 

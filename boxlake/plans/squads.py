@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from boxlake.functions.nullsafe import sdiv
 from boxlake.operators import models, projection, squads, valuation
 from boxlake.plans.queries import CATS, SEASON_SQL, player_seasons, query, r, rounded
-from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, sides, table
+from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, by_player, sides, table
 
 STATUS = "case player_id % 7 when 0 then 'out' when 1 then 'doubtful' when 2 then 'questionable' when 3 then 'probable' when 4 then 'available' end"
 CHANCE_SQL = "case player_id % 7 when 0 then 0.0 when 1 then 0.25 when 2 then 0.5 when 3 then 0.85 else 1.0 end"
@@ -19,7 +19,7 @@ INJURY_SQL = f"""with {BOX_SQL}, pl as (select team_id, season, player_id, avg("
 
 
 def squad_players(spark, sf_dir):
-    box = box_view(spark, sf_dir).groupBy("team_id", "season", "player_id").agg(F.avg("min").alias("minutes"), F.avg("pts").alias("points"))
+    box = by_player(spark, sf_dir, box_view(spark, sf_dir)).groupBy("team_id", "season", "player_id").agg(F.avg("min").alias("minutes"), F.avg("pts").alias("points"))
     return box.withColumn("chance", squads.model_chance(F.expr(STATUS)))
 
 
@@ -41,7 +41,7 @@ def injury_projected_players(spark, sf_dir):
  g as (select f.*, k.j, max(case when f.i = k.j then fac end) over (partition by f.team_id) fj from f left join k on f.team_id = k.team_id)
  select team_id, player_id, round(case when j is null or i < j then 40.0 else coalesce(m * fj, m) end, 5) as minutes from g""")
 def squad_minutes(spark, sf_dir):
-    p = box_view(spark, sf_dir).groupBy("team_id", "player_id").agg(F.avg("min").alias("m"))
+    p = by_player(spark, sf_dir, box_view(spark, sf_dir)).groupBy("team_id", "player_id").agg(F.avg("min").alias("m"))
     return squads.normalised_minutes(p, ["team_id"], "player_id", "m").select("team_id", "player_id", r(F.col("normalised"), "minutes"))
 
 

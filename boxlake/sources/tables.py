@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxlake.sources.shared import file_system
+
 STATS = ("fgm", "fga", "fg3m", "fg3a", "ftm", "fta", "oreb", "dreb", "ast", "stl", "blk", "tov", "pf", "pts", "min")
 # The bench line that is added to every team, so that a team is more than its listed players.
 BENCH = dict(zip(STATS, (20, 45, 6, 17, 9, 12, 6, 19, 13, 4, 3, 8, 12, 55, 180)))
@@ -12,18 +14,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TASK_BYTES = 8 << 20  # of the lines' files a task: some 500,000 lines
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Among how many tasks the lines are dealt: as many as their files' size asks for, so that what one task holds does not grow with them, and at least one a core."""
+    at, files = file_system(spark, f"{sf_dir}/lineitem.parquet")
+    return max(-(-files.getContentSummary(at).getLength() // TASK_BYTES), spark.sparkContext.defaultParallelism)
+
+
+def by_player(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """rows dealt by player among as many tasks as the lines: groups, windows and joins that include player_id need no other shuffle."""
+    return rows.repartition(tasks(spark, sf_dir), "player_id")
+
+
 def box_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (game, player): an order is a game between two of the nations, a supplier a player, who plays for the home side if the key is even; statistics derive from the order's lines.
 
-    Lines are dealt by game once; the grain, the games' own columns and all windows within a game need no other shuffle of them.
+    Lines and games are dealt by game once, among ``tasks``; the grain, the games' own columns and all windows within a game need no other shuffle of them.
     """
+    n = tasks(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("game_id"), F.col("l_suppkey").alias("player_id"), "l_partkey", "l_linenumber", "l_quantity")
-    grain = lines.repartition("game_id").groupBy("game_id", "player_id").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"), F.sum("l_linenumber").alias("ln"), F.sum("l_partkey").alias("pk"))
+    grain = lines.repartition(n, "game_id").groupBy("game_id", "player_id").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"), F.sum("l_linenumber").alias("ln"), F.sum("l_partkey").alias("pk"))
     games = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("game_id"), F.to_date("o_orderdate").alias("game_date"), F.year("o_orderdate").cast("long").alias("season"), F.col("o_orderstatus").alias("season_type"),
         F.expr("o_custkey % 25").alias("home_id"), F.expr("(o_custkey + 1 + o_orderkey % 24) % 25").alias("away_id"),
     )
-    made = grain.join(games, "game_id").selectExpr(
+    made = grain.join(games.repartition(n, "game_id"), "game_id").selectExpr(
         "game_id", "player_id", "case when player_id % 2 = 0 then home_id else away_id end as team_id", "home_id", "away_id", "season", "season_type", "game_date", "q * 9 div 20 as fgm", "q as fga", "q * 9 div 60 as fg3m", "q * 2 div 5 as fg3a",
         "ln + pk % 2 as ftm", "2 * ln as fta", "pk % 4 as oreb", "pk % 7 as dreb", "pk % 9 as ast", "pk % 3 as stl", "pk % 2 as blk", "(pk + game_id) % 5 as tov", "n + pk % 3 as pf", "10 + pk % 30 as min",
     )
