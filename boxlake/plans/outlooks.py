@@ -13,7 +13,7 @@ from boxlake.operators.store import staged
 from boxlake.plans.queries import CATS, query, r, rounded
 from boxlake.plans.squads import CHANCE_SQL, STATUS, VALUED_SQL, player_seasons
 from boxlake.plans.widgets import with_home
-from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, games, sides, table
+from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, by_player, games, sides, table
 
 SCOPE = ["season", "season_type"]
 
@@ -66,7 +66,7 @@ def form_before_day(spark, sf_dir):
 
 def with_context(rows, spark, sf_dir):
     """rows (season, season_type, team_id, opp_id, game_date) with pace and opponent means before the day, the league's where a side has none."""
-    form = form_before_day(spark, sf_dir)
+    form = staged(form_before_day(spark, sf_dir))  # a row a team and day, read for both sides
     other = form.select(*SCOPE, F.col("team_id").alias("opp_id"), "game_date", F.col("pace").alias("opp_pace"), F.col("drtg").alias("opp_drtg"))
     both = rows.join(form.drop("drtg"), [*SCOPE, "team_id", "game_date"]).join(other, [*SCOPE, "opp_id", "game_date"])
     fill = {"pace": "l_pace", "opp_pace": "l_pace", "opp_drtg": "l_drtg"}
@@ -114,7 +114,8 @@ NEXT_SQL = f"""with {SIDES_SQL}, {FORM_SQL}, {ALPHA_SQL}, o as (select *, oreb +
 
 def next_lines(spark, sf_dir):
     """Every player's newest game, projected from the games before it: minutes, context, and the seven statistics."""
-    box = stat_box(spark, sf_dir)
+    played = staged(stat_box(spark, sf_dir).select(*SCOPE, "game_id", "game_date", "team_id", "home_id", "away_id", "player_id", "min", *STATS))
+    box = by_player(spark, sf_dir, played)
     aged = projection.aged(box, ["player_id"], ["game_date", "game_id"])
     target = aged.where("age = 0").select("player_id", *SCOPE, "team_id", "game_date", (F.col("team_id") == F.col("home_id")).alias("is_home"), F.expr("if(team_id = home_id, away_id, home_id)").alias("opp_id"))
     named = target.select("player_id", F.col("season").alias("__s"), F.col("season_type").alias("__t"))
@@ -126,7 +127,7 @@ def next_lines(spark, sf_dir):
         known = F.col(s).isNotNull()
         sums += [F.sum(s).alias(f"c_total_{s}"), F.sum(F.when(known, F.col("min"))).alias(f"cm_{s}"), F.sum(F.when(here, F.col(s))).alias(f"s_{s}"), F.sum(F.when(here & known, F.col("min"))).alias(f"sm_{s}"), F.count_if(here & known).alias(f"sg_{s}"), form(s).alias(f"f_{s}"), form("min").alias(f"fm_{s}")]
     minutes = projection.project_minutes(history, ["player_id"], "min").select("player_id", "minutes_mean")
-    alphas = projection.pooled_alphas(box, "player_id")
+    alphas = staged(projection.pooled_alphas(box, "player_id"))  # one row
     spread = projection.dispersion_multipliers(box, alphas, "player_id", SCOPE)
     placed = with_context(target, spark, sf_dir).join(history.groupBy("player_id").agg(*sums), "player_id").join(minutes, "player_id").join(spread, "player_id", "left").crossJoin(F.broadcast(alphas))  # one row of alphas
     factors = projection.context_factors(F.col("pace"), F.col("opp_pace"), F.col("l_pace"), F.col("opp_drtg"), F.col("l_drtg"), F.col("is_home"), F.datediff("game_date", "last"))

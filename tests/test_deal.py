@@ -25,3 +25,9 @@ def test_a_task_holds_no_more_of_larger_lines(spark, monkeypatch):
     for name, rows in want.items():
         df = QUERIES[name](spark, DIR)
         assert df.rdd.getNumPartitions() == n and sorted(map(tuple, df.collect())) == rows
+
+
+def test_projections_read_the_lines_once(spark):
+    """The lines, the days' means and the pooled dispersions are staged; the plan that is left derives none of them again."""
+    plan = QUERIES["stat_projections"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_quantity" not in plan and "o_custkey" not in plan
