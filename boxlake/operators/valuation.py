@@ -87,6 +87,7 @@ def trade_sensitivity(trades: DataFrame, lines: DataFrame, cats: list[str], key:
     def totals(own: np.ndarray) -> np.ndarray:
         seeds = first(-np.round(own[:, 0], 6), pool)
         mean, sd = own[seeds].mean(axis=0), own[seeds].std(axis=0)
+        sd[np.ptp(own[seeds], axis=0) == 0] = 0.0  # equal values have no spread, though their sum may be rounded
         z = np.divide(own - mean, sd, out=np.zeros_like(own), where=sd > 0)
         return np.round(z.sum(axis=1), 6)
 

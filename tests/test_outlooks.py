@@ -216,3 +216,12 @@ def test_form_meets_no_start_with_all_lines(spark):
         if last:
             want[g] = sum(x[2] for x in last) / len(last)
     assert {r.game_id: r.form for r in form.collect()} == pytest.approx(want)
+
+
+def test_equal_players_have_no_spread(spark):
+    """The mean of equal values may be rounded; what is left is no spread, and such a category counts nothing."""
+    lines = spark.createDataFrame([(i, 57.392857143 / 3, 0.1, float(i)) for i in range(60)], "p long, pts double, ast double, stl double")
+    trades = spark.createDataFrame([(1, [55], [2])], "trade_id long, give array<long>, get array<long>")
+    base = valuation.trade_sensitivity(trades, lines, ["pts", "ast", "stl"], "p", 50, 5, 5).first().base
+    sd = math.sqrt((50 * 50 - 1) / 12)
+    assert base == pytest.approx((2 - 55) / sd, abs=1e-5)
