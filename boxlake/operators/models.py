@@ -52,7 +52,7 @@ def season_composites(rows: DataFrame, scope: list[str], team_minutes: float = 2
     """rows with per, bpm, obpm, dbpm, ws, ows, dws, ws48 and vorp, by two passes over the league.
 
     Production a minute is scaled so that the league's mean by minutes is 15; box plus-minus is that scale's distance from 15, shifted so that its mean by
-    minutes is 0; a team's wins are shared by minutes and rating above a floor. ``rows``: scope, team_id, a player's season sums (min and the box
+    minutes is 0; a team's wins are shared by minutes and rating above a floor. Scopes and teams are few and broadcast. ``rows``: scope, team_id, a player's season sums (min and the box
     statistics), usg (a fraction), team_games, team_wins. Nothing is rounded. Null or no minutes count as one minute of production without weight.
     """
     held = lambda v, low, high: F.greatest(F.lit(low), F.least(v, F.lit(high)))
@@ -61,11 +61,11 @@ def season_composites(rows: DataFrame, scope: list[str], team_minutes: float = 2
     production = F.expr("pts + 0.7D * ast + 0.7D * oreb + 0.3D * dreb + stl + 0.7D * blk - 0.72D * (fga - fgm) - 0.42D * (fta - ftm) - tov - 0.28D * pf")
     rated = rows.withColumn("__w", weight).withColumn("__m", minutes).withColumn("__raw", production / minutes)
     league = rated.groupBy(*scope).agg((F.sum(F.col("__raw") * F.col("__w")) / F.when(F.sum("__w") > 0, F.sum("__w")).otherwise(1.0)).alias("__mean"))
-    rated = rated.join(league, scope).withColumn("per", held(F.col("__raw") * F.when(F.col("__mean") != 0, 15.0 / F.col("__mean")).otherwise(1.0), 0.0, 35.0)).withColumn("__bpm", (F.col("per") - 15.0) / 2.2)
+    rated = rated.join(F.broadcast(league), scope).withColumn("per", held(F.col("__raw") * F.when(F.col("__mean") != 0, 15.0 / F.col("__mean")).otherwise(1.0), 0.0, 35.0)).withColumn("__bpm", (F.col("per") - 15.0) / 2.2)
     centre = rated.groupBy(*scope).agg((F.sum(F.col("__bpm") * F.col("__w")) / F.when(F.sum("__w") > 0, F.sum("__w")).otherwise(1.0)).alias("__centre"))
     share = F.greatest(F.lit(0.05), F.col("per") - 5.0) * F.col("__w")
     teams = rated.groupBy(*scope, "team_id").agg(F.sum(share).alias("__shares"))
-    full = rated.join(centre, scope).join(teams, [*scope, "team_id"])
+    full = rated.join(F.broadcast(centre), scope).join(F.broadcast(teams), [*scope, "team_id"])
     usg = F.coalesce("usg", F.lit(0.2)) - 0.2
     games = F.greatest(F.lit(1), F.col("team_games"))
     full = full.withColumn("bpm", held(F.col("__bpm") - F.col("__centre"), -8.0, 14.0)).withColumn("ws", F.col("team_wins") * share / F.when(F.col("__shares") != 0, F.col("__shares")).otherwise(1.0))

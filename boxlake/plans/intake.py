@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from boxlake.functions.parsing import valid_weights
 from boxlake.operators import identity, models, precedence, quality, ratings, snapshots, squads
 from boxlake.operators.payloads import Field, checked_items
-from boxlake.operators.store import KeyedTable
+from boxlake.operators.store import KeyedTable, staged
 from boxlake.plans.folds import FACTOR_SQL, FOLD_SQL, JOINS, SCOPE, entries
 from boxlake.plans.queries import STATS, query
 from boxlake.plans.widgets import with_home
@@ -123,9 +123,9 @@ def season_composites(spark, sf_dir):
     box = box_view(spark, sf_dir)
     of = [*SCOPE, "team_id"]
     teams = sides(box).groupBy(*of).agg(F.count("*").alias("team_games"), F.count_if(F.col("tm_pts") > F.col("opp_pts")).alias("team_wins"), F.sum(F.expr("tm_fga + 0.44D * tm_fta + tm_tov")).alias("tq"), F.sum("tm_min").alias("tmin"))
-    rows = by_player(spark, sf_dir, box).groupBy(*of, "player_id").agg(*(F.sum(s).cast("double").alias(s) for s in STATS)).join(teams, of)
+    rows = by_player(spark, sf_dir, box).groupBy(*of, "player_id").agg(*(F.sum(s).cast("double").alias(s) for s in STATS)).join(F.broadcast(teams), of)
     usg = F.expr("(fga + 0.44D * fta + tov) * (tmin / 5) / nullif(min * tq, 0)")
-    found = models.season_composites(rows.withColumn("usg", usg), SCOPE)
+    found = models.season_composites(staged(rows.withColumn("usg", usg)), SCOPE)
     return found.select(*of, "player_id", "per", "bpm", "obpm", "dbpm", "ws", "ows", "dws", "ws48", "vorp")
 
 

@@ -1,5 +1,8 @@
 """The number of tasks that lines are dealt to follows their files' size, not the session's partitions."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from boxlake.plans.queries import QUERIES
@@ -31,3 +34,19 @@ def test_projections_read_the_lines_once(spark):
     """The lines, the days' means and the pooled dispersions are staged; the plan that is left derives none of them again."""
     plan = QUERIES["stat_projections"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_quantity" not in plan and "o_custkey" not in plan
+
+
+@pytest.mark.parametrize("name", ["season_composites"])
+def test_no_shuffle_takes_the_sessions_partitions(spark, monkeypatch, name):
+    """Lines are shuffled by game or player among the lines' tasks, and what is joined to them by scope or team is broadcast."""
+    monkeypatch.setattr(tables, "TASK_BYTES", 1000)
+    n = tables.tasks(spark, DIR)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*), (\d+)\)", plan)
+    assert {int(k) for keys, k in dealt if "game_id" in keys or "player_id" in keys} <= {n}
+    assert all("game_id" in keys for keys in re.findall(r"SortMergeJoin \[([^]]*)\]", plan))
