@@ -128,9 +128,9 @@ def defence_by_position(games: DataFrame, scope: list[str], team: str, least: in
     ``games`` has a row for each (scope, team, game, bucket) with points, games without points in a bucket included as 0. Bands are null
     for provisional teams and where the between-team variance is too small a part of the whole.
     """
-    league = games.groupBy(*scope, "bucket").agg(F.avg("points").alias("mu"))
-    per = games.groupBy(*scope, team, "bucket").agg(F.count("*").alias("n"), F.avg("points").alias("allowed"), F.stddev_samp("points").alias("sd"))
-    per = per.where((F.col("n") >= least) & (F.col("n") >= 2)).join(league, [*scope, "bucket"])
+    per = games.groupBy(*scope, team, "bucket").agg(F.count("*").alias("n"), F.avg("points").alias("allowed"), F.stddev_samp("points").alias("sd"), F.sum("points").alias("__sum"), F.count("points").alias("__n"))
+    league = per.groupBy(*scope, "bucket").agg(sdiv(F.sum("__sum"), F.sum("__n")).alias("mu"))
+    per = per.where((F.col("n") >= least) & (F.col("n") >= 2)).drop("__sum", "__n").join(league, [*scope, "bucket"])
     per = per.withColumn("raw_index", sdiv(F.col("allowed"), F.col("mu"))).withColumn("se", sdiv(F.col("sd") / F.sqrt("n"), F.col("mu")))
     across = Window.partitionBy(*scope, "bucket")
     noise = F.avg(F.col("se") * F.col("se")).over(across)

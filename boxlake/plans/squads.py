@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from boxlake.functions.nullsafe import sdiv
 from boxlake.operators import models, projection, squads, valuation
 from boxlake.plans.queries import CATS, SEASON_SQL, player_seasons, query, r, rounded
-from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, by_player, sides, table
+from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, by_player, table
 
 STATUS = "case player_id % 7 when 0 then 'out' when 1 then 'doubtful' when 2 then 'questionable' when 3 then 'probable' when 4 then 'available' end"
 CHANCE_SQL = "case player_id % 7 when 0 then 0.0 when 1 then 0.25 when 2 then 0.5 when 3 then 0.85 else 1.0 end"
@@ -54,15 +54,15 @@ DEFENCE_SQL = f"""with {SIDES_SQL}, w as (select 0 pos, 'G' bucket, 1.0 w union
 
 
 def position_games(spark, sf_dir):
+    """Points allowed by season, side, game and bucket. Each line counts for the other side, and as nothing for its own, so that both sides have all buckets within the games' deal."""
     box = box_view(spark, sf_dir)
-    maps = [{"G": 1.0}, {"G": 0.5, "F": 0.5}, {"F": 1.0}, {"F": 0.5, "C": 0.5}, {"C": 1.0}]
-    weights = F.array(*(F.create_map(*(F.lit(v) for kv in m.items() for v in kv)) for m in maps))
-    pairs = sides(box).select("season", "game_id", "team_id", F.col("opp_team_id").alias("defence"))
-    lines = box.select("game_id", "team_id", F.col("pts").alias("points"), F.col("min").alias("minutes"), F.get(weights, (F.col("player_id") % 5).cast("int")).alias("weights")).join(pairs, ["game_id", "team_id"])
-    got = squads.allocated(lines, "weights", ["season", "defence", "game_id"])
-    every = pairs.select("season", "defence", "game_id").distinct().withColumn("bucket", F.explode(F.array(*map(F.lit, "GFC"))))
-    full = every.join(got, ["season", "defence", "game_id", "bucket"], "left")
-    return full.select("season", F.col("defence").alias("team_id"), "game_id", "bucket", F.coalesce("points", F.lit(0.0)).alias("points"))
+    weight = lambda g, f, c: F.create_map(*(F.lit(v) for v in ("G", g, "F", f, "C", c)))
+    weights, none = F.array(weight(1.0, 0.0, 0.0), weight(0.5, 0.5, 0.0), weight(0.0, 1.0, 0.0), weight(0.0, 0.5, 0.5), weight(0.0, 0.0, 1.0)), weight(0.0, 0.0, 0.0)
+    own = F.when(F.col("team_id").isNotNull(), F.get(weights, (F.col("player_id") % 5).cast("int")))
+    against = F.struct(F.expr("if(team_id = home_id, away_id, home_id)").alias("defence"), F.coalesce(own, none).alias("weights"))
+    lines = box.select("season", "game_id", F.col("pts").alias("points"), F.col("min").alias("minutes"), F.explode(F.array(against, F.struct(F.col("team_id").alias("defence"), none.alias("weights")))).alias("x"))
+    got = squads.allocated(lines.select("season", "game_id", "points", "minutes", "x.*"), "weights", ["season", "defence", "game_id"])
+    return got.select("season", F.col("defence").alias("team_id"), "game_id", "bucket", F.coalesce("points", F.lit(0.0)).alias("points"))
 
 
 @query(DEFENCE_SQL)

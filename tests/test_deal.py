@@ -36,7 +36,7 @@ def test_projections_read_the_lines_once(spark):
     assert "l_quantity" not in plan and "o_custkey" not in plan
 
 
-@pytest.mark.parametrize("name", ["season_composites"])
+@pytest.mark.parametrize("name", ["season_composites", "defence_by_position"])
 def test_no_shuffle_takes_the_sessions_partitions(spark, monkeypatch, name):
     """Lines are shuffled by game or player among the lines' tasks, and what is joined to them by scope or team is broadcast."""
     monkeypatch.setattr(tables, "TASK_BYTES", 1000)
@@ -49,4 +49,5 @@ def test_no_shuffle_takes_the_sessions_partitions(spark, monkeypatch, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     dealt = re.findall(r"Exchange hashpartitioning\(([^)]*), (\d+)\)", plan)
     assert {int(k) for keys, k in dealt if "game_id" in keys or "player_id" in keys} <= {n}
-    assert all("game_id" in keys for keys in re.findall(r"SortMergeJoin \[([^]]*)\]", plan))
+    if name != "defence_by_position":  # its other joins are of teams' sums
+        assert all("game_id" in keys for keys in re.findall(r"SortMergeJoin \[([^]]*)\]", plan))
