@@ -52,9 +52,9 @@ def injury_layer(sums: DataFrame, replacement: float = 0.225, absorb: float = 0.
 
 
 def injury_players(players: DataFrame, totals: DataFrame, squad: list[str], rotation: float = 0.7, cap: float = 1.15) -> DataFrame:
-    """players with projected points and minutes after the layer."""
+    """players with projected points and minutes after the layer; squads are few and broadcast."""
     share = F.least(1 + rotation * F.col("lost_min") / F.greatest(F.col("avail_min"), F.lit(1)), F.lit(cap))
-    both = players.join(totals.select(*squad, "boost", "lost_min", "avail_min"), squad)
+    both = players.join(F.broadcast(totals.select(*squad, "boost", "lost_min", "avail_min")), squad)
     played = F.col("chance")
     return both.withColumn("projected_points", F.col("points") * played * F.col("boost")).withColumn("projected_minutes", F.col("minutes") * played * share).drop("boost", "lost_min", "avail_min")
 
