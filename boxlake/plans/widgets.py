@@ -10,7 +10,7 @@ from boxlake.functions.nullsafe import sdiv
 from boxlake.functions import parsing
 from boxlake.operators import availability, ingest, merge, quality, ratings, windows
 from boxlake.plans.queries import SEASON_SQL, player_seasons, query, r, rounded
-from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, games, sides, table
+from boxlake.sources.tables import BOX_SQL, SIDES_SQL, box_view, by_player, games, sides, table, tasks
 
 SCOPE = ["season", "season_type"]
 
@@ -21,11 +21,12 @@ def game_log(spark, sf_dir):
     """The five newest games of every player, with the opponent, the outcome and the line in words."""
     box = box_view(spark, sf_dir)
     at = Window.partitionBy("player_id").orderBy(F.desc("game_date"), F.desc("game_id"))
-    newest = box.withColumn("n", F.row_number().over(at)).where("n <= 5")
+    newest = by_player(spark, sf_dir, box).withColumn("n", F.row_number().over(at)).where("n <= 5")
     scores = sides(box).select("game_id", "team_id", "opp_team_id", "tm_pts", "opp_pts")
+    n, side = tasks(spark, sf_dir), ["game_id", "team_id"]
     outcome = F.when(F.col("tm_pts") > F.col("opp_pts"), "W").when(F.col("tm_pts") < F.col("opp_pts"), "L").otherwise("T")
     line = F.concat_ws(" · ", F.concat("pts", F.lit(" PTS")), F.concat(F.col("oreb") + F.col("dreb"), F.lit(" REB")), F.concat("ast", F.lit(" AST")))
-    return newest.join(scores, ["game_id", "team_id"]).select("player_id", "game_id", "game_date", "opp_team_id", outcome.alias("outcome"), "pts", line.alias("line"), "n")
+    return newest.repartition(n, *side).join(scores.repartition(n, *side), side).select("player_id", "game_id", "game_date", "opp_team_id", outcome.alias("outcome"), "pts", line.alias("line"), "n")
 
 
 @query(f"""with {SEASON_SQL}, v as (select season, season_type, player_id, gp, cast(pts as double) / gp v from ps), k as (select *, dense_rank() over (partition by season, season_type order by v desc) place, count(*) over (partition by season, season_type) field, avg(v) over (partition by season, season_type) mean,

@@ -36,7 +36,7 @@ def test_projections_read_the_lines_once(spark):
     assert "l_quantity" not in plan and "o_custkey" not in plan
 
 
-@pytest.mark.parametrize("name", ["season_composites", "defence_by_position", "injury_projected_players"])
+@pytest.mark.parametrize("name", ["season_composites", "defence_by_position", "injury_projected_players", "game_log"])
 def test_no_shuffle_takes_the_sessions_partitions(spark, monkeypatch, name):
     """Lines are shuffled by game or player among the lines' tasks, and what is joined to them by scope or team is broadcast."""
     monkeypatch.setattr(tables, "TASK_BYTES", 1000)
