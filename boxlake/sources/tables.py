@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-TASK_BYTES = 8 << 20  # of the lines' files a task: some 500,000 lines
+TASK_BYTES = 4 << 20  # of the lines' files a task: some 250,000 to 330,000 lines
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> int:
