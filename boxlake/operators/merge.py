@@ -17,10 +17,11 @@ def differs(old: Column, new: Column, kind: T.DataType) -> Column:
 
 
 def coerced(rows: DataFrame, schema: T.StructType) -> DataFrame:
-    """rows with the columns of ``schema`` that they have, cast to its kinds: whole numbers by rounding half to even."""
+    """rows with the columns of ``schema`` that they have, cast to its kinds: to whole numbers by rounding half to even; what is of its kind stays as it is."""
     whole = lambda c: F.bround(c.cast("double"))
     kept = [f for f in schema if f.name in rows.columns]
-    return rows.select(*((whole(F.col(f.name)) if isinstance(f.dataType, T.IntegralType) else F.col(f.name)).cast(f.dataType).alias(f.name) for f in kept))
+    rounds = lambda f: isinstance(f.dataType, T.IntegralType) and rows.schema[f.name].dataType != f.dataType
+    return rows.select(*((whole(F.col(f.name)) if rounds(f) else F.col(f.name)).cast(f.dataType).alias(f.name) for f in kept))
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

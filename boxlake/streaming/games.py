@@ -72,6 +72,13 @@ def newest(polls: DataFrame) -> DataFrame:
     return known.groupBy("game_id").agg(F.max_by(F.struct(*(c for c in polls.columns if c != "game_id")), rank).alias("__p")).select("game_id", "__p.*")
 
 
+def box_lines(finals: DataFrame) -> DataFrame:
+    """The lines of polls, one a game and player: of lines that repeat a player the greatest by all columns, found within the box; lines without a player are left out."""
+    ordered = finals.select(*SCOPE, "game_id", "game_date", F.sort_array("box").alias("__box"))
+    last = lambda x, i: x["player_id"].isNotNull() & ~x["player_id"].eqNullSafe(F.get(F.col("__box"), i + 1)["player_id"])
+    return ordered.select(*SCOPE, "game_id", "game_date", F.explode(F.filter("__box", last)).alias("__x")).select(*SCOPE, "game_id", "game_date", "__x.*")
+
+
 def ingest(store: GameStore, polls: DataFrame, batch: int, repair: bool = False) -> DataFrame:
     """Merge a batch of polls (POLL) into the store; its version row, or no row if nothing changed.
 
@@ -88,8 +95,7 @@ def ingest(store: GameStore, polls: DataFrame, batch: int, repair: bool = False)
     fresh = staged(latest.join(held, "game_id", "left").where(newer).withColumn("__other", other))
     finals = fresh.where("status = 'final' and __other")
     newly = finals.where("__status is null or __status != 'final'").count()
-    lines = finals.select(*SCOPE, "game_id", "game_date", F.explode("box").alias("__x")).select(*SCOPE, "game_id", "game_date", "__x.*").where("player_id is not null")
-    report = store.lines.merge(lines, finals.select(*SCOPE, "game_id"))
+    report = store.lines.merge(box_lines(finals), finals.select(*SCOPE, "game_id"), unique=True)
     affected = sorted({(r["season"], r["season_type"]) for r in report if r["change"] != "same"})
     if affected:
         store.seasons.merge(season_totals(store.lines.within(affected)), affected, unique=True)

@@ -75,3 +75,18 @@ def test_stream(spark, tmp_path):
     assert games.refetch(store, fixed, "2000-01-02", "2000-01-09", 11).count() == 0
     assert games.ingest(store, spark.createDataFrame(landings[1], games.POLL), 12).count() == 0
     assert {(r.season, r.player_id): (r.gp, r.pts) for r in store.seasons.read().collect()} == seen[1]
+
+
+def test_lines_of_a_box(spark):
+    """Lines that repeat a player are settled within the box, without a shuffle: the greatest counts, null least."""
+    rows = spark.createDataFrame([poll(1, 22, "final", [(2, 4), (1, 9), (None, 5), (2, 8), (1, None), (2, 8)]), poll(2, 22, "final", []), poll(3, 22, "final", None)], games.POLL)
+    lines = games.box_lines(rows)
+    assert sorted((r.game_id, r.player_id, r.pts, r.game_date.day) for r in lines.collect()) == [(1, 1, 9, 1), (1, 2, 8, 1)]
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_numbers_stay_whole(spark, tmp_path):
+    """A long goes into a long column as it is, not by way of a double."""
+    table = KeyedTable(spark, f"{tmp_path}/t", T.StructType().add("part", "string").add("k", "long").add("v", "long"), ("part", "k"), ("part",))
+    table.merge(spark.createDataFrame([("p", 2**60 + 1, 2**53 + 1)], table.schema))
+    assert [tuple(r) for r in table.read().collect()] == [("p", 2**60 + 1, 2**53 + 1)]
