@@ -52,7 +52,7 @@ def landed(spark: SparkSession, sf_dir: str) -> games.GameStore:
         rows = batch[0]
         for more in batch[1:]:
             rows = rows.unionByName(more)
-        rows.write.parquet(f"{root}/landing/batch={number}")
+        rows.write.option("compression", "zstd").parquet(f"{root}/landing/batch={number}")
         games.stream(store, f"{root}/landing", f"{root}/checkpoint")
     return store
 

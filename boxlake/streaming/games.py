@@ -9,13 +9,15 @@ one that is repeated changes nothing. Polls may come late and in any order, as t
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boxlake.operators.merge import data_through
-from boxlake.operators.store import KeyedTable, file_system, staged
+from boxlake.operators.store import BITS, KeyedTable, bit_of, file_system, settings, staged
 from boxlake.sources.tables import STATS
 
 SCOPE = ("season", "season_type")
@@ -43,7 +45,7 @@ class GameStore:
 
     @property
     def games(self) -> KeyedTable:
-        return self._table("games", f"game_id long, season long, season_type string, game_date date, {SIDES}, status string, polled_at timestamp, digest string", (*SCOPE, "game_id"))
+        return self._table("games", f"game_id long, season long, season_type string, game_date date, {SIDES}, status string, polled_at timestamp, digest binary", (*SCOPE, "game_id"))
 
     @property
     def lines(self) -> KeyedTable:
@@ -62,14 +64,32 @@ def digested(polls: DataFrame) -> DataFrame:
     """polls with a digest of what they say, apart from when they were taken; players of a box in any order, a null box an empty one."""
     box = F.array_sort(F.coalesce("box", F.from_json(F.lit("[]"), BOX)))
     said = F.to_json(F.struct(*(F.col(c) for c in ("season", "season_type", "game_date", "home_id", "away_id", "status")), box.alias("box")), {"ignoreNullFields": "false"})
-    return polls.withColumn("digest", F.sha2(said, 256))
+    return polls.withColumn("digest", F.unhex(F.substring(F.sha2(said, 256), 1, 32)))  # 16 bytes tell the polls of a game apart
 
 
-def newest(polls: DataFrame) -> DataFrame:
-    """One poll a game: the last, of those taken at once a final one, then by digest. Polls without a game, sides or a season are left out."""
-    known = polls.where(F.expr("game_id is not null and home_id is not null and away_id is not null and season is not null and season_type is not null and polled_at is not null"))
-    rank = F.struct("polled_at", F.col("status") == "final", "digest")
-    return known.groupBy("game_id").agg(F.max_by(F.struct(*(c for c in polls.columns if c != "game_id")), rank).alias("__p")).select("game_id", "__p.*")
+def placed(polls: DataFrame) -> DataFrame:
+    """Where the polls of a scan of Parquet files stand, and what is needed to tell which of them count: no box. Polls without a game, sides or a season are left out."""
+    known = polls.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    known = known.where(F.expr("game_id is not null and home_id is not null and away_id is not null and season is not null and season_type is not null and polled_at is not null"))
+    return digested(known).select("game_id", *SCOPE, "polled_at", F.coalesce(F.col("status") == "final", F.lit(False)).alias("final"), "digest", "file", "row")
+
+
+def newest(polls: DataFrame, held: DataFrame) -> DataFrame:
+    """One of the placed polls a game, ``poll``: the last, of those taken at once a final one, then by digest; beside it ``held`` (game_id, at, said, was), what is stored of the game."""
+    said = polls.select("game_id", F.struct("polled_at", "final", "digest", *SCOPE, "file", "row").alias("poll"), F.lit(None).cast("struct<at:timestamp,said:binary,was:boolean>").alias("held"))
+    known = held.select("game_id", F.lit(None).cast(said.schema["poll"].dataType).alias("poll"), F.struct("at", "said", "was").alias("held"))
+    return said.unionByName(known).groupBy("game_id").agg(F.max("poll").alias("poll"), F.max("held").alias("held")).where("poll is not null")
+
+
+def fetched(spark: SparkSession, chosen: DataFrame) -> DataFrame:
+    """The polls at ``chosen`` (file, row) and whether they are ``told`` there, read from their files by maps of a bit a poll: boxes are not shuffled."""
+    files = [r[0] for r in chosen.select("file").distinct().collect()]
+    at = lambda row: ((row / BITS).cast("long").alias("part"), (row % BITS).alias("bit"))
+    part, bit = at(F.col("row"))
+    maps = chosen.select("file", part, bit, "told").groupBy("file", "part").agg(F.expr("bitmap_construct_agg(bit)").alias("any"), F.expr("bitmap_construct_agg(bit) filter (where told)").alias("some"))
+    polls = spark.read.schema(schema(POLL)).parquet(*map(unquote, files)).select("*", F.col("_metadata.file_path").alias("file"), *at(F.col("_metadata.row_index")))
+    found = polls.join(F.broadcast(maps), ["file", "part"]).where(bit_of("any", "bit"))
+    return found.select(*schema(POLL).names, F.when(F.col("some").isNull(), False).otherwise(bit_of("some", "bit")).alias("told"))
 
 
 def box_lines(finals: DataFrame) -> DataFrame:
@@ -85,22 +105,28 @@ def ingest(store: GameStore, polls: DataFrame, batch: int, repair: bool = False)
     A poll that is not newer than the stored one is passed over, one that says the same only moves its time; ``repair`` merges the lines of all again. Lines of a final game replace
     what is stored of it: players it no longer has are deleted. Lines of a game that is not final stay as they are.
     """
-    latest = staged(newest(polls if "digest" in polls.columns else digested(polls)))
-    parts = [tuple(r) for r in latest.select(*SCOPE).distinct().collect()]
+    return merge_placed(store, placed(staged(polls.select(*schema(POLL).names))), batch, repair)
+
+
+def merge_placed(store: GameStore, polls: DataFrame, batch: int, repair: bool = False) -> DataFrame:
+    """``ingest`` of polls that are known by their places; only the boxes of final polls that say something else are read from there."""
+    parts = [tuple(r) for r in polls.select(*SCOPE).distinct().collect()]
     if not parts:
         return store.spark.createDataFrame([], VERSION)
-    held = store.games.within(parts).select("game_id", F.col("digest").alias("__digest"), F.col("polled_at").alias("__at"), F.col("status").alias("__status"))
-    newer = F.col("__at").isNull() | (F.col("polled_at") > F.col("__at")) | (F.lit(repair) & (F.col("polled_at") == F.col("__at")))
-    other = F.lit(repair) | F.col("__digest").isNull() | (F.col("digest") != F.col("__digest"))
-    fresh = staged(latest.join(held, "game_id", "left").where(newer).withColumn("__other", other))
-    finals = fresh.where("status = 'final' and __other")
-    newly = finals.where("__status is null or __status != 'final'").count()
-    report = store.lines.merge(box_lines(finals), finals.select(*SCOPE, "game_id"), unique=True)
+    held = store.games.within(parts).select("game_id", F.col("polled_at").alias("at"), F.col("digest").alias("said"), F.coalesce(F.col("status") == "final", F.lit(False)).alias("was"))
+    newer = F.col("held").isNull() | (F.col("poll.polled_at") > F.col("held.at")) | (F.lit(repair) & (F.col("poll.polled_at") == F.col("held.at")))
+    says = F.col("held").isNull() | (F.col("poll.digest") != F.col("held.said"))
+    moved = says | (F.col("poll.polled_at") != F.col("held.at"))
+    told = F.col("poll.final") & (F.lit(repair) | says)
+    fresh = staged(newest(polls, held).where(newer).select(*(F.col(f"poll.{c}") for c in SCOPE), "game_id", "poll.file", "poll.row", told.alias("told"), (F.lit(repair) | says).alias("other"), moved.alias("moved"), (told & ~F.coalesce("held.was", F.lit(False))).alias("newly")))
+    newly, spoken = fresh.agg(F.count_if("newly"), F.count_if("other")).first()
+    keys, finals = [*SCOPE, "game_id"], fresh.where("told")
+    report = store.lines.replace(staged(box_lines(fetched(store.spark, finals).where("told"))), finals.select(*keys))
     affected = sorted({(r["season"], r["season_type"]) for r in report if r["change"] != "same"})
     if affected:
-        store.seasons.merge(season_totals(store.lines.within(affected)), affected, unique=True)
-    spoken = fresh.where("__other").count()
-    store.games.merge(fresh.select(*store.games.schema.names), unique=True)
+        with settings(store.spark, {"spark.sql.files.minPartitionNum": "1"}):  # a partition's files among few tasks
+            store.seasons.merge(season_totals(store.lines, affected), affected, unique=True)
+    store.games.replace(digested(fetched(store.spark, fresh.where("moved"))).select(*store.games.schema.names), fresh.where("moved").select(*keys), told=False)
     if not affected and (repair or not spoken):
         return store.spark.createDataFrame([], VERSION)
     through = data_through(store.games.read().withColumn("__final", F.col("status") == "final"), "game_date", "__final").first()["through"]
@@ -111,8 +137,10 @@ def ingest(store: GameStore, polls: DataFrame, batch: int, repair: bool = False)
     return row
 
 
-def season_totals(lines: DataFrame) -> DataFrame:
-    return lines.groupBy(*SCOPE, "player_id").agg(F.count("*").alias("gp"), *(F.sum(s).alias(s) for s in STATS))
+def season_totals(lines: KeyedTable, parts: list[tuple]) -> DataFrame:
+    """Totals of some partitions. Each is a scan of its own, so that a task sums lines of one of them and sends few rows a player."""
+    found = reduce(DataFrame.unionByName, (lines.within([part]) for part in parts))
+    return found.groupBy(*SCOPE, "player_id").agg(F.count("*").alias("gp"), *(F.sum(s).alias(s) for s in STATS))
 
 
 def refetch(store: GameStore, polls: DataFrame, first: str, last: str, batch: int) -> DataFrame:
@@ -122,10 +150,10 @@ def refetch(store: GameStore, polls: DataFrame, first: str, last: str, batch: in
 
 def stream(store: GameStore, landing: str, checkpoint: str) -> None:
     """Ingest what has landed since the checkpoint: Parquet files of POLL under ``landing``'s folders."""
-    polls = digested(store.spark.readStream.schema(schema(POLL)).option("recursiveFileLookup", "true").parquet(landing))
+    polls = placed(store.spark.readStream.schema(schema(POLL)).option("recursiveFileLookup", "true").parquet(landing))
     once = polls.withColumn("__received", F.current_timestamp()).withWatermark("__received", KEEP_STATE).dropDuplicatesWithinWatermark(["game_id", "polled_at", "digest"])
 
     def merge(rows: DataFrame, number: int) -> None:
-        ingest(GameStore(rows.sparkSession, store.root), rows.drop("__received"), number)
+        merge_placed(GameStore(rows.sparkSession, store.root), staged(rows.drop("__received")), number)
 
     once.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()

@@ -1,11 +1,13 @@
 """Keyed tables over several merges, and the ingest of games over repeated, late and redelivered polls."""
 
+import random
 from datetime import date, datetime
 from pathlib import Path
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boxlake.operators.store import KeyedTable
+from boxlake.operators.store import KeyedTable, sifted
 from boxlake.streaming import games
 
 FIELDS = T.StructType().add("part", "string").add("k", "long").add("a", "integer").add("x", "double")
@@ -90,3 +92,62 @@ def test_whole_numbers_stay_whole(spark, tmp_path):
     table = KeyedTable(spark, f"{tmp_path}/t", T.StructType().add("part", "string").add("k", "long").add("v", "long"), ("part", "k"), ("part",))
     table.merge(spark.createDataFrame([("p", 2**60 + 1, 2**53 + 1)], table.schema))
     assert [tuple(r) for r in table.read().collect()] == [("p", 2**60 + 1, 2**53 + 1)]
+
+
+def shuffled(spark):
+    """Bytes of shuffle that the session's tasks have written."""
+    held = spark._jsc.sc().statusStore().executorList(False)
+    return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
+
+
+def test_boxes_are_not_shuffled(spark, tmp_path):
+    """Polls are settled by their places; boxes go from the landed files into the store, also those of a folder with signs in its name."""
+    rng = random.Random(3)
+    box = lambda: [(p, rng.getrandbits(48)) for p in range(100)]
+    first, fixed = ([poll(g, hour, "final", box()) for g in range(200)] for hour in (20, 22))
+    root = f"{tmp_path}/a b%20c"
+    store = games.GameStore(spark, f"{root}/store")
+    wide = lambda rows: spark.createDataFrame([(*r[:8], [{s: rng.getrandbits(48) if s in games.STATS and s != "pts" else v for s, v in x.items()} for x in r[8]]) for r in rows], games.POLL)
+    wide(first).coalesce(2).write.parquet(f"{root}/landing/0")
+    size = 200 * 100 * 15 * 6
+    before = shuffled(spark)
+    games.stream(store, f"{root}/landing", f"{root}/checkpoint")
+    assert shuffled(spark) - before < size / 4
+    wide(fixed[:20]).coalesce(2).write.parquet(f"{root}/landing/1")
+    before = shuffled(spark)
+    games.stream(store, f"{root}/landing", f"{root}/checkpoint")
+    assert shuffled(spark) - before < size
+    want = {(r[0], p): pts for r in fixed[:20] + first[20:] for p, pts in ((x["player_id"], x["pts"]) for x in r[8])}
+    assert {(r.game_id, r.player_id): r.pts for r in store.lines.read().collect()} == want
+    assert sorted((r.version, r.newly_final, r.inserted, r.updated, r.deleted) for r in store.versions().collect()) == [(1, 200, 20_000, 0, 0), (2, 0, 0, 2000, 0)]
+
+
+def test_replace(spark, tmp_path):
+    """What a scope holds gives way; other rows stay, whether the sieve tells them apart or the join, and partitions without a change are not written."""
+    fields = T.StructType().add("part", "string").add("g", "long").add("k", "long").add("v", "long")
+    table = KeyedTable(spark, f"{tmp_path}/t", fields, ("part", "g", "k"), ("part",))
+    frame = lambda rows: spark.createDataFrame(rows, fields)
+    scope = lambda rows: spark.createDataFrame(rows, "part string, g long")
+    held = lambda: {(r.part, r.g, r.k): r.v for r in table.read().collect()}
+    rows = [(p, g, k, g + k) for p in ("p", "q", "r/s") for g in range(4000 if p == "p" else 2) for k in (1, 2)]
+    games_of = sorted({r[:2] for r in rows})
+    assert changes(table.replace(frame(rows), scope(games_of))) == {("p", "insert"): 8000, ("q", "insert"): 4, ("r/s", "insert"): 4}
+    before = {p: files(table.path, p) for p in ("p", "q")}
+    assert changes(table.replace(frame(rows), scope(games_of))) == {("p", "same"): 8000, ("q", "same"): 4, ("r/s", "same"): 4}
+    assert {p: files(table.path, p) for p in before} == before
+    assert table.replace(frame([]), scope([])) == []
+    # p: a game gets another value, loses a row and gets one, another game is new, a third has no rows any more; r/s is emptied; q is as it was
+    new = [("p", 7, 1, 99), ("p", 7, 3, 5), ("p", 9000, 1, 1), ("q", 1, 1, 2), ("q", 1, 2, 3)]
+    report = table.replace(frame(new), scope([("p", 7), ("p", 9000), ("p", 8), ("q", 1), ("r/s", 0), ("r/s", 1)]))
+    assert changes(report) == {("p", "update"): 1, ("p", "insert"): 2, ("p", "stale"): 3, ("q", "same"): 2, ("r/s", "stale"): 4}
+    want = {r[:3]: r[3] for r in rows if r[0] != "r/s" and r[:2] not in (("p", 7), ("p", 8))} | {r[:3]: r[3] for r in new}
+    assert held() == want and files(table.path, "q") == before["q"] and not [d for d in Path(table.path).iterdir() if "r%2Fs" in d.name]
+
+
+def test_sieve(spark):
+    """It lets all that is wanted pass, and little else."""
+    rows = spark.range(100_000).withColumn("s", F.when(F.col("id") % 5 > 0, "x"))
+    wanted = rows.where("id % 10 = 0")
+    passed = {r.id for r in sifted(rows, ["id", "s"], wanted).where("__may").collect()}
+    assert len(passed) < 20_000 and passed >= set(range(0, 100_000, 10))
+    assert sifted(rows, ["id"], wanted.limit(0)).where("__may").count() == 0
