@@ -100,6 +100,11 @@ def shuffled(spark):
     return sum(held.apply(i).totalShuffleWrite() for i in range(held.size()))
 
 
+def widened(rng, rows):
+    """Polls whose boxes no codec makes smaller than 90 bytes a line."""
+    return [(*r[:8], [{s: rng.getrandbits(48) if s in games.STATS and s != "pts" else v for s, v in x.items()} for x in r[8]]) for r in rows]
+
+
 def test_boxes_are_not_shuffled(spark, tmp_path):
     """Polls are settled by their places; boxes go from the landed files into the store, also those of a folder with signs in its name."""
     rng = random.Random(3)
@@ -107,7 +112,7 @@ def test_boxes_are_not_shuffled(spark, tmp_path):
     first, fixed = ([poll(g, hour, "final", box()) for g in range(200)] for hour in (20, 22))
     root = f"{tmp_path}/a b%20c"
     store = games.GameStore(spark, f"{root}/store")
-    wide = lambda rows: spark.createDataFrame([(*r[:8], [{s: rng.getrandbits(48) if s in games.STATS and s != "pts" else v for s, v in x.items()} for x in r[8]]) for r in rows], games.POLL)
+    wide = lambda rows: spark.createDataFrame(widened(rng, rows), games.POLL)
     wide(first).coalesce(2).write.parquet(f"{root}/landing/0")
     size = 200 * 100 * 15 * 6
     before = shuffled(spark)
@@ -122,6 +127,21 @@ def test_boxes_are_not_shuffled(spark, tmp_path):
     assert sorted((r.version, r.newly_final, r.inserted, r.updated, r.deleted) for r in store.versions().collect()) == [(1, 200, 20_000, 0, 0), (2, 0, 0, 2000, 0)]
 
 
+def test_a_repair_moves_lines_once(spark, tmp_path):
+    """To be compared, stored and fetched lines of the range's games meet in one shuffle; other games' lines stay where they are."""
+    rng = random.Random(4)
+    store = games.GameStore(spark, f"{tmp_path}/store")
+    rows = widened(rng, [poll(g, 20, "final", [(p, p) for p in range(100)], day=1 + g // 100) for g in range(400)])
+    polls = spark.createDataFrame(rows, games.POLL).coalesce(2)
+    games.ingest(store, polls, 0)
+    size = 100 * 100 * 15 * 6
+    for batch in (1, 2):
+        before = shuffled(spark)
+        assert games.refetch(store, polls, "2000-01-02", "2000-01-02", batch).count() == 0
+        assert shuffled(spark) - before < 3 * size
+    assert store.lines.read().count() == 40_000
+
+
 def test_replace(spark, tmp_path):
     """What a scope holds gives way; other rows stay, whether the sieve tells them apart or the join, and partitions without a change are not written."""
     fields = T.StructType().add("part", "string").add("g", "long").add("k", "long").add("v", "long")
