@@ -33,13 +33,22 @@ def decayed(value: Column, halflife: float) -> tuple[Column, Column]:
     return mean, F.greatest(square - mean * mean, F.lit(0.0))
 
 
-def project_minutes(rows: DataFrame, keys: list[str], minutes: str) -> DataFrame:
-    """keys, minutes_mean, minutes_low, minutes_high from rows with ``age``: short half-life, a floor under the spread, within 0 and 48."""
+def minute_sums(minutes: str) -> list[Column]:
+    """Aggregates over rows with ``age``, from which ``minute_range`` is made."""
     mean, variance = decayed(F.col(minutes).cast("double"), MINUTES_HALFLIFE)
-    got = rows.groupBy(*keys).agg(mean.alias("__m"), F.sqrt(variance).alias("__sd"))
+    return [mean.alias("__m"), F.sqrt(variance).alias("__sd")]
+
+
+def minute_range() -> list[Column]:
+    """minutes_mean, minutes_low, minutes_high: short half-life, a floor under the spread, within 0 and 48."""
     m = F.least(F.greatest(F.coalesce("__m", F.lit(0.0)), F.lit(0.0)), F.lit(MINUTES_MAX))
     half = Z80 * F.greatest(F.coalesce("__sd", F.lit(0.0)), SD_FLOOR * m)
-    return got.select(*keys, m.alias("minutes_mean"), F.greatest(m - half, F.lit(0.0)).alias("minutes_low"), F.least(m + half, F.lit(MINUTES_MAX)).alias("minutes_high"))
+    return [m.alias("minutes_mean"), F.greatest(m - half, F.lit(0.0)).alias("minutes_low"), F.least(m + half, F.lit(MINUTES_MAX)).alias("minutes_high")]
+
+
+def project_minutes(rows: DataFrame, keys: list[str], minutes: str) -> DataFrame:
+    """keys, minutes_mean, minutes_low, minutes_high from rows with ``age``."""
+    return rows.groupBy(*keys).agg(*minute_sums(minutes)).select(*keys, *minute_range())
 
 
 def regressed_rate(stat: str, s_total: Column, s_min: Column, c_total: Column, c_min: Column, form: Column, form_min: Column) -> Column:
@@ -163,11 +172,12 @@ def expected_counts(lines: DataFrame, keys: list[str], keep: list[str], minutes:
 
     Lines under DISPERSION_MIN_MINUTES leave; a null statistic counts neither itself nor its minutes and has no mean.
     """
-    used = lines.where(F.col(minutes) >= DISPERSION_MIN_MINUTES)
-    sums = [e for s in STATS for e in (F.coalesce(F.sum(s), F.lit(0)).alias(f"__t_{s}"), F.coalesce(F.sum(F.when(F.col(s).isNotNull(), F.col(minutes))), F.lit(0)).alias(f"__m_{s}"))]
-    rates = used.groupBy(*keys).agg(*sums).select(*keys, *(padded_rate(s, F.col(f"__t_{s}"), F.col(f"__m_{s}")).alias(f"__r_{s}") for s in STATS))
-    means = [F.when(F.col(s).isNotNull(), F.col(minutes) * F.col(f"__r_{s}")).alias(f"mu_{s}") for s in STATS]
-    return used.join(rates, keys).select(*keep, *STATS, *means)
+    used = lines.where(F.col(minutes) >= DISPERSION_MIN_MINUTES).dropna(subset=keys)
+    own = Window.partitionBy(*keys)  # sums beside their lines: a join would shuffle the lines for each side
+    total = lambda c: F.coalesce(F.sum(c).over(own), F.lit(0))
+    rate = lambda s: padded_rate(s, total(F.col(s)), total(F.when(F.col(s).isNotNull(), F.col(minutes))))
+    means = [F.when(F.col(s).isNotNull(), F.col(minutes) * rate(s)).alias(f"mu_{s}") for s in STATS]
+    return used.select(*keep, *STATS, *means)
 
 
 def pooled_alphas(lines: DataFrame, player: str, minutes: str = "min") -> DataFrame:

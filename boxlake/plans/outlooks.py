@@ -57,7 +57,7 @@ FORM_SQL = """tempo as (select season, season_type, team_id, game_date, 48 * ((t
 def form_before_day(spark, sf_dir):
     """season, season_type, team_id, game_date, pace, drtg: a team's means of the season before the day, and l_pace, l_drtg, the scope's own means. Games are summed by day before they are run over."""
     s = sides(box_view(spark, sf_dir)).select(*SCOPE, "team_id", "game_date", b.pace().alias("pace"), b.team_defensive_rating().alias("drtg"))
-    daily = s.groupBy(*SCOPE, "team_id", "game_date").agg(F.sum("pace").alias("p"), F.sum("drtg").alias("d"), F.count("*").alias("c"))
+    daily = staged(s.groupBy(*SCOPE, "team_id", "game_date").agg(F.sum("pace").alias("p"), F.sum("drtg").alias("d"), F.count("*").alias("c")))  # a row a team and day, read for the average and the running means
     average = daily.groupBy(*SCOPE).agg((F.sum("p") / F.sum("c")).alias("l_pace"), (F.sum("d") / F.sum("c")).alias("l_drtg"))
     w = Window.partitionBy(*SCOPE, "team_id").orderBy("game_date").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: sdiv(F.sum(c).over(w), F.sum("c").over(w))
@@ -118,18 +118,18 @@ def next_lines(spark, sf_dir):
     box = by_player(spark, sf_dir, played)
     aged = projection.aged(box, ["player_id"], ["game_date", "game_id"])
     target = aged.where("age = 0").select("player_id", *SCOPE, "team_id", "game_date", (F.col("team_id") == F.col("home_id")).alias("is_home"), F.expr("if(team_id = home_id, away_id, home_id)").alias("opp_id"))
-    named = target.select("player_id", F.col("season").alias("__s"), F.col("season_type").alias("__t"))
-    history = aged.where("age > 0").withColumn("age", F.col("age") - 1).join(named, "player_id")
+    newest = Window.partitionBy("player_id").orderBy(F.desc("game_date"), F.desc("game_id"))  # the order of age, so that lines are sorted once
+    history = aged.withColumns({"__s": F.first("season").over(newest), "__t": F.first("season_type").over(newest)}).where("age > 0").withColumn("age", F.col("age") - 1)
     here = (F.col("season") == F.col("__s")) & (F.col("season_type") == F.col("__t"))
-    sums = [F.max("game_date").alias("last")]
+    sums = [F.max("game_date").alias("last"), *projection.minute_sums("min")]
     for s, (_, _, halflife) in STATS.items():
         form = lambda c, h=halflife: projection.decayed(F.col(c).cast("double"), h)[0]
         known = F.col(s).isNotNull()
         sums += [F.sum(s).alias(f"c_total_{s}"), F.sum(F.when(known, F.col("min"))).alias(f"cm_{s}"), F.sum(F.when(here, F.col(s))).alias(f"s_{s}"), F.sum(F.when(here & known, F.col("min"))).alias(f"sm_{s}"), F.count_if(here & known).alias(f"sg_{s}"), form(s).alias(f"f_{s}"), form("min").alias(f"fm_{s}")]
-    minutes = projection.project_minutes(history, ["player_id"], "min").select("player_id", "minutes_mean")
+    totals = history.groupBy("player_id").agg(*sums).withColumn("minutes_mean", projection.minute_range()[0]).drop("__m", "__sd")
     alphas = staged(projection.pooled_alphas(box, "player_id"))  # one row
     spread = projection.dispersion_multipliers(box, alphas, "player_id", SCOPE)
-    placed = with_context(target, spark, sf_dir).join(history.groupBy("player_id").agg(*sums), "player_id").join(minutes, "player_id").join(spread, "player_id", "left").crossJoin(F.broadcast(alphas))  # one row of alphas
+    placed = with_context(target, spark, sf_dir).join(totals, "player_id").join(spread, "player_id", "left").crossJoin(F.broadcast(alphas))  # one row of alphas
     factors = projection.context_factors(F.col("pace"), F.col("opp_pace"), F.col("l_pace"), F.col("opp_drtg"), F.col("l_drtg"), F.col("is_home"), F.datediff("game_date", "last"))
     placed = placed.withColumns({f"{name}_factor": factor for name, factor in factors.items()})
     return projection.project_stats(placed.withColumn("context", F.col("pace_factor") * F.col("opponent_factor") * F.col("venue_factor") * F.col("rest_factor")))
@@ -138,14 +138,18 @@ def next_lines(spark, sf_dir):
 @query(NEXT_SQL + " " + " union all ".join(f"select player_id, '{s}' stat, minutes_mean, context, mean_{s} mean, sd_{s} sd, effective_{s} alpha, mean_{s} - s_{s} / nullif(sg, 0) delta from z" for s in STATS))
 def stat_projections(spark, sf_dir):
     """Seven statistics of every player: mean in context, spread, fitted dispersion and the distance from the season's average."""
+    return each_stat(next_lines(spark, sf_dir))
+
+
+def each_stat(lines):
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("stat"), F.col(f"mean_{s}").alias("mean"), F.col(f"sd_{s}").alias("sd"), F.col(f"effective_{s}").alias("alpha"), F.col(f"delta_{s}").alias("delta")) for s in STATS))).alias("x")
-    return next_lines(spark, sf_dir).select("player_id", "minutes_mean", "context", each).select("player_id", "x.stat", "minutes_mean", "context", "x.mean", "x.sd", "x.alpha", "x.delta")
+    return lines.select("player_id", "minutes_mean", "context", each).select("player_id", "x.stat", "minutes_mean", "context", "x.mean", "x.sd", "x.alpha", "x.delta")
 
 
-def combined_lines(spark, sf_dir):
+def combined_lines(lines):
     trio = {s: F.col(f"sd_{s}") for s in ("pts", "reb", "ast")}
     sd, alone = projection.combined(trio), F.sqrt(sum(x * x for x in trio.values()))
-    out = next_lines(spark, sf_dir).select("player_id", (F.col("mean_pts") + F.col("mean_reb") + F.col("mean_ast")).alias("mean"), sd.alias("sd"), alone.alias("sd_alone"))
+    out = lines.select("player_id", (F.col("mean_pts") + F.col("mean_reb") + F.col("mean_ast")).alias("mean"), sd.alias("sd"), alone.alias("sd_alone"))
     alpha = F.coalesce(sdiv(F.greatest(F.col("sd") * F.col("sd") - F.col("mean"), F.lit(0.0)), F.col("mean") * F.col("mean")), F.lit(0.0))
     return out.withColumn("inflation", F.coalesce(sdiv(F.col("sd"), F.col("sd_alone")) - 1, F.lit(0.0))).withColumn("alpha", alpha)
 
@@ -157,13 +161,14 @@ COMBINED_SQL = """, q as (select player_id, mean_pts + mean_reb + mean_ast mean,
   select *, coalesce(sd / nullif(sd_alone, 0) - 1, 0) inflation, coalesce(greatest(sd * sd - mean, 0) / nullif(mean * mean, 0), 0) alpha from q""")
 def combined_projections(spark, sf_dir):
     """Points, rebounds and assists together, with correlated spread, and what independence would have given."""
-    return combined_lines(spark, sf_dir)
+    return combined_lines(next_lines(spark, sf_dir))
 
 
 @query(NEXT_SQL.replace("with ", "with recursive ", 1) + COMBINED_SQL + ", ib as (" + " union all ".join(f"select player_id, '{s}' stat, mean_{s} mean, effective_{s} alpha from z" for s in STATS) + " union all select player_id, 'pts+reb+ast', mean, coalesce(greatest(sd * sd - mean, 0) / nullif(mean * mean, 0), 0) from q), " + projection.interval_sql("ib", "player_id, stat") + " select player_id, stat, mean, al alpha, low, high from intervals")
 def stat_intervals(spark, sf_dir):
     """The 80 % count intervals of those projections, and of points, rebounds and assists together."""
-    both = stat_projections(spark, sf_dir).select("player_id", "stat", "mean", "alpha").unionByName(combined_lines(spark, sf_dir).select("player_id", F.lit("pts+reb+ast").alias("stat"), "mean", "alpha"))
+    lines = staged(next_lines(spark, sf_dir))  # a row a player, read for the statistics and their sums
+    both = each_stat(lines).select("player_id", "stat", "mean", "alpha").unionByName(combined_lines(lines).select("player_id", F.lit("pts+reb+ast").alias("stat"), "mean", "alpha"))
     return projection.with_intervals(both, "mean", "alpha")
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxlake.operators import league, paging, projection, ratings, squads, valuation
+from boxlake.plans import outlooks
 
 DAY = datetime.date(2001, 1, 1)
 
@@ -225,3 +226,22 @@ def test_equal_players_have_no_spread(spark):
     base = valuation.trade_sensitivity(trades, lines, ["pts", "ast", "stl"], "p", 50, 5, 5).first().base
     sd = math.sqrt((50 * 50 - 1) / 12)
     assert base == pytest.approx((2 - 55) / sd, abs=1e-5)
+
+
+def test_rates_stand_beside_their_lines(spark):
+    """Lines dealt by player meet their player's and season's rates without another shuffle; lines without a key are left out."""
+    cols = ", ".join(f"{s} int" for s in projection.STATS)
+    rows = [(p, s, 30, *[(p or 0) + (s or 0)] * 7) for p in (1, 2, None) for s in (1, 2, None) for _ in range(3)]
+    dealt = spark.createDataFrame(rows, f"p int, s int, min int, {cols}").repartition(5, "p")
+    counts = projection.expected_counts(dealt, ["p", "s"], ["p", "s"])
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    league, k, _ = projection.STATS["pts"]
+    got = {(r.p, r.s): r.mu_pts for r in counts.collect()}
+    assert got == pytest.approx({(p, s): 30 * (3 * (p + s) + k * league) / (90 + k) for p in (1, 2) for s in (1, 2)})
+
+
+def test_intervals_project_players_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(outlooks, "next_lines", lambda *at, real=outlooks.next_lines: made.append(at) or real(*at))
+    assert {r.stat for r in outlooks.stat_intervals(spark, "/root/testdata/sf0.001").select("stat").distinct().collect()} == {*projection.STATS, "pts+reb+ast"}
+    assert len(made) == 1
