@@ -27,6 +27,8 @@ POLL = f"game_id long, season long, season_type string, game_date date, {SIDES},
 VERSION = "batch long, version long, newly_final long, inserted long, updated long, deleted long, seasons long, data_through date"
 # A poll is known for so long after it was received.
 KEEP_STATE = "3 days"
+# Known polls lie on disk, under a bound of memory: in the executors' heap each took 195 bytes and up to twice that.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
 
 
 def schema(fields: str) -> T.StructType:
@@ -156,4 +158,5 @@ def stream(store: GameStore, landing: str, checkpoint: str) -> None:
     def merge(rows: DataFrame, number: int) -> None:
         merge_placed(GameStore(rows.sparkSession, store.root), staged(rows.drop("__received")), number)
 
-    once.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
+    with settings(store.spark, STATE):
+        once.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()

@@ -127,6 +127,16 @@ def test_boxes_are_not_shuffled(spark, tmp_path):
     assert sorted((r.version, r.newly_final, r.inserted, r.updated, r.deleted) for r in store.versions().collect()) == [(1, 200, 20_000, 0, 0), (2, 0, 0, 2000, 0)]
 
 
+def test_known_polls_lie_on_disk(spark, tmp_path):
+    """State of the stream is no heap of the executors; the session's own settings are as they were."""
+    kept = {k: spark.conf.get(k, None) for k in games.STATE}
+    store = games.GameStore(spark, f"{tmp_path}/store")
+    spark.createDataFrame([poll(1, 20, "final", [(1, 9)])], games.POLL).write.parquet(f"{tmp_path}/landing/0")
+    games.stream(store, f"{tmp_path}/landing", f"{tmp_path}/checkpoint")
+    assert list(Path(f"{tmp_path}/checkpoint/state").rglob("*.zip")) and store.games.read().count() == 1
+    assert {k: spark.conf.get(k, None) for k in games.STATE} == kept
+
+
 def test_a_repair_moves_lines_once(spark, tmp_path):
     """To be compared, stored and fetched lines of the range's games meet in one shuffle; other games' lines stay where they are."""
     rng = random.Random(4)
